@@ -1,11 +1,67 @@
-"""The corpus pipeline: quality rules, near duplicates, decontamination, secrets, tokens."""
+"""The corpus pipeline: quality rules, near duplicates, decontamination, secrets, tokens.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and gives the rows that the next one reads; all but the last keep the columns of
+documents, so each works on whatever its predecessors kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import bpe, near, quality, secrets, winnow
+from quillon.llm.frames import stash, table
+from quillon.llm.queries import vocabulary_path
+
+
+def _recounted(docs: DataFrame, text, columns: list[str]) -> DataFrame:
+    """docs with another text, n_chars following it."""
+    out = docs.withColumn("text", text)
+    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out).select(*columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or the calibrated thresholds go."""
+    return quality.apply_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, 0.8 or more) the document with the smallest id stays."""
+    groups = near.near_duplicates(docs.select("doc_id", "text"), k=5, num=80, den=100)
+    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside a benchmark passage are cut out of a document; what is left stays, and a document of which nothing is left goes."""
+    out = winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    kept = out.where("not contaminated or n_hit < n_words")
+    return _recounted(kept, F.coalesce("clean_text", "text"), docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return _recounted(secrets.find(docs), F.col("redacted"), docs.columns)
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token counts, and checksums of the ids and of the text decoded from them."""
+    return bpe.tokenize(docs, vocabulary_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scans),
+    ("BPE encoding and decoding", bpe_tokens),
+]
+
+#: SQL has no trained model and no BPE; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,8 +6,8 @@ A document's set is its distinct k-word shingles (64-bit fingerprints). Equal se
   the most that a partner can lack. Equal subsets show a shared part of known size, so links need no further check;
 * heavy classes scan inverted lists. Only the rarest shingles of a set are listed (as many as a linked partner can lack,
   plus one), rarity coming from a fixed-size count sketch over all documents: it only orders, so it cannot lose a link.
-  In each list, every set is first paired with the list's first, its neighbour and a neighbour in a random order - linear
-  in the list. Those pairs pass an exact upper bound (counts of shingles by hash range) and are then verified on whole
+  In each list, every set is first paired with the set that has the fewest rarer shingles (of near copies, the one most
+  like the others), its neighbour in that order and a neighbour in a random order - linear in the list. Those pairs pass an exact upper bound (counts of shingles by hash range) and are then verified on whole
   sets. Only lists whose sets still lie in several components are then paired across those components;
 * the boundary is the size with the least estimated number of rows: subsets against list entries and their partners.
 
@@ -117,8 +117,9 @@ def boundary(sizes: dict[int, int], order: np.ndarray, num: int, den: int) -> in
 
 
 def _entries(k: int, num: int, den: int, light: int, order):
-    """Subset keys of light sets and list entries of heavy ones. lacking: elements left out of a subset; -1 for list entries."""
-    fields = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("lacking", pa.int32())])
+    """Subset keys of light sets and list entries of heavy ones. lacking: elements left out of a subset; -1 for list entries.
+    place: how many shingles of the set are rarer than the listed one; for subsets the size of the set."""
+    fields = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("lacking", pa.int32()), ("place", pa.int32())])
     reach = light * den // num
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,7 @@ def _entries(k: int, num: int, den: int, light: int, order):
                             lacking.append(d)
                 if keys:
                     at = np.array(of)
-                    yield pa.record_batch([pa.array(mix(np.array(keys, np.uint64)).view(np.int64)), pa.array(classes[at]), pa.array(counts[at].astype(np.int32)), pa.array(np.array(lacking, np.int32))], schema=fields)
+                    yield pa.record_batch([pa.array(mix(np.array(keys, np.uint64)).view(np.int64)), pa.array(classes[at]), pa.array(counts[at].astype(np.int32)), pa.array(np.array(lacking, np.int32)), pa.array(counts[at].astype(np.int32))], schema=fields)
                 heavy = (fresh & (counts > light))[rows]
                 v, r = values[heavy], rows[heavy]
                 if len(v):
@@ -155,10 +156,10 @@ def _entries(k: int, num: int, den: int, light: int, order):
                     starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
                     place = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
                     take = place < prefix(counts[r], num, den)
-                    v, r = v[take], r[take]
-                    yield pa.record_batch([pa.array(v.view(np.int64)), pa.array(classes[r]), pa.array(counts[r].astype(np.int32)), pa.array(np.full(len(r), -1, np.int32))], schema=fields)
+                    v, r, place = v[take], r[take], place[take]
+                    yield pa.record_batch([pa.array(v.view(np.int64)), pa.array(classes[r]), pa.array(counts[r].astype(np.int32)), pa.array(np.full(len(r), -1, np.int32)), pa.array(place.astype(np.int32))], schema=fields)
 
-    return run, "key long, cls long, n int, lacking int"
+    return run, "key long, cls long, n int, lacking int, place int"
 
 
 def _bounded(num: int, den: int):
@@ -213,9 +214,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     spark = docs.sparkSession
     run, schema = _entries(k, num, den, light, spark.sparkContext.broadcast(order))
     entries = texts.mapInArrow(run, schema)
-    by_size = Window.partitionBy("key", "lacks").orderBy("n", "cls")
+    by_place = Window.partitionBy("key", "lacks").orderBy("place", "n", "cls")
     marked = entries.withColumn("lacks", F.expr("case when lacking < 0 then -1 else n - lacking end"))
-    marked = marked.withColumns({"first": F.first(F.struct("cls", "n")).over(by_size.rowsBetween(Window.unboundedPreceding, 0)), "prev": F.lag(F.struct("cls", "n")).over(by_size), "next": F.lead("cls").over(by_size)})
+    marked = marked.withColumns({"first": F.first(F.struct("cls", "n")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)), "prev": F.lag(F.struct("cls", "n")).over(by_place), "next": F.lead("cls").over(by_place)})
     marked = stash(marked.where("first.cls <> cls or next <> cls").where("not (prev is not null and prev.cls = cls)"))
     exact = marked.where("lacks >= 0 and first.cls <> cls").where(f"{den} * lacks >= {num} * (n + first.n - lacks)").selectExpr("cls as x", "first.cls as y")
     lists = marked.where("lacks < 0")
@@ -249,11 +250,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     first = stash(components(links))
     # lists whose sets are still apart
     known = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("at"))
-    several = lists.select("key", "cls", "n").join(known, "cls")
+    several = lists.select("key", "cls", "n", "place").join(known, "cls")
     apart = several.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("members")).where("lo < hi and members > 2").select("key")
     several = stash(several.join(apart, "key"))
     p, q = several.alias("p"), several.alias("q")
-    across = p.join(q, F.expr(f"p.key = q.key and p.at < q.at and {den} * p.n >= {num} * q.n and {num} * p.n <= {den} * q.n")).selectExpr("least(p.cls, q.cls) as x", "greatest(p.cls, q.cls) as y")
+    # if it is the first that both list, the pair shares at most it and the lesser rest; an earlier one, if any, finds the pair itself
+    still = f"{num + den} * least(p.n - p.place, q.n - q.place) >= {num} * (p.n + q.n)"
+    across = p.join(q, F.expr(f"p.key = q.key and p.at < q.at and {den} * p.n >= {num} * q.n and {num} * p.n <= {den} * q.n and {still}")).selectExpr("least(p.cls, q.cls) as x", "greatest(p.cls, q.cls) as y")
     across = across.distinct().join(tried.selectExpr("least(x, y) as x", "greatest(x, y) as y").distinct(), ["x", "y"], "left_anti")
     more = stash(verified(across))
     final = components(links.unionByName(more)) if not more.isEmpty() else first

@@ -4,15 +4,75 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe, debruijn, html, licences, near, quality, quotes, secrets, shards, winnow
 from .frames import table
-from .near import near_duplicates
+
+
+def vocabulary_path() -> str:
+    """The public vocabulary file that op6 is to match."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=3, num=90, den=100)
+    return near.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=3, num=90, den=100)
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels")
+    return quality.apply_rules(docs, labels).drop("text", "p_good", "p_toxic")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenize(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path()).drop("text")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text", "expressions")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.cut_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnow.decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scans, op3_sharding, op4_html_extraction, op5_quality_rules, op6_bpe, op7_chat_formatting, op8_license_scans, op9_substring_dedup, op10_benchmark_decontamination)}
 
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_OP10 = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+i as (select cast(item_id as varchar) as item_id, {_WORDS} as w from benchmark),
+iw as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[p : p + least(10, len(w)) - 1], ' ') as g
+       from i, unnest(range(1, greatest(len(w) - least(10, len(w)) + 2, 1))) as t(p) where len(w) > 0),
+sizes as (select distinct n from iw),
+dw as (select doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') as g
+       from (select doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) as p from d, sizes)),
+hits as (select dw.doc_id, dw.p, dw.n, iw.item_id from dw join iw on dw.g = iw.g and dw.n = iw.n),
+covered as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from hits) group by 1),
+named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id collate "C") as items from (select distinct doc_id, item_id from hits) group by 1)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join named using (doc_id)"""
 
-QUERIES = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_benchmark_decontamination": _OP10}
