@@ -1,0 +1,195 @@
+"""The corpus operators against brute force on small tables, and on empty, null and repeated rows with clashing columns."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.llm import bpe, debruijn, html, licences, near, quality, queries, quotes, secrets, shards, winnow
+
+SCHEMA = "doc_id long, text string, n_words long, kept string, shard string, findings string"
+
+
+def texts(n=60, seed=3):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["the", "an", "re", "é", "on", "er"]) for _ in range(rng.randint(1, 3)))
+    out = [" ".join(word() for _ in range(rng.choice([1, 2, 5, 12, 30, 200]))) for _ in range(n)]
+    for i in range(0, n, 5):  # near copies, copies, shared passages
+        w = out[i].split(" ")
+        w[rng.randrange(len(w))] = "changed"
+        out.append(" ".join(w))
+        out.append(out[i].upper() + "\n")
+        out.append(word() + " " + " ".join(out[(i * 7) % n].split(" ")[:25]) + " " + word())
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, 1, "x", "y", "z") for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = list(enumerate(texts())) + [(900, None), (901, ""), (902, "  \n"), (903, "one"), (904, "ONE"), (5, texts()[5])]
+    return rows, frame(spark, rows).repartition(3)
+
+
+def low(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def blank_words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def alnum_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+
+
+@pytest.mark.parametrize("k,num", [(3, 90), (5, 80), (2, 50)])
+def test_near_duplicates(docs, k, num):
+    rows, df = docs
+    sets = {}
+    for i, t in rows:
+        w = blank_words(low(t))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    at = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                    at[a] = at[b] = min(at[a], at[b])
+        if all(at[at[i]] == at[i] for i in at):
+            break
+    got = near.near_duplicates(df, k, num, 100).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), at[i]) for i, s in sets.items()}
+
+
+def test_heavy_sets_alone_give_the_same(spark, docs, monkeypatch):
+    _, df = docs
+    both = {(r.doc_id, r.component_id) for r in near.near_duplicates(df, 3, 90, 100).collect()}
+    monkeypatch.setattr(near, "boundary", lambda *a: 0)
+    assert {(r.doc_id, r.component_id) for r in near.near_duplicates(df, 3, 90, 100).collect()} == both
+
+
+def test_cut_repeats(docs):
+    rows, df = docs
+    first, words = {}, {i: blank_words(t) for i, t in rows}
+    for i in sorted(words):
+        for j in range(len(words[i]) - 12):
+            first.setdefault(tuple(words[i][j : j + 13]), i)
+    for r in debruijn.cut_repeats(df).collect():
+        w = words[r.doc_id]
+        gone = {q for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < r.doc_id for q in range(j, j + 13)}
+        kept = " ".join(x for q, x in enumerate(w) if q not in gone)
+        assert (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
+
+
+@pytest.mark.parametrize("block", [1, 1 << 20])
+def test_decontaminate(spark, docs, block):
+    rows, df = docs
+    items = [(1, " ".join(rows[4][1].split(" ")[:14])), (2, rows[0][1]), (3, "one"), (4, None), (5, ""), (6, "nowhere to be found")]
+    windows = {}
+    for i, t in items:
+        w = alnum_words(t)
+        for j in range(len(w) - min(10, len(w)) + 1 if w else 0):
+            windows.setdefault(tuple(w[j : j + min(10, len(w))]), set()).add(str(i))
+    got = winnow.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        w, hit, found = alnum_words(r.text), set(), set()
+        for n in {len(x) for x in windows}:
+            for j in range(len(w) - n + 1):
+                if tuple(w[j : j + n]) in windows:
+                    hit |= set(range(j, j + n))
+                    found |= windows[tuple(w[j : j + n])]
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+
+
+def test_tokens_match_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    rows, df = docs
+    path = queries.vocabulary_path()
+    library = Tokenizer.from_file(path)
+    rng = random.Random(1)
+    odd = ["<|endoftext|>", "a<|endoftext|> b", " " * 50, "x\x1c\x85 'll we're 12éé中文 \n\n a", "aaaa" * 100] + ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x600)])) for _ in range(40)) for _ in range(200)]
+    odd = list(enumerate(odd, 2000))
+    for r in bpe.tokenize(frame(spark, rows + odd), path, ids=True).collect():
+        want = library.encode(r.text or "", add_special_tokens=False).ids
+        assert r.ids == want and r.n_tokens == len(want) and r.decoded == library.decode(want, skip_special_tokens=False) == (r.text or "")
+        assert r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_shards(docs):
+    rows, df = docs
+    wide = df.sparkSession.range(3000).selectExpr("id as doc_id", "string(id) as text").union(df.select("doc_id", "text"))
+    got = shards.shard(wide).collect()
+    assert len(got) == 3000 + len(rows) and {r.shard for r in got} == set(range(40))
+    assert all(r.grown_shard in (r.shard, 40) for r in got) and any(r.grown_shard == 40 for r in got)
+    for s in range(40):
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own))) and 45 <= len(own) <= 115
+    assert {r["size"] for r in got if r.doc_id == 900} >= {16}
+
+
+def test_licences():
+    phrases = licences.automaton()
+    n, n_base, first, last, base, labels, score, _ = licences.scan("cc by cc by, General  Public\nLicense. CC-BY", phrases)
+    assert (n, n_base, first, last, base) == (9, 4, 0, 7, "cc-by,gpl") and 0 < score <= 1
+    assert licences.scan(None, phrases)[:7] == (0, 0, None, None, "", "", 0.0)
+    assert licences.scan("SPDX-License-Identifier: (MIT OR GPL-2.0) AND BSD-3-Clause\n", phrases)[5].split(",") == ["spdx-permissive", "spdx:bsd-3-clause", "spdx:gpl-2.0", "spdx:mit"]
+    value = licences.evaluate
+    assert not value("MIT AND GPL-2.0").permissive and value("MIT OR GPL-2.0").permissive and value("GPL-2.0 WITH Classpath-exception-2.0").permissive
+    assert value("MIT OR") is None and value("(MIT") is None and value("") is None
+
+
+def test_secrets(spark):
+    rows = [(1, 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y and card 4845168114407329 end'), (2, "see /static/assets/v12/index.html.json or mail7.example.com now"), (3, None), (4, "")]
+    got = {r.doc_id: r for r in secrets.find(frame(spark, rows)).collect()}
+    assert got[1].redacted == 'x token = "[SECRET]" y and card 4845168114407329 end'
+    assert got[2].redacted == rows[1][1] and got[3].redacted is None and got[4].redacted == "" and got[3].findings == []
+
+
+def test_html():
+    model = html.train()
+    held = html.labelled_pages(60, seed=99)
+    right = sum(html.extract(p, model).split() == [w for w, own in words if own] for p, words in held)
+    assert right >= 55
+    page = '<body><nav><a>m</a></nav><article><h1>T &amp; U</h1><p>Hello <b>wide\n world</b><br>x<aside>ad words</aside><p>bye</article><script>var a="<p>"</script></body>'
+    assert html.extract(page, model) == "T & U\n\nHello wide world x\n\nbye"
+    assert html.extract(None, model) == html.extract("", model) == ""
+
+
+def test_quality(spark, docs):
+    rng = random.Random(2)
+    nice, junk = ["the", "and", "walk", "house", "green", "river", "stone", "light"], ["zxq###", "***", "$$$kk", "%%%"]
+    def made(i):
+        bad, rude = i % 7 == 0, i % 5 == 0
+        w = [f"{rng.choice(junk if bad and rng.random() < 0.5 else nice)}{rng.randrange(99)}" for _ in range(80)]
+        return (i, " ".join(w + ["idiot", "moron"] * rude)), (i, int(not bad), int(rude))
+    rows, labels = zip(*(made(i) for i in range(600)))
+    out = quality.apply_rules(frame(spark, list(rows) + [(900, None), (901, "")]), spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int")).collect()
+    truth = {i: q == 1 and t == 0 for i, q, t in labels}
+    assert sum(r.kept == truth.get(r.doc_id, False) for r in out) / len(out) > 0.97
+    r = next(x for x in out if x.doc_id == 900)
+    assert (r.n_words, r.base_failed, r.kept) == (0, True, False)
+    assert all(quality.apply_rules(frame(spark, list(rows[:20])), spark.createDataFrame([], "doc_id long, quality int, toxic int")).select("kept").toPandas().kept)
+
+
+def test_quotes(spark):
+    rows = [(1, 0, "user", "What is the plan for today?\nAnd who comes along?"), (1, 1, "bot", "We walk."), (1, 2, "user", "Ann wrote:\n> What is the  PLAN for today?\nStill very open."), (1, 3, "bot", "> > what is the plan for today?\n> Still very open.\nIndeed"), (2, 0, "user", None), (2, 0, "user", None), (None, None, None, "> lost quote here")]
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[1, t].parent_turn, got[1, t].n_quotes, got[1, t].n_linked, got[1, t].clean_text) for t in range(4)] == [(None, 0, 0, rows[0][3]), (0, 0, 0, "We walk."), (0, 1, 1, "Still very open."), (0, 2, 2, "Indeed")]
+    assert got[2, 0].clean_text == "" and got[None, None].n_linked == 0
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [])
+    items, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    runs = [near.near_duplicates(none), debruijn.cut_repeats(none), winnow.decontaminate(none, items), bpe.tokenize(none, queries.vocabulary_path()), shards.shard(none), licences.scan_licences(none), secrets.findings(none), quality.apply_rules(none, labels), html.main_text(none.withColumn("html", F.col("text"))), quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))]
+    assert [r.count() for r in runs] == [0] * len(runs)
