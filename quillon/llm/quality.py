@@ -108,26 +108,71 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.stack(z, 1), -60, 60)))
 
 
-def _descend(of: np.ndarray, value: np.ndarray, row: np.ndarray, size: int, y: np.ndarray, weight: np.ndarray, penalty: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    """Accelerated proximal gradient for weighted logistic loss with an L1 penalty for each feature."""
+class Block:
+    """Some rows' features: for each entry its feature, the row it is of (from `first` on) and its value."""
+
+    def __init__(self, first: int, batch: pa.RecordBatch, common: np.ndarray):
+        self.first, self.n = first, len(batch)
+        (w, r), (c, s), (k, _) = (_entries(batch, name, kind) for name, kind in KINDS)
+        of, row = np.concatenate([w.astype(np.int32), c.astype(np.int32) + (1 << WORD_BITS)]), np.concatenate([r, s])
+        shares = CHAR_SCALE * k / np.maximum(np.bincount(s, k, self.n), 1)[s]
+        value = np.concatenate([np.ones(len(w), np.float32), shares.astype(np.float32)])
+        keep = common[of]
+        self.of, self.row, self.value = of[keep], row[keep].astype(np.int32), value[keep]
+
+    def rows(self) -> slice:
+        return slice(self.first, self.first + self.n)
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * v[self.of], self.n)
+
+
+KINDS = (("words", np.uint32), ("chars", np.uint16), ("counts", np.uint32))
+BLOCK_ROWS = 256
+
+
+def _entries(batch: pa.RecordBatch, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers packed in a binary column, and the row of each."""
+    packed = Texts(batch.column(name))
+    return packed.bytes.view(kind), np.repeat(np.arange(len(batch)), np.diff(packed.offsets) // np.dtype(kind).itemsize)
+
+
+def _blocks(found: pa.Table, common: np.ndarray, which: np.ndarray, first: int) -> Iterator[Block]:
+    """The rows of found that `which` is true for, numbered from `first` on."""
+    at = 0
+    for batch in found.to_batches(max_chunksize=BLOCK_ROWS):
+        part = batch.filter(pa.array(which[at : at + len(batch)]))
+        at += len(batch)
+        if len(part):
+            yield Block(first, part, common)
+            first += len(part)
+
+
+def _descend(blocks: list[Block], size: int, y: np.ndarray, weight: np.ndarray, penalty: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Accelerated proximal gradient for weighted logistic loss with an L1 penalty for each feature; block by block."""
     n = len(y)
     w = v = np.zeros(size + 1)
     t = 1.0
     share = weight / weight.sum()
     # the loss curves at most by a quarter of the largest weighted row norm
-    norm = np.bincount(row, value * value, n) + 1
+    norm = np.ones(n)
+    for b in blocks:
+        norm[b.rows()] += np.bincount(b.row, b.value * b.value, b.n)
     step = 4.0 / float(np.quantile(norm, 0.9) * 0.5)
     last = np.inf
     for _ in range(rounds):
-        z = np.bincount(row, value * v[of], n) + v[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        loss = -float(share @ np.where(y, np.log(p + 1e-12), np.log(1 - p + 1e-12)))
+        loss, grad = 0.0, np.zeros(size + 1)
+        for b in blocks:
+            at = b.rows()
+            p = 1 / (1 + np.exp(-np.clip(b.times(v) + v[-1], -60, 60)))
+            loss -= float(share[at] @ np.where(y[at], np.log(p + 1e-12), np.log(1 - p + 1e-12)))
+            g = share[at] * (p - y[at])
+            grad[:-1] += np.bincount(b.of, b.value * g[b.row], size)
+            grad[-1] += g.sum()
         if loss > last + 1e-3:  # too long a step: shorter ones from the last weights
             step, v, t, last = step / 2, w, 1.0, np.inf
             continue
         last = loss
-        g = share * (p - y)
-        grad = np.append(np.bincount(of, value * g[row], size), g.sum())
         new = v - step * grad
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * penalty, 0)
         later = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -163,27 +208,27 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, roun
     n = found.num_rows
     if not n:
         return Model(words, chars, bias)
-    column = lambda name, kind: [np.frombuffer(x, kind) for x in found.column(name).to_pylist()]
-    w, c, k = column("words", np.uint32), column("chars", np.uint16), column("counts", np.uint32)
-    row = np.concatenate([np.repeat(np.arange(n), [len(x) for x in w]), np.repeat(np.arange(n), [len(x) for x in c])])
-    of = np.concatenate([*w, *(x.astype(np.int64) + words_n for x in c)]).astype(np.int64)
-    value = np.concatenate([np.ones(sum(map(len, w))), *(CHAR_SCALE * x / max(1, x.sum()) for x in k)])
     size = words_n + chars_n
-    common = np.bincount(of, minlength=size) >= 3
-    row, of, value = (x[common[of]] for x in (row, of, value))
-    ids = found.column("doc_id").to_numpy()
-    held = mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(5) == 0
-    fit = ~held[row]
-    for h, name in enumerate(("good", "toxic")):
-        y = found.column(name).to_numpy(zero_copy_only=False).astype(bool)
-        if not (0 < y[~held].sum() < (~held).sum()):
+    seen = np.zeros(size, np.int64)
+    for batch in found.to_batches(max_chunksize=BLOCK_ROWS):
+        for (name, kind), shift in zip(KINDS[:2], (0, words_n)):
+            seen += np.bincount(_entries(batch, name, kind)[0].astype(np.int64) + shift, minlength=size)
+    held = mix(found.column("doc_id").to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(5) == 0
+    n_fit = int((~held).sum())
+    order = np.argsort(held, kind="stable")  # the rows to fit first
+    answers = {name: found.column(name).to_numpy(zero_copy_only=False).astype(bool)[order] for name in ("good", "toxic")}
+    fit_on, held_out = list(_blocks(found, seen >= 3, ~held, 0)), list(_blocks(found, seen >= 3, held, 0))
+    del found  # the packed rows are not held while the weights are fitted
+    for h, y in enumerate(answers.values()):
+        own = y[:n_fit]
+        if not (0 < own.sum() < n_fit):
             continue
-        rare = min(y[~held].mean(), 1 - y[~held].mean())
-        weight = np.where(held, 0.0, np.where(y == (y[~held].mean() < 0.5), 0.5 / max(rare, 0.05), 0.5 / (1 - rare)))
+        rare = min(own.mean(), 1 - own.mean())
+        weight = np.where(own == (own.mean() < 0.5), 0.5 / max(rare, 0.05), 0.5 / (1 - rare))
         penalty = np.full(size, 1.0 / np.sqrt(max(n, 100)) * 0.03)
-        got, shift = _descend(of[fit], value[fit], row[fit], size, y, weight, penalty, rounds)
-        z = np.bincount(row, value * got[of], n) + shift
-        a, b = _platt(z[held], y[held])
+        got, shift = _descend(fit_on, size, own, weight, penalty, rounds)
+        z = np.concatenate([np.zeros(0), *(b.times(got) for b in held_out)]) + shift
+        a, b = _platt(z, y[n_fit:])
         words[:, h], chars[:, h], bias[h] = a * got[:words_n], a * got[words_n:], a * shift + b
     return Model(words, chars, bias)
 
