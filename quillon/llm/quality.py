@@ -199,15 +199,30 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, rounds: int = 120) -> Model:
-    """Without labelled rows, or with one kind only, a head says what the rows say: all texts good, none toxic."""
+    """The weights, fitted in one task on at most `train_rows` labelled rows; only they come to the driver.
+
+    Without labelled rows, or with one kind only, a head says what the rows say: all texts good, none toxic."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic")).where("doc_id is not null and good is not null")
     chosen = chosen.groupBy("doc_id").agg(F.min("good").alias("good"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").mapInArrow(_featurise, "doc_id long, good boolean, toxic boolean, words binary, chars binary, counts binary").toArrow()
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").mapInArrow(_featurise, "doc_id long, good boolean, toxic boolean, words binary, chars binary, counts binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if len(b)]
+        if batches:
+            model = fit(pa.Table.from_batches(batches), rounds)
+            yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (model.words, model.chars, model.bias)], names=["words", "chars", "bias"])
+
+    got = found.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "words binary, chars binary, bias binary").first()
+    if got is None:
+        return Model(np.zeros((1 << WORD_BITS, 2)), np.zeros((1 << CHAR_BITS, 2)), np.array([4.0, -4.0]))
+    return Model(np.frombuffer(got.words, np.float32).reshape(-1, 2), np.frombuffer(got.chars, np.float32).reshape(-1, 2), np.frombuffer(got.bias))
+
+
+def fit(found: pa.Table, rounds: int) -> Model:
+    """The two heads for featurised rows (doc_id, good, toxic, words, chars, counts)."""
     words_n, chars_n = 1 << WORD_BITS, 1 << CHAR_BITS
     words, chars, bias = np.zeros((words_n, 2)), np.zeros((chars_n, 2)), np.array([4.0, -4.0])
     n = found.num_rows
-    if not n:
-        return Model(words, chars, bias)
     size = words_n + chars_n
     seen = np.zeros(size, np.int64)
     for batch in found.to_batches(max_chunksize=BLOCK_ROWS):
