@@ -23,6 +23,8 @@ WORD_BITS, CHAR_BITS = 19, 14
 STARTS = (4, 5, 6)
 #: What a text's 4-gram shares sum to: they weigh as much as that many words.
 CHAR_SCALE = 20.0
+#: L1 penalty of a weight, times the square root of the rows.
+PENALTY = 0.06
 TRAIN_ROWS = 5000
 GOOD_AT_LEAST, TOXIC_BELOW = 0.5, 0.5
 _SYMBOL = np.zeros(256, bool)
@@ -252,7 +254,7 @@ def fit(found: pa.Table, rounds: int) -> Model:
             continue
         rare = min(own.mean(), 1 - own.mean())
         weight = np.where(own == (own.mean() < 0.5), 0.5 / max(rare, 0.05), 0.5 / (1 - rare))
-        penalty = np.full(size, 1.0 / np.sqrt(max(n, 100)) * 0.03)
+        penalty = np.full(size, PENALTY / np.sqrt(max(n, 100)))
         got, shift = _descend(fit_on, size, own, weight, penalty, rounds)
         z = np.concatenate([np.zeros(0), *(b.times(got) for b in held_out)]) + shift
         a, b = _platt(z, y[n_fit:])
