@@ -60,6 +60,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scans, op3_sharding, op4_html_extraction, op5_quality_rules, op6_bpe, op7_chat_formatting, op8_license_scans, op9_substring_dedup, op10_benchmark_decontamination)}
 
 _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANK_WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
 _OP10 = f"""
 with d as (select doc_id, {_WORDS} as w from documents),
 i as (select cast(item_id as varchar) as item_id, {_WORDS} as w from benchmark),
@@ -75,4 +77,26 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hi
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join covered using (doc_id) left join named using (doc_id)"""
 
-ORACLES: dict[str, str] = {"op10_benchmark_decontamination": _OP10}
+_OP1 = f"""
+with recursive d as (select doc_id, {_BLANK_WORDS.format(text=_LOWERED)} as w from documents),
+sh as (select distinct doc_id, array_to_string(w[p : p + 2], ' ') as g from d, unnest(range(1, greatest(len(w) - 1, 2))) as t(p) where len(w) > 0),
+sizes as (select doc_id, count(*) as n from sh group by 1),
+shared as (select x.doc_id as a, y.doc_id as b, count(*) as m from sh x join sh y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+links as (select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * m >= 90 * (p.n + q.n - m)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(a, b) as (select a, b from both_ways union select r.a, l.b from reach r join both_ways l on r.b = l.a),
+least_of as (select a, min(b) as m from reach group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id
+from d left join sizes using (doc_id) left join least_of on a = doc_id"""
+_OP9 = f"""
+with d as (select doc_id, {_BLANK_WORDS.format(text="coalesce(text, '')")} as w from documents),
+windows as (select doc_id, p, array_to_string(w[p : p + 12], ' ') as g from d, unnest(range(1, greatest(len(w) - 11, 1))) as t(p)),
+firsts as (select *, min(doc_id) over (partition by g) as f from windows),
+covered as (select distinct doc_id, unnest(range(p, p + 13)) as q from firsts where f < doc_id),
+words as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as q from d),
+left_over as (select doc_id, string_agg(x, ' ' order by q) as kept from words anti join covered using (doc_id, q) group by 1),
+cut as (select doc_id, count(*) as n from covered group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join cut using (doc_id) left join left_over using (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op9_substring_dedup": _OP9, "op10_benchmark_decontamination": _OP10}
