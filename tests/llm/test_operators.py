@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +195,20 @@ def test_empty_tables(spark):
     items, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     runs = [near.near_duplicates(none), debruijn.cut_repeats(none), winnow.decontaminate(none, items), bpe.tokenize(none, queries.vocabulary_path()), shards.shard(none), licences.scan_licences(none), secrets.findings(none), quality.apply_rules(none, labels), html.main_text(none.withColumn("html", F.col("text"))), quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))]
     assert [r.count() for r in runs] == [0] * len(runs)
+
+
+def test_word_features():
+    features, rows = quality.word_features(quality.Texts(pa.array(["sternly ###", "sternest", None, "", "a ### a", "ab#", "ab"]), lower=True))
+    of = [set(features[rows == i].tolist()) for i in range(7)]
+    assert [len(x) for x in of] == [5, 4, 0, 0, 2, 2, 1]  # each word, run of signs and start of 4, 5 or 6 bytes once
+    assert len(of[0] & of[1]) == 2 and len(of[0] & of[4]) == 1 and of[6] < of[5]
+
+
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op9_substring_dedup"])
+def test_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, queries.QUERIES[name](spark, sf).select(*columns).collect())) == sorted(want.fetchall())
