@@ -123,10 +123,12 @@ def file_name(v: Column) -> Column:
 
 
 def file_size(n: Column) -> Column:
-    out = F.when(n == 0, "0 B")
+    """One decimal, ties to the even digit; a null size is null."""
+    shown = lambda i, unit: F.format_string(f"%.1f {unit}", F.bround(n / float(1024**i), 1))
+    out = F.when(n.isNull(), F.lit(None)).when(n == 0, "0 B")
     for i, unit in enumerate(("B", "KB", "MB", "GB")):
-        out = out.when(n < 1024 ** (i + 1), F.format_string(f"%.1f {unit}", n / float(1024**i)))
-    return out.otherwise(F.format_string("%.1f TB", n / float(1024**4)))
+        out = out.when(n < 1024 ** (i + 1), shown(i, unit))
+    return out.otherwise(shown(4, "TB"))
 
 
 def base_name(v: Column) -> Column:

@@ -286,7 +286,7 @@ def sanitize_filename(spark, sf):
 
 @query("select doc_id, case when n = 0 then '0 B' when n < 1024 then format('{:.1f} B', n) when n < 1048576 then format('{:.1f} KB', n / 1024) else format('{:.1f} MB', n / 1048576) end as size from (select doc_id, cast(n_chars * 512 as double) as n from documents where n_chars % 2 = 0)")
 def file_size_format(spark, sf):
-    return read(spark, sf, "documents").where("n_chars % 2 = 0").select("doc_id", text.file_size(F.col("n_chars") * 512).alias("size"))
+    return read(spark, sf, "documents").select("doc_id", text.file_size(F.col("n_chars") * 512).alias("size"))
 
 
 @query("select page_id, regexp_extract(url, '[^/\\\\]+$') as name from pages")
