@@ -45,7 +45,7 @@ def _numbers(spark, sf):
     n, money = F.col("l_linenumber"), F.format_number("l_extendedprice", 2)
     q = F.col("l_quantity").cast("long").cast("string")
     v = F.when(n % 4 == 0, money).when(n % 4 == 1, F.translate(money, ",.", ".,")).when(n % 4 == 2, F.concat(q, F.lit(".000"))).otherwise(F.concat(F.lit("  "), q, F.lit(",5 kg")))
-    return read(spark, sf, "lineitem").where("l_linenumber <= 4").select((F.col("l_orderkey") * 10 + n).alias("k"), v.alias("v"))
+    return read(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + n).alias("k"), v.alias("v"))
 
 
 @query(f"select k, try_cast(regexp_replace(case when length(v) - length(replace(v, ',', '')) = 1 and contains(v, '.') then replace(replace(v, '.', ''), ',', '.') when contains(v, '.') and not contains(v, ',') then replace(v, '.', '') else v end, '[^0-9.\\-]', '', 'g') as double) as x from (select k, trim(v) as v from ({_NUMBERS}))")
@@ -109,7 +109,7 @@ def data_sheet_wide(spark, sf):
 @query("select seq, try_cast(revenue as double) as revenue, strftime(try_strptime(order_date, '%Y-%m-%d'), '%Y-%m-%d') as order_date from fx where regexp_full_match(coalesce(order_date, ''), '\\d{4}-.*')", True)
 def column_coercion(spark, sf):
     d = F.try_element_at("data", F.lit("order_date"))
-    return results(spark, sf).where(d.rlike(r"^\d{4}-")).select("seq", F.try_element_at("data", F.lit("revenue")).try_cast("double").alias("revenue"), F.date_format(F.try_to_timestamp(d, F.lit("yyyy-MM-dd")), "yyyy-MM-dd").alias("order_date"))
+    return results(spark, sf).select("seq", F.try_element_at("data", F.lit("revenue")).try_cast("double").alias("revenue"), F.date_format(F.try_to_timestamp(d, F.lit("yyyy-MM-dd")), "yyyy-MM-dd").alias("order_date"))
 
 
 # aggregates
