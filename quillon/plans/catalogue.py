@@ -489,7 +489,7 @@ def headroom_last5(spark, sf):
 
 @query("select o_orderkey from orders order by o_orderpriority desc, o_orderdate, o_orderkey limit 100")
 def priority_order(spark, sf):
-    return read(spark, sf, "orders").orderBy(F.desc("o_orderpriority"), "o_orderdate", "o_orderkey").limit(100).select("o_orderkey")
+    return read(spark, sf, "orders").orderBy(F.desc("o_orderpriority"), "o_orderdate", "o_orderkey").select("o_orderkey")
 
 
 @query(f"with {_LOG} select file, seq from (select file, seq, row_number() over (partition by file order by seq desc) as r from log) where r <= 10")

@@ -59,3 +59,9 @@ def test_dates_of_all_orders(spark):
     want = sorted(whole("column_coercion", " where regexp_full_match(coalesce(order_date, ''), '\\d{4}-.*')"))
     assert got == want and len(got) == sql("select count(*) from orders")[0][0]
     assert all((d is not None) == (k % 5 == 2 and k % 29 != 0) for k, _, d in got)
+
+
+def test_priority_order_of_all_orders(spark):
+    got = [tuple(r) for r in QUERIES["priority_order"](spark, SF).collect()]
+    assert got == whole("priority_order", " limit 100") and len(got) == sql("select count(*) from orders")[0][0]
+    assert got[:100] == sql(ORACLES["priority_order"])
