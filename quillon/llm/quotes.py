@@ -1,10 +1,12 @@
 """Chat formatting by quotation linking, with DataFrame functions only.
 
 Each message's lines are read as (quote level, text): the level is the number of > marks before the text. Successive lines of
-one level are a passage. Quoted passages and the messages' own passages are normalised (lower case, white space as one space)
-and hashed; within a conversation, a quoted passage belongs to the latest earlier message that holds a passage with its hash.
-That is one window over the union of both sides, so a common line in a long conversation gives no pairs. The message that a
-message's first linked quote names is its parent; without one, the message before it is.
+one level are a passage. Text is compared in lower case with white space as one space, so a quote may be wrapped anew. Within a
+conversation, a quoted passage of any length belongs to the latest earlier message in which it is one or more whole lines that
+follow each other in the message's own text; a quote that begins or ends inside a line has no link. Of each message, only the
+runs of lines as long as some quote of the conversation are hashed, and one window over the union of both sides links them, so a
+common line in a long conversation gives no pairs. The message that a message's first linked quote names is its parent; without
+one, the message before it is.
 """
 
 from __future__ import annotations
@@ -13,8 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _QUOTE = r"^[ \t]*((?:>[ \t]*)+)"
-#: Passages shorter than this many characters, normalised, say too little to name their message.
-LEAST_CHARS = 12
 
 
 def normalised(text: Column) -> Column:
@@ -30,6 +30,17 @@ def _lines(text: Column) -> tuple[Column, Column]:
     return levelled, starts
 
 
+def _runs(text: Column, asked: Column) -> Column:
+    """The distinct runs of successive lines of a text, normalised, whose length is among those asked for."""
+    lines = F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
+    whole = F.array_join(lines, " ")
+    # where each line starts in the whole, and one place past the end: a run of n characters from s ends before mark s + n + 1
+    marks = F.aggregate(lines, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
+    short = F.filter(asked, lambda n: n <= F.length(whole))
+    of = lambda s: F.transform(F.array_intersect(F.transform(short, lambda n: s + n + 1), marks), lambda m: F.substr(whole, s + 1, m - s - 1))
+    return F.array_distinct(F.flatten(F.transform(F.slice(marks, 1, F.size(lines)), of)))
+
+
 def split_quotes(messages: DataFrame) -> DataFrame:
     """messages with `passages`: array<struct<level int, body string>>."""
     levelled, starts = _lines(F.col("text"))
@@ -52,14 +63,12 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     tidy = lambda c: F.regexp_replace(c, r"(?m)^[^\n]{0,120}\b(wrote|schrieb|a écrit|escribió)\s*:[ \t]*$", "")
     keyed = split.select("conv_id", "turn", "role", F.regexp_replace(F.array_join(F.transform(own, lambda p: tidy(p["body"])), "\n"), r"(?U)^\s+|\s+$", "").alias("clean_text"), F.transform(quoted, lambda p: p["body"]).alias("quotes"))
     keyed = keyed.withColumn("n_quotes", F.size("quotes").cast("long"))
-    # what a message can be quoted by: its whole own text and each of its lines
-    parts = F.array_distinct(F.filter(F.transform(F.concat(F.array("clean_text"), F.split("clean_text", "\n")), normalised), lambda x: F.length(x) >= LEAST_CHARS))
-    asked = F.transform("quotes", lambda q, i: F.struct(i.alias("n"), F.md5(normalised(q)).alias("h")))
-    some = keyed.groupBy("conv_id").agg(F.sum("n_quotes").alias("q")).where("q > 0").select(F.col("conv_id").alias("c"))
+    asked = F.filter(F.transform("quotes", lambda q, i: F.struct(i.alias("n"), normalised(tidy(q)).alias("q"))), lambda a: a["q"] != "")
+    wanted = keyed.select(F.col("conv_id").alias("c"), F.explode(asked).alias("a")).groupBy("c").agg(F.collect_set(F.length("a.q")).alias("lengths"))
     # only conversations with a quote have anything to link
-    talk = keyed.join(some, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
-    told = talk.select("conv_id", "turn", F.explode(F.transform(parts, F.md5)).alias("h"), F.lit(None).cast("int").alias("n"), F.lit(0).alias("asks"))
-    asks = talk.select("conv_id", "turn", F.explode(asked).alias("a")).select("conv_id", "turn", "a.h", "a.n", F.lit(1).alias("asks"))
+    talk = keyed.join(wanted, F.col("conv_id").eqNullSafe(F.col("c")))
+    told = talk.select("conv_id", "turn", F.explode(F.transform(_runs(F.col("clean_text"), F.col("lengths")), F.md5)).alias("h"), F.lit(None).cast("int").alias("n"), F.lit(0).alias("asks"))
+    asks = talk.select("conv_id", "turn", F.explode(asked).alias("a")).select("conv_id", "turn", F.md5("a.q").alias("h"), "a.n", F.lit(1).alias("asks"))
     before = Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     linked = told.unionByName(asks).withColumn("from", F.max(F.when(F.col("asks") == 0, F.col("turn"))).over(before)).where("asks = 1 and from is not null")
     parents = linked.groupBy("conv_id", "turn").agg(F.min_by("from", "n").alias("quoted_turn"), F.count("*").alias("n_linked"))

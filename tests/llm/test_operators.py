@@ -190,6 +190,48 @@ def test_quotes(spark):
     assert got[2, 0].clean_text == "" and got[None, None].n_linked == 0
 
 
+def test_quotes_of_lines_out_of_longer_messages(spark):
+    start = "One line.\nSecond line here.\nThird line of it.\n\nYes, agreed\nLast line ends."
+    rows = [
+        (1, 0, start),
+        (1, 1, "Unrelated, but long enough to be a turn."),
+        (1, 2, "Something else."),
+        (1, 3, "> Second line here.\n> Third line of it.\nMine one\nMine two\n> yes, agreed\nMine three"),  # two lines; a short one
+        (1, 4, "> Mine one\n> Mine two\nok"),  # a passage of an interleaved reply
+        (1, 5, "> Third line\n> of it.\n>\n> Yes, agreed Last line ends.\nno"),  # wrapped anew, over a blank line
+        (1, 6, "> One line.\n> Third line of it.\n> ok\nnot successive"),  # no such run
+        (1, 7, "> ok\n> \n\n> line here.\nshort"),  # ok is turn 4; the part of a line is none
+        (1, 8, "> later\nown"),  # only earlier turns count
+        (1, 9, "later"),
+    ]
+    got = {r.turn: r for r in quotes.link_quotes(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: (r.parent_turn, r.n_quotes, r.n_linked) for t, r in got.items() if t > 2} == {3: (0, 2, 2), 4: (3, 1, 1), 5: (0, 1, 1), 6: (5, 1, 0), 7: (4, 2, 1), 8: (7, 1, 0), 9: (8, 0, 0)}
+
+
+def test_quotes_against_brute_force(spark):
+    rng = random.Random(8)
+    norm = lambda t: " ".join(t.lower().split())
+    convs, rows = [], []
+    for c in range(12):
+        own = []
+        for t in range(14):
+            mine = [" ".join(rng.choice(["ab", "Cd", "e", "ok"]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 5))]
+            quote = []
+            if t and rng.random() < 0.8:
+                src = own[rng.randrange(t)]
+                s = rng.randrange(len(src))
+                quote = src[s : s + rng.randint(1, 3)] + (["zz"] if rng.random() < 0.2 else [])
+            own.append(mine)
+            rows.append((c, t, "u", "\n".join(["> " + q for q in quote] + mine)))
+            convs.append((c, t, norm(" ".join(quote)) if quote else None))
+    said = {(c, t): [x for x in text.split("\n") if not x.startswith(">")] for c, t, _, text in rows}
+    runs = {k: {norm(" ".join(v[i:j])) for i in range(len(v)) for j in range(i + 1, len(v) + 1)} for k, v in said.items()}
+    want = {(c, t): max((u for u in range(t) if q in runs[c, u]), default=None) if q else None for c, t, q in convs}
+    out = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.parent_turn, r.n_linked) for r in out} == {(c, t): (w if w is not None else (t - 1 if t else None), int(w is not None)) for (c, t), w in want.items()}
+    assert sum(w is not None for w in want.values()) > 80
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     items, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
