@@ -1,6 +1,7 @@
 """Secret scans with DataFrame functions only.
 
-A pattern finds candidates: long runs of key characters with a digit. A random forest, trained on labelled findings, then
+A pattern finds candidates: what stands behind a key word and =, : or a quote, whatever its length and signs; the credentials
+in a URL; and long runs of key characters with a digit, without the name before a =. A random forest, trained on labelled findings, then
 tells secrets from ids, hashes, paths and numbers by a candidate's length, character transitions, dictionary coverage, path
 marks and neighbouring words. The forest is compiled into one CASE expression, so a scan is a projection: no shuffle,
 and no row is ever gathered with others.
@@ -14,12 +15,37 @@ from pyspark.sql import functions as F
 
 from .forest import column, fit
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/=.-]*[0-9])[A-Za-z0-9_+/=.-]{16,}(?![A-Za-z0-9_+/=@-])"
+_KEY = r"(?i:key|token|secret|passw(?:or)?d|pass(?:phrase)?|pwd|credential|auth|bearer)(?i:s?)(?:[_-][A-Za-z0-9_-]{0,20}|[A-Z0-9][A-Za-z0-9]{0,20})?[\"'\])]{0,2}"
+_LEAD = _KEY + r"[ \t]{0,3}(?::=|=>|={1,3}|:)[ \t]{0,3}"
+#: Not where a URL with credentials or another key word's value lies inside: those are candidates of their own.
+_ALONE = r"(?!{0}{{0,200}}?(?:://[^\s/:@]{{0,64}}:[^\s/]{{1,64}}@|" + _KEY.replace("{", "{{").replace("}", "}}") + r"[ \t]{{0,3}}[:=][ \t]{{0,3}}[^\s:=]))(?![A-Za-z][A-Za-z0-9+.-]{{0,20}}://)"
+
+
+def _quoted(q: str) -> str:
+    """A value up to the closing quote; not a phrase with a long run in it, which is a candidate of its own."""
+    inside = f"[^{q}\\n]"
+    return rf"(?<={q})(?!{q})" + _ALONE.format(inside) + rf"(?!(?={inside}{{0,200}}\s){inside}{{0,200}}?[A-Za-z0-9_+/.-]{{16}})[^{q}\\\n]*(?:\\.[^{q}\\\n]*){{0,50}}(?={q})"
+
+
+#: A bare value ends at white space, at a quote that ends a word and where the next name begins; marks of a sentence behind it stay.
+_SIGN = r"(?![,;&|][\[{(]?[\"'`]?[\w.-]{1,40}[\"'`]?[ \t]?[:=]|[\"'`](?!\w)|(?<!\w)[\"'`])\S"
+_BARE = r"(?:(?<=[\s\"'`])|(?![=:>]))" + _ALONE.format(f"(?:{_SIGN})") + f"(?:{_SIGN})+" + r"(?<![.,;)\]}])"
+_MARKED = "|".join((
+    rf"(?<=[\"'`])(?<=(?:{_LEAD}|{_KEY}[ \t]{{1,3}})[\"'`])(?:{'|'.join(map(_quoted, '\"\'`'))})",
+    rf"(?:(?<=[=:>][ \t]{{0,3}}[\"'`]?)(?<={_LEAD}[\"'`]?)|(?<=[Rr][Ss]?[ \t]{{1,3}})(?<=(?i:bearer)s?[ \t]{{1,3}})){_BARE}",
+    r"(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/?#\"<>]+(?=@)",
+    r"(?<=://)[^\s/?#:@\"<>]+(?=@)",
+))
+# a marked value stands behind one of few signs or white space and is not white space itself: that spares most places the rest
+CANDIDATE = rf"(?<=[=:>\"'`/ \t])(?:{_MARKED})|(?<![A-Za-z0-9_+/.@-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/.-]{{16,}}={{0,2}}(?![A-Za-z0-9_+/@-])"
 #: Words of the dictionary feature and of the neighbourhood, fixed values.
 WORDS = "mail example server config report version release index page image data file test user home local model system build static assets public service account order invoice number station window table chapter section market energy general".split()
 LIKELY = r"(?i)(api|access|secret|private|auth|encrypt|signing)?[ _-]?(key|token|secret|passw(or)?d|pwd|credential|bearer)s?\b"
 UNLIKELY = r"(?i)\b(sha\d*|md5|commit|checksum|digest|uuid|guid|etag|version|revision|build|trace|request|order|invoice|card|phone|isbn|doi|https?|path|file)\b"
-NAMES = ("length", "digits", "upper", "letters_only_lower", "transitions", "vowels", "dictionary", "slashes", "dots", "dashes", "hex", "numeric", "quoted", "assigned", "likely", "unlikely", "path_before", "distinct_share")
+#: Values that stand for one: calls, references and empty values; and words of examples.
+CODE = r"^[\[({<$%]|^[\w.]*[\w][(\[]|^\W*$|(?i)^(none|null|nil|undefined|true|false|str|string|int|bytes|bool|required|optional|self|this|lambda|function|await)\b"
+SAMPLE = r"(?i)your|example|changeme|placeholder|dummy|sample|xxx|\*\*\*|^my[-_]|^test[-_]"
+NAMES = ("length", "digits", "upper", "letters_only_lower", "transitions", "vowels", "dictionary", "slashes", "dots", "dashes", "hex", "numeric", "quoted", "assigned", "likely", "unlikely", "path_before", "distinct_share", "signs", "spaces", "code", "in_url", "sample")
 SECRET_AT_LEAST = 0.5
 NEAR = 48
 
@@ -49,6 +75,11 @@ def features(text: Column, before: Column, after: Column) -> list[Column]:
         number(before.rlike(UNLIKELY + "[^\\n]{0,16}$")),
         number(before.rlike("(://|[/\\\\@~])\\S*$")),
         F.size(F.array_distinct(F.split(text, ""))).cast("double") / n,
+        count("[^A-Za-z0-9\\s._/+=-]") / n,
+        count("\\s") / n,
+        number(text.rlike(CODE)),
+        number(before.rlike("://[^\\s/@]*$") & after.startswith("@")),
+        number(text.rlike(SAMPLE)),
     ]
 
 
@@ -63,9 +94,21 @@ def labelled(rows: int = 3000, seed: int = 11) -> list[tuple[str, str, str, int]
     prose = lambda: " ".join(word() for _ in range(6))
     with_digit = lambda s: s if any(c in dig for c in s) else s[:-1] + one(*dig)
 
+    def chosen(name: str, q: str) -> tuple[str, str, str, int]:
+        """Passwords that people make, and those in connection strings."""
+        mixed = lambda: "".join(w.capitalize() if i else w for i, w in enumerate(one(*WORDS) for _ in range(int(rng.integers(3, 6)))))
+        value = one(lambda: draw(low + dig, int(rng.integers(8, 16))), lambda: one(*WORDS).capitalize() + draw("!@#$%&*", 1) + draw(dig, int(rng.integers(2, 5))) + draw(low, int(rng.integers(0, 4))), lambda: draw(low + up + dig + "!#$%&*^~?+-", int(rng.integers(8, 24))), mixed, lambda: one(*WORDS) + draw(dig, int(rng.integers(1, 5))))()
+        if rng.random() < 0.3:
+            return prose() + one(" ", " url: ", " DATABASE_URL=", ' dsn = "') + one("postgres", "mysql", "redis", "amqp", "https", "mongodb") + "://" + one("admin", "root", "", "app", word()) + ":", value.replace("#", "!").replace("?", "!"), "@" + one("host", "db.example.com", "10.0.0.7") + one("", "/" + word(), ":5432/main") + " " + prose(), 1
+        if q and rng.random() < 0.15:
+            value = " ".join(one(*WORDS) for _ in range(4))
+        return prose() + one(" ", "\n", " DB_", " --") + ("password" if name.startswith("Auth") else name) + one(" = ", "=", ": ", ":", " : ") + q, value, q + one(" ", "\n", ", ", ". ") + prose(), 1
+
     def secret() -> tuple[str, str, str, int]:
         name = one("token", "api_key", "apikey", "secret", "password", "passwd", "access_key", "API_TOKEN", "client_secret", "auth_token", "private_key", "SECRET_KEY", "credentials", "pwd", "bearer", "Authorization: Bearer")
         q = one('"', "'", "", '"')
+        if rng.random() < 0.4:
+            return chosen(name, q)
         value = one(lambda: draw(hexa, int(rng.choice([32, 40, 48, 64]))), lambda: draw(b64, int(rng.integers(24, 72))), lambda: "AKIA" + draw(up + dig, 16), lambda: "ghp_" + draw(low + up + dig, 36), lambda: "sk_live_" + draw(low + up + dig, 24), lambda: draw(low + up + dig, int(rng.integers(20, 48))), lambda: "xoxb-" + draw(dig, 12) + "-" + draw(low + up + dig, 24))()
         join = one(" = ", "=", ": ", " : ", ":", " ") if name.endswith("earer") or rng.random() < 0.95 else " is "
         marked = value[:3] in ("AKI", "ghp", "sk_", "xox")
@@ -73,7 +116,22 @@ def labelled(rows: int = 3000, seed: int = 11) -> list[tuple[str, str, str, int]
         return before, with_digit(value), q + " " + prose(), 1
 
     def other() -> tuple[str, str, str, int]:
-        kind = int(rng.integers(10))
+        kind = int(rng.integers(16))
+        if kind > 9:
+            lead = prose() + one(" ", "\n", ". The ", " a ") + one("key", "token", "secret", "password", "Password", "passwd", "api_key", "access key", "auth", "pass", "SECRET_KEY", "credentials", "pwd", "tokens", "keys")
+            if kind == 10:
+                return lead + one(": ", " : ", ' "', ": '"), one("the", "a", "and", "of", "in", "it", "to", one(*WORDS), word()), " " + prose(), 0
+            if kind == 11:
+                return lead + one(" = ", "=", ": ", " := "), one(f"os.environ['{one(*WORDS)}']", f"{word()}.{word()}()", f"get_{one(*WORDS)}({word()})", "None", "null", "True", "false", "str", "string", "required", "self." + word(), "request." + word(), f"{word()}[{draw(dig, 1)}]"), " " + prose(), 0
+            if kind == 12:
+                q = one('"', "'", "")
+                return lead + one(" = ", ": ", "=") + q, one("${" + one(*WORDS).upper() + "}", "<your-token>", "<password>", "{{ " + word() + " }}", "********", "xxxxxxxx", "changeme", "your_password", "your-api-key", "%s", "example", "placeholder"), q + " " + prose(), 0
+            if kind == 13:
+                return prose() + one(" https://", " ssh://", " git+ssh://", " http://"), one("git", "user", "admin", "anonymous", word()), "@" + word() + ".com/" + word() + " " + prose(), 0
+            if kind == 14:
+                q = one('"', "'")
+                return lead + one(": ", " = ", " ") + q, one(prose(), one(*WORDS) + " " + prose(), word().capitalize() + " " + prose() + "."), q + " " + prose(), 0
+            return lead + one(": ", " = ", "=", ":"), one(draw(dig, int(rng.integers(1, 4))), f"{one(*WORDS)}_{one(*WORDS)}", one(*WORDS).upper(), word().capitalize(), f"{one(*WORDS)}.{one(*WORDS)}", f"{one(*WORDS)}-{one(*WORDS)}"), one(", ", ". ", " ", "\n") + prose(), 0
         if kind == 0:
             return prose() + " ", draw(dig, 16), " " + prose(), 0
         if kind == 1:
@@ -98,12 +156,36 @@ def labelled(rows: int = 3000, seed: int = 11) -> list[tuple[str, str, str, int]
 
 
 def train(spark: SparkSession, rows: int = 3000):
-    """The forest, fitted on `rows` labelled findings whose features are computed by the expressions that a scan uses."""
-    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    values = ",".join(f"({quoted(b)},{quoted(c)},{quoted(a)},{y})" for b, c, a, y in labelled(rows))
-    frame = spark.sql(f"select * from values {values} as t(b, c, a, y)").select(F.array(*features(F.col("c"), F.right(F.col("b"), F.lit(NEAR)), F.left(F.col("a"), F.lit(NEAR)))).alias("x"), "y")
-    got = frame.collect()
-    return fit(np.array([r.x for r in got]), np.array([r.y for r in got]))
+    """The forest, fitted on the candidates that a scan finds in `rows` labelled texts, with the features that a scan computes.
+    One that overlaps the text's secret is a secret; any other is none."""
+    made = labelled(rows)
+    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    values = ",".join(f"({i},{quoted(b + c + a)})" for i, (b, c, a, _) in enumerate(made))
+    pieces, found = _parts(F.col("text"))
+    frame = spark.sql(f"select * from values {values} as t(i, text)").select("i", pieces.alias("_pieces"), found.alias("_found"))
+    x, y = [], []
+    for r in frame.select("i", F.transform("_pieces", F.length).alias("gaps"), F.transform("_found", _described).alias("found")).collect():
+        before, value, _, is_secret = made[r.i]
+        at = 0
+        for gap, f in zip(r.gaps, r.found):
+            start = at + gap
+            at = start + len(f.candidate)
+            x.append(f.x)
+            y.append(int(is_secret and start < len(before) + len(value) and at > len(before)))
+    return fit(np.array(x), np.array(y))
+
+
+def _parts(text: Column) -> tuple[Column, Column]:
+    """The candidates of a text in order of place, and the pieces before, between and behind them."""
+    return F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+
+
+def _described(c: Column, i: Column) -> Column:
+    """A candidate with its features. What stands before it is the piece before it, and the candidate before that if it is short."""
+    gap = F.get(F.col("_pieces"), i)
+    before = F.right(F.concat(F.coalesce(F.get(F.col("_pieces"), i - 1), F.lit("")), F.coalesce(F.get(F.col("_found"), i - 1), F.lit("")), gap), F.lit(NEAR))
+    after = F.left(F.concat(F.get(F.col("_pieces"), i + 1), F.coalesce(F.get(F.col("_found"), i + 1), F.lit(""))), F.lit(NEAR))
+    return F.struct(c.alias("candidate"), F.array(*features(c, before, after)).alias("x"))
 
 
 def find(docs: DataFrame, forest=None) -> DataFrame:
@@ -113,12 +195,7 @@ def find(docs: DataFrame, forest=None) -> DataFrame:
     forest = forest or train(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in ("findings", "redacted")])
     text = F.col("text")
-    pieces = F.split(text, CANDIDATE, -1)
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-
-    def described(c: Column, i: Column) -> Column:
-        before, after = F.right(F.get(F.col("_pieces"), i), F.lit(NEAR)), F.left(F.get(F.col("_pieces"), i + 1), F.lit(NEAR))
-        return F.struct(c.alias("candidate"), F.array(*features(c, before, after)).alias("x"))
+    pieces, found = _parts(text)
 
     def judged(s: Column) -> Column:
         p = F.round(column(forest, lambda f: F.get(s["x"], F.lit(f))), 6)
@@ -126,7 +203,7 @@ def find(docs: DataFrame, forest=None) -> DataFrame:
 
     has = text.rlike(CANDIDATE)
     out = docs.withColumn("_pieces", F.when(has, pieces)).withColumn("_found", F.when(has, found))
-    out = out.withColumn("findings", F.coalesce(F.transform(F.transform("_found", described), judged), F.array().cast("array<struct<candidate:string,score:double,is_secret:boolean>>")))
+    out = out.withColumn("findings", F.coalesce(F.transform(F.transform("_found", _described), judged), F.array().cast("array<struct<candidate:string,score:double,is_secret:boolean>>")))
     marks = F.zip_with(F.col("_pieces"), F.col("findings"), lambda a, f: F.concat(F.coalesce(a, F.lit("")), F.when(f["is_secret"], F.lit("[SECRET]")).otherwise(F.coalesce(f["candidate"], F.lit("")))))
     return out.withColumn("redacted", F.when(F.exists("findings", lambda f: f["is_secret"]), F.array_join(marks, "")).otherwise(text)).drop("_pieces", "_found")
 

@@ -157,6 +157,24 @@ def test_secrets(spark):
     assert got[2].redacted == rows[1][1] and got[3].redacted is None and got[4].redacted == "" and got[3].findings == []
 
 
+def test_secrets_of_any_length_and_sign(spark):
+    made = [("password = ", "abc123def456", " end"), ('x token: "', "abc123def456", '"'), ('password = "', "correctHorseBatteryStaple", '" y'), ("password: ", "Tr0ub4dor&3xyz", ", and more"), ("db postgres://admin:", "S3cr3tPassw0rdLong99", "@host/x"), ("API_KEY=", "9f8e7d6c5b4a39281706f5e4d3c2b1a0", " next"), ("Authorization: Bearer ", "abc123def456", "")]
+    plain = ["the key: a good idea, token: the word", 'password = os.environ["PW"]', "https://git@github.com/a/b", "commit 9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c next"]
+    rows = list(enumerate([b + c + a for b, c, a in made] + plain))
+    got = [r.redacted for r in secrets.find(frame(spark, rows)).orderBy("doc_id").collect()]
+    assert got == [f"{b}[SECRET]{a}" for b, _, a in made] + plain
+    two = secrets.find(frame(spark, [(1, "a?token=abc123def&password=hunter2x")])).first()  # each value alone
+    assert [f.candidate for f in two.findings] == ["abc123def", "hunter2x"]
+
+
+def test_secrets_that_a_scan_can_meet(spark):
+    held = secrets.labelled(600, seed=99)
+    out = secrets.find(frame(spark, [(i, b + c + a) for i, (b, c, a, _) in enumerate(held)])).orderBy("doc_id").collect()
+    assert all(any(f.candidate in c or c in f.candidate for f in r.findings) for (_, c, _, y), r in zip(held, out) if y)
+    assert sum((c in r.redacted) for (_, c, _, y), r in zip(held, out) if y) <= 6
+    assert sum(r.redacted != b + c + a for (b, c, a, y), r in zip(held, out) if not y) <= 6
+
+
 def test_html():
     model = html.train()
     held = html.labelled_pages(60, seed=99)
