@@ -25,10 +25,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, 0.8 or more) the document with the smallest id stays."""
-    groups = near.near_duplicates(docs.select("doc_id", "text"), k=5, num=80, den=100)
+    """Of each group of near duplicates (five-word shingles, 0.8 or more) the document with the smallest id stays. Of several rows
+    with one id the one with the least text stays (nulls last), and only its text is compared. Rows without an id stay as they are."""
+    columns, named = docs.columns, docs.where("doc_id is not null")
+    first = F.struct(F.col("text").isNull().alias("none"), "text", *(c for c in columns if c not in ("doc_id", "text")))
+    twice = stash(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    # few ids repeat: only their rows are gathered to choose a text; as a file their size is known, so that texts need no shuffle
+    chosen = named.select("doc_id", "text").join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("none"), "text")).alias("x")).select("doc_id", "x.text")
+    texts = named.select("doc_id", "text").join(twice, "doc_id", "left_anti").unionByName(chosen)
+    groups = near.near_duplicates(texts, k=5, num=80, den=100)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = named.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(first).alias("x")).select("doc_id", "x.*")
+    return kept.select(*columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
