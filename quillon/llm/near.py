@@ -59,7 +59,7 @@ def _class_of(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _profile(k: int):
     """Each row's class and range counts, then the task's share of the sketch."""
-    fields = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("ranges", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
+    fields = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("ranges", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -70,13 +70,13 @@ def _profile(k: int):
                 sketch += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
                 ranges = np.bincount(rows * RANGES + (values & np.uint64(RANGES - 1)).astype(np.int64), minlength=len(part) * RANGES).reshape(len(part), RANGES)
                 ranges = np.minimum(ranges, 65535).astype(np.uint16)
-                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(counts), pa.array(_class_of(sums, counts)), pa.array([x.tobytes() for x in ranges], pa.binary()), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())], schema=fields)
+                yield pa.record_batch([part.column("doc_id"), part.column("th"), pa.array(counts), pa.array(_class_of(sums, counts)), pa.array([x.tobytes() for x in ranges], pa.binary()), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())], schema=fields)
         if sketch.any():
             pieces = sketch.reshape(SKETCH_ROWS, -1)
             none = pa.nulls(SKETCH_ROWS, pa.int64())
-            yield pa.record_batch([none, none, none, pa.nulls(SKETCH_ROWS, pa.binary()), pa.array(np.arange(SKETCH_ROWS, dtype=np.int32)), pa.array([x.astype(np.int32).tobytes() for x in pieces], pa.binary())], schema=fields)
+            yield pa.record_batch([none, none, none, none, pa.nulls(SKETCH_ROWS, pa.binary()), pa.array(np.arange(SKETCH_ROWS, dtype=np.int32)), pa.array([x.astype(np.int32).tobytes() for x in pieces], pa.binary())], schema=fields)
 
-    return run, "doc_id long, n long, cls long, ranges binary, piece int, counts binary"
+    return run, "doc_id long, th long, n long, cls long, ranges binary, piece int, counts binary"
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,13 +197,17 @@ def _verified(k: int, num: int, den: int):
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text, ...).
 
-    Two rows link when |A and B| * den >= num * |A or B|. Rows whose text is null or has no word link with nothing; equal
-    doc_ids are one node. component_id is the smallest doc_id reachable by links. Extra columns are not looked at."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    Two rows link when |A and B| * den >= num * |A or B|. Rows whose text is null or has no word link with nothing and are their
+    own component. Rows of one doc_id that have words are one node, whatever their texts: each text's links count. component_id
+    is the smallest doc_id reachable by links; a null doc_id is never that, unless nothing else is there. Repeated rows come out
+    as often as they came in. Extra columns are not looked at. Nodes are classes of equal sets, so copies give no pairs; a class
+    that many others are paired with (a hub) has its text joined once for each pair, and adaptive skew joins split its rows."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     run, schema = _profile(k)
     seen = stash(texts.mapInArrow(run, schema))
-    rows = seen.where("piece is null").select("doc_id", "n", "cls")
-    classes = stash(rows.where("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep")))
+    rows = seen.where("piece is null").select("doc_id", "th", "n", "cls")
+    # of each class the least doc_id (nulls last) and the hash of a text under it
+    classes = stash(rows.where("n > 0").groupBy("cls", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")).select("cls", "n", "rep.doc_id", "rep.th"))
     pieces = seen.where("piece is not null").select("piece", "counts").repartition("piece").mapInArrow(_summed, "piece int, counts binary").collect()  # 2**SKETCH_BITS counts in all
     order = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), np.int32)
     for x in pieces:
@@ -213,52 +217,51 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     light = boundary(sizes, order, num, den)
     spark = docs.sparkSession
     run, schema = _entries(k, num, den, light, spark.sparkContext.broadcast(order))
-    entries = texts.mapInArrow(run, schema)
+    entries = texts.select("text").mapInArrow(run, schema)
     by_place = Window.partitionBy("key", "lacks").orderBy("place", "n", "cls")
     marked = entries.withColumn("lacks", F.expr("case when lacking < 0 then -1 else n - lacking end"))
     marked = marked.withColumns({"first": F.first(F.struct("cls", "n")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)), "prev": F.lag(F.struct("cls", "n")).over(by_place), "next": F.lead("cls").over(by_place)})
     marked = stash(marked.where("first.cls <> cls or next <> cls").where("not (prev is not null and prev.cls = cls)"))
-    exact = marked.where("lacks >= 0 and first.cls <> cls").where(f"{den} * lacks >= {num} * (n + first.n - lacks)").selectExpr("cls as x", "first.cls as y")
+    exact = marked.where("lacks >= 0 and first.cls <> cls").where(f"{den} * lacks >= {num} * (n + first.n - lacks)").selectExpr("cls as a", "first.cls as b")
     lists = marked.where("lacks < 0")
     at_random = Window.partitionBy("key").orderBy(F.xxhash64("key", "cls"))
     near = lambda c: f"{den} * {c}.n >= {num} * n and {num} * {c}.n <= {den} * n"
     shuffled = lists.withColumn("other", F.lag(F.struct("cls", "n")).over(at_random)).select("cls", "n", F.explode(F.array("first", "prev", "other")).alias("p"))
-    tried = shuffled.where("p.cls <> cls").where(near("p")).selectExpr("cls as x", "p.cls as y")
-
-    def named(pairs: DataFrame) -> DataFrame:
-        for c, to in (("x", "a"), ("y", "b")):
-            pairs = pairs.join(classes.select(F.col("cls").alias(c), F.col("rep").alias(to), F.col("n").alias(f"n_{to}")), c)
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+    tried = shuffled.where("p.cls <> cls").where(near("p")).selectExpr("least(cls, p.cls) as a", "greatest(cls, p.cls) as b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (x, y) of classes that are linked indeed, as (a, b)."""
-        pairs = named(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        profiles = seen.where("piece is null").select("doc_id", "ranges").dropDuplicates(["doc_id"])
+        """Distinct pairs (a, b) of classes that are linked indeed."""
+        profiles = seen.where("piece is null and n > 0").groupBy("cls", "n").agg(F.first("ranges").alias("ranges"))
+        pairs = pairs.distinct()
         for c in "ab":
-            pairs = pairs.join(profiles.select(F.col("doc_id").alias(c), F.col("ranges").alias(f"ranges_{c}")), c)
+            pairs = pairs.join(profiles.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"ranges_{c}")), c)
         run, schema = _bounded(num, den)
         pairs = stash(pairs.select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b").mapInArrow(run, schema))
-        # only the texts of documents in some pair are dealt out
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        wanted = stash(texts.join(ids, "doc_id", "left_semi"))
+        # one text of each class in some pair is dealt out
+        used = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        keys = classes.join(used, "cls", "left_semi").select("cls", F.col("doc_id").alias("d"), F.col("th").alias("h"))
+        wanted = stash(texts.join(keys, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).groupBy("cls").agg(F.first("text").alias("text")))
         for c in "ab":
-            pairs = pairs.join(wanted.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), c)
+            pairs = pairs.join(wanted.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")), c)
         run, schema = _verified(k, num, den)
         return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
-    links = stash(named(exact.distinct()).select("a", "b").unionByName(verified(tried)))
+    links = stash(exact.distinct().unionByName(verified(tried)))
     first = stash(components(links))
     # lists whose sets are still apart
-    known = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("at"))
-    several = lists.select("key", "cls", "n", "place").join(known, "cls")
+    several = lists.select("key", "cls", "n", "place").join(first.withColumnsRenamed({"node": "cls", "component": "top"}), "cls", "left").withColumn("at", F.coalesce("top", "cls"))
     apart = several.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("members")).where("lo < hi and members > 2").select("key")
     several = stash(several.join(apart, "key"))
     p, q = several.alias("p"), several.alias("q")
     # if it is the first that both list, the pair shares at most it and the lesser rest; an earlier one, if any, finds the pair itself
     still = f"{num + den} * least(p.n - p.place, q.n - q.place) >= {num} * (p.n + q.n)"
-    across = p.join(q, F.expr(f"p.key = q.key and p.at < q.at and {den} * p.n >= {num} * q.n and {num} * p.n <= {den} * q.n and {still}")).selectExpr("least(p.cls, q.cls) as x", "greatest(p.cls, q.cls) as y")
-    across = across.distinct().join(tried.selectExpr("least(x, y) as x", "greatest(x, y) as y").distinct(), ["x", "y"], "left_anti")
-    more = stash(verified(across))
-    final = components(links.unionByName(more)) if not more.isEmpty() else first
-    of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "n", F.coalesce("component", "rep").alias("component_id"))
+    across = p.join(q, F.expr(f"p.key = q.key and p.at < q.at and {den} * p.n >= {num} * q.n and {num} * p.n <= {den} * q.n and {still}")).selectExpr("least(p.cls, q.cls) as a", "greatest(p.cls, q.cls) as b")
+    more = stash(verified(across.distinct().join(tried.distinct(), ["a", "b"], "left_anti")))
+    named = rows.where("n > 0 and doc_id is not null").select("doc_id", "cls")
+    twice = named.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("hi")).where("a < hi").select("doc_id", "a")
+    same_id = stash(named.join(twice, "doc_id").selectExpr("a", "cls as b"))
+    final = first if more.isEmpty() and same_id.isEmpty() else components(links.unionByName(more).unionByName(same_id))
+    of_class = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "doc_id", F.coalesce("component", "cls").alias("component"))
+    least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = of_class.join(least, "component").select("cls", "n", "component_id")
     return rows.join(of_class, ["cls", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
