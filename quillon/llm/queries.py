@@ -53,8 +53,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = winnow.decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return winnow.measure(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scans, op3_sharding, op4_html_extraction, op5_quality_rules, op6_bpe, op7_chat_formatting, op8_license_scans, op9_substring_dedup, op10_benchmark_decontamination)}

@@ -90,17 +90,24 @@ def test_cut_repeats(docs):
         assert (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
 
 
-@pytest.mark.parametrize("block", [1, 1 << 20])
-def test_decontaminate(spark, docs, block):
+def test_decontaminate(spark, docs):
     rows, df = docs
-    items = [(1, " ".join(rows[4][1].split(" ")[:14])), (2, rows[0][1]), (3, "one"), (4, None), (5, ""), (6, "nowhere to be found")]
+    rows = rows + [(950, ("once upon " * 30 + "ONE two ") * 40), (951, " ".join(rows[4][1].split(" ")[2:12]) + " é"), (951, None)]
+    df = frame(spark, rows).repartition(3)
+    items = [(1, " ".join(rows[4][1].split(" ")[:14])), (2, rows[0][1]), (3, "one"), (4, None), (5, ""), (6, "nowhere to be found"), (7, "once upon " * 8), (8, rows[0][1]), (None, "two"), (1, "upon once, upon!")]
+    items += [(i, " ".join(rows[i][1].split(" ")[i % 7 : i % 7 + 3 + i % 9])) for i in range(10, 40)]
     windows = {}
     for i, t in items:
+        if i is None:
+            continue
         w = alnum_words(t)
         for j in range(len(w) - min(10, len(w)) + 1 if w else 0):
             windows.setdefault(tuple(w[j : j + min(10, len(w))]), set()).add(str(i))
-    got = winnow.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()
-    assert len(got) == len(rows)
+    held = spark.createDataFrame(items, "item_id long, text string")
+    got = winnow.decontaminate(df, held).collect()
+    assert len(got) == len(rows) and sum(r.contaminated for r in got) > 20
+    columns = ["doc_id", *winnow.NEW]
+    assert sorted(map(repr, winnow.measure(df, held).select(*columns).collect())) == sorted(map(repr, winnow.decontaminate(df, held).select(*columns).collect()))
     for r in got:
         w, hit, found = alnum_words(r.text), set(), set()
         for n in {len(x) for x in windows}:
@@ -109,6 +116,8 @@ def test_decontaminate(spark, docs, block):
                     hit |= set(range(j, j + n))
                     found |= windows[tuple(w[j : j + n])]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+        if hit:
+            assert alnum_words(r.clean_text) == [x for q, x in enumerate(w) if q not in hit]
 
 
 def test_tokens_match_the_library(spark, docs):
