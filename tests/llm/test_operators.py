@@ -213,7 +213,7 @@ def test_quality(spark, docs):
 def test_quotes(spark):
     rows = [(1, 0, "user", "What is the plan for today?\nAnd who comes along?"), (1, 1, "bot", "We walk."), (1, 2, "user", "Ann wrote:\n> What is the  PLAN for today?\nStill very open."), (1, 3, "bot", "> > what is the plan for today?\n> Still very open.\nIndeed"), (2, 0, "user", None), (2, 0, "user", None), (None, None, None, "> lost quote here")]
     got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert [(got[1, t].parent_turn, got[1, t].n_quotes, got[1, t].n_linked, got[1, t].clean_text) for t in range(4)] == [(None, 0, 0, rows[0][3]), (0, 0, 0, "We walk."), (0, 1, 1, "Still very open."), (0, 2, 2, "Indeed")]
+    assert [(got[1, t].parent_turn, got[1, t].n_quotes, got[1, t].n_linked, got[1, t].clean_text) for t in range(4)] == [(None, 0, 0, rows[0][3]), (0, 0, 0, "We walk."), (0, 1, 1, "Still very open."), (2, 2, 2, "Indeed")]  # the direct parent is the quote of the lowest level
     assert got[2, 0].clean_text == "" and got[None, None].n_linked == 0
 
 
@@ -235,6 +235,44 @@ def test_quotes_of_lines_out_of_longer_messages(spark):
     assert {t: (r.parent_turn, r.n_quotes, r.n_linked) for t, r in got.items() if t > 2} == {3: (0, 2, 2), 4: (3, 1, 1), 5: (0, 1, 1), 6: (5, 1, 0), 7: (4, 2, 1), 8: (7, 1, 0), 9: (8, 0, 0)}
 
 
+def test_quotes_probe_of_levels(spark):
+    rows = [(1, 0, "u", "What is the plan for this?"), (1, 1, "u", "Still very open, I fear"), (1, 2, "u", "> > What is the plan for this?\n> Still very open, I fear\nso?"), (1, 3, "u", "> What is the plan for this?\nNone yet."), (1, 4, "u", "last"), (1, 2, "u", "> > What is the plan for this?\n> Still very open, I fear\nso?")]
+    got = {r.turn: (r.parent_turn, r.position) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, 0), 1: (0, 1), 2: (1, 2), 3: (0, 3), 4: (3, 4)}
+
+
+def preorder(parents):
+    kids = {}
+    for t, p in sorted(parents.items()):
+        kids.setdefault(p, []).append(t)
+    out, todo = [], kids.get(None, [])[::-1]
+    while todo:
+        out.append(todo.pop())
+        todo += kids.get(out[-1], [])[::-1]
+    return {t: i for i, t in enumerate(out)}
+
+
+def test_quotes_made_from_the_conversations(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "SPAN", 2)
+    talk = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect()
+    rows, want, rng, said = [], {}, random.Random(5), {}
+    for r in talk:
+        before, text = said.setdefault(r.conv_id, {}), r.text
+        want[r.conv_id, r.turn] = max(before, default=None)
+        if before and rng.random() < 0.6:
+            t = rng.choice(sorted(before))
+            line = rng.choice([x for x in before[t].split("\n") if x.strip()] or [""])
+            if line:
+                text = "> " + line + "\n" + r.text
+                want[r.conv_id, r.turn] = max(u for u, x in before.items() if " ".join(line.lower().split()) in [" ".join(y.lower().split()) for y in x.split("\n")])
+        before[r.turn] = r.text
+        rows.append((r.conv_id, r.turn, r.role, text))
+    out = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    assert {(r.conv_id, r.turn): r.parent_turn for r in out} == want and sum(r.n_linked for r in out) > 20
+    for c in {c for c, _ in want}:
+        assert {r.turn: r.position for r in out if r.conv_id == c} == preorder({t: p for (d, t), p in want.items() if d == c})
+
+
 def test_quotes_against_brute_force(spark):
     rng = random.Random(8)
     norm = lambda t: " ".join(t.lower().split())
@@ -257,6 +295,8 @@ def test_quotes_against_brute_force(spark):
     out = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {(r.conv_id, r.turn): (r.parent_turn, r.n_linked) for r in out} == {(c, t): (w if w is not None else (t - 1 if t else None), int(w is not None)) for (c, t), w in want.items()}
     assert sum(w is not None for w in want.values()) > 80
+    for c in range(12):
+        assert {r.turn: r.position for r in out if r.conv_id == c} == preorder({r.turn: r.parent_turn for r in out if r.conv_id == c})
 
 
 def test_empty_tables(spark):
