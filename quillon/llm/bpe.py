@@ -2,8 +2,9 @@
 
 For every prefix of a piece there is exactly one token that ends it in the piece's encoding: a token that ends there such
 that the token before it, the unique last token of the shorter prefix, is compatible with it. Tokens that end at a position
-are found by an automaton over the vocabulary's suffixes, read backwards; following the stored last tokens from the end
-gives the ids. Two tokens are compatible if no merge across their border comes before a merge inside them: along the right
+are found by an automaton that reads the piece once, its state being the longest suffix that some token starts with; suffix links
+lead from the longest token that ends there to the shorter ones, until one is compatible. Following the stored last tokens back
+from the end gives the ids. Two tokens are compatible if no merge across their border comes before a merge inside them: along the right
 edge of the first and the left edge of the second, parts a and b must not merge before a or b is itself merged away.
 
 The program runs on many distinct pieces at once, position by position; pieces met before come from a bounded memo.
@@ -37,7 +38,7 @@ def _letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """The tokens, the automaton of their suffixes, and which pairs are compatible."""
+    """The tokens, the automaton that finds those that are suffixes of what was read, and which pairs are compatible."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -90,24 +91,58 @@ class Vocabulary:
         return self.compatible(a, b, r) and self._reachable(a) and self._reachable(b)
 
     def _automaton(self, tokens: list[int]) -> None:
+        """States are the tokens' prefixes; after each byte the state is the longest suffix of what was read that starts some
+        token. `link` leads to the next shorter one, `best` is the longest token that is a suffix of a state, and `shorter` the
+        longest one that is a proper suffix of a token."""
         step: dict[int, int] = {}
-        at = [-1]
+        own, ends, parent, byte_of = [-1], {}, [0], [0]
         for t in tokens:
             state = 0
-            for byte in reversed(self.bytes[t]):
+            for byte in self.bytes[t]:
                 key = state << 8 | byte
-                state = step.get(key, 0)
-                if not state:
-                    state = step[key] = len(at)
-                    at.append(-1)
-            at[state] = t
+                to = step.get(key, 0)
+                if not to:
+                    to = step[key] = len(own)
+                    own.append(-1)
+                    parent.append(state)
+                    byte_of.append(byte)
+                state = to
+            own[state] = t
+            ends[t] = state
+        link, best = [0] * len(own), own[:]
+        depth = [0] * len(own)
+        for s in range(1, len(own)):
+            depth[s] = depth[parent[s]] + 1
+        for s in sorted(range(1, len(own)), key=depth.__getitem__):
+            if parent[s]:
+                at = link[parent[s]]
+                while at and (at << 8 | byte_of[s]) not in step:
+                    at = link[at]
+                link[s] = step.get(at << 8 | byte_of[s], 0)
+            if best[s] < 0:
+                best[s] = best[link[s]]
         self.keys = np.array(sorted(step), np.int64)
         self.next = np.array([step[k] for k in self.keys.tolist()], np.int32)
-        self.token = np.array(at, np.int32)
+        self.link, self.best = np.array(link, np.int32), np.array(best, np.int32)
+        self.shorter = np.full(max(self.bytes) + 1, -1, np.int32)
+        for t, s in ends.items():
+            self.shorter[t] = best[link[s]]
         self.length = np.zeros(max(self.bytes) + 1, np.int32)
         for i, b in self.bytes.items():
             self.length[i] = len(b)
 
+    def _read(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states after one more byte each."""
+        state, todo = state.copy(), np.arange(len(state))
+        while len(todo):
+            key = state[todo].astype(np.int64) << 8 | byte[todo]
+            where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[where] == key
+            state[todo[on]] = self.next[where[on]]
+            todo = todo[~on]
+            state[todo] = self.link[state[todo]]  # every byte is a token, so the start state goes on with it
+        return state
+
     def _pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """compatible() of many pairs, with a direct-mapped store of the last answers."""
         if not hasattr(self, "_known"):
@@ -145,25 +180,18 @@ class Vocabulary:
         most = int(lengths.max())
         data = np.frombuffer(b"".join(p.ljust(most, b"\0") for p in pieces), np.uint8).reshape(-1, most)
         last = np.full((len(pieces), most + 1), -1, np.int32)
+        state = np.zeros(len(pieces), np.int32)
         for end in range(1, most + 1):
             rows = np.flatnonzero(lengths >= end)
-            state = np.zeros(len(rows), np.int64)
-            for start in range(end - 1, -1, -1):
-                key = state << 8 | data[rows, start]
-                where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                alive = self.keys[where] == key
-                rows, state = rows[alive], self.next[where[alive]].astype(np.int64)
-                if not len(rows):
-                    break
-                token = self.token[state]
-                found = np.flatnonzero(token >= 0)
-                if start:
-                    before = last[rows[found], start]
-                    found = found[self._pairs(before, token[found])]
-                last[rows[found], end] = token[found]
-                rest = np.ones(len(rows), bool)
-                rest[found] = False
-                rows, state = rows[rest], state[rest]
+            state[rows] = self._read(state[rows], data[rows, end - 1])
+            token = self.best[state[rows]]
+            while len(rows):
+                start = end - self.length[token]
+                fits = start == 0
+                some = np.flatnonzero(~fits)
+                fits[some] = self._pairs(last[rows[some], start[some]], token[some])
+                last[rows[fits], end] = token[fits]
+                rows, token = rows[~fits], self.shorter[token[~fits]]
         ids = np.zeros((len(pieces), most), "<u4")
         left, n, every = lengths.copy(), np.zeros(len(pieces), np.int64), np.arange(len(pieces))
         while True:

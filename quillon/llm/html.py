@@ -1,8 +1,9 @@
 """Main-text extraction: the maximum-scoring contiguous run of a page's words and tags.
 
-A page is a sequence of words and tags. A word scores what a logistic model says of the elements around it (names and class
-words), fitted on labelled pages; a tag scores a fixed cost below zero. One linear scan finds the contiguous run with
-the greatest sum. Text in the run whose own score is below zero (an advert inside the article) is left out.
+A page is a sequence of words and tags. A word scores what a logistic model, fitted on labelled pages, says of the elements around
+it (names and class words) and, where none of them is telling, of its block (how many words, which share of them in links,
+whether sentences end in it); a tag scores a fixed cost below zero. One linear scan finds the contiguous run with the greatest sum. Text in the run whose own score
+is below zero (an advert inside the article) is left out.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .kernels import slices
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 #: Elements whose inside is no text, and elements that never have an inside.
@@ -39,6 +42,38 @@ class Piece:
     features: frozenset[str]
     tags: int
     block: int
+    about: frozenset[str] = frozenset()
+
+
+#: Elements whose names say what is in them; class, id and role words that the model knows do, too.
+_TELLING = frozenset("article main nav header footer aside form button dialog".split())
+#: A name that stands on fewer labelled pages is not known.
+LEAST_PAGES = 8
+#: A block's words, up to which each feature holds, and the share of them in links.
+_SIZES, _LINKED = (2, 5, 10, 20, 40), (0.0, 0.3, 0.7)
+_SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)]*(?:\s|\Z)")
+
+
+def _with_blocks(found: list[Piece]) -> list[Piece]:
+    """The pieces with what is to be said about their blocks."""
+    at = 0
+    while at < len(found):
+        to = at
+        while to < len(found) and found[to].block == found[at].block:
+            to += 1
+        own = found[at:to]
+        n = sum(p.words for p in own)
+        if n:
+            share = sum(p.words for p in own if "a" in p.features) / n
+            more = {f"#words{sum(n > x for x in _SIZES)}", f"#links{sum(share > x for x in _LINKED)}"}
+            if any(_SENTENCE.search(p.text) for p in own):
+                more.add("#sentence")
+            if not any(p.features for p in own):
+                more.add("#bare")
+            for p in own:
+                p.about = frozenset(more)
+        at = to
+    return found
 
 
 def _names(name: str, rest: str) -> list[str]:
@@ -64,7 +99,7 @@ def pieces(page: str) -> list[Piece]:
         m = _TOKEN.search(page, at)
         text(m.start() if m else len(page))
         if not m:
-            return out
+            return _with_blocks(out)
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
@@ -95,15 +130,22 @@ def pieces(page: str) -> list[Piece]:
 
 
 class Model:
-    """weights of features around a word, of any word, and of a tag."""
+    """Weights of features around a word, of any word, and of a tag. Names without a weight count for nothing."""
 
     def __init__(self, weights: dict[str, float], word: float, tag: float):
         self.weights, self.word, self.tag = weights, word, tag
 
-    def of(self, features: frozenset[str]) -> float:
-        get = self.weights.get
+    def of(self, p: Piece) -> float:
         # in the order of names: sums must not depend on the order of a set
-        return self.word + sum(get(x, 0.0) for x in sorted(features))
+        return self.word + sum(self.weights[x] for x in sorted(told(p, self.weights)))
+
+
+def told(p: Piece, known) -> list[str]:
+    """The known features of a piece: those of its block only if no name around it is telling."""
+    names = [x for x in p.features if x in known]
+    if any(x in _TELLING or x[0] in ".@" for x in names):
+        return names
+    return names + [x for x in p.about if x in known]
 
 
 def extract(page: str | None, model: Model) -> str:
@@ -111,14 +153,15 @@ def extract(page: str | None, model: Model) -> str:
     if not page:
         return ""
     found = pieces(page)
-    known: dict[frozenset[str], float] = {}
+    known: dict[tuple, float] = {}
     best = total = 0.0
     start, first, last = 0, 0, -1
     scores = []
     for i, p in enumerate(found):
-        if p.features not in known:
-            known[p.features] = model.of(p.features)
-        score = known[p.features]
+        key = p.features, p.about
+        if key not in known:
+            known[key] = model.of(p)
+        score = known[key]
         scores.append(score)
         total += model.tag * p.tags
         if total <= 0:
@@ -138,74 +181,105 @@ def extract(page: str | None, model: Model) -> str:
     return "\n\n".join(t for t in texts if t)
 
 
-def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[tuple[str, bool]]]]:
-    """Made-up pages: (html, the words with whether each belongs to the main text). Words are unique numbers, so that a page's
-    pieces find their labels."""
+def labelled_pages(n: int = 600, seed: int = 5) -> list[tuple[str, list[tuple[str, bool]]]]:
+    """Made-up pages of varied layout: (html, the words with whether each belongs to the main text). Words are unique numbers, so
+    that a page's pieces find their labels. The article stands in an element that says so, in a div or table cell of any name,
+    in the body, or in no element at all; clutter has a telling name, or only its links and short lines."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    any_name = lambda: "".join(pick(["ba", "do", "ki", "lu", "mer", "nos", "pra", "stu", "vel", "xo"]) for _ in range(int(rng.integers(2, 4))))
     other = [("nav", ""), ("nav", ' class="menu"'), ("header", ""), ("header", ' class="top"'), ("footer", ""), ("aside", ""), ("aside", ' class="sidebar"'), ("form", ""), ("form", ' class="newsletter"'), ("div", ' class="ad"'), ("div", ' class="ads banner"'), ("div", ' class="advert sponsored"'), ("div", ' id="cookie" class="notice"'), ("div", ' class="cookie consent notice banner"'), ("div", ' class="sidebar"'), ("div", ' class="menu"'), ("div", ' id="comments"'), ("section", ' class="comments"'), ("div", ' class="comment"'), ("ul", ' class="menu"'), ("div", ' class="related"'), ("div", ' class="share social"'), ("div", ' class="footer"'), ("div", ' class="header"'), ("div", ' class="promo"'), ("div", ' class="newsletter subscribe"'), ("div", ' role="navigation"'), ("div", ' role="banner"'), ("div", ' role="complementary"'), ("div", ' class="breadcrumb"'), ("div", ' class="popup modal"'), ("div", ' class="disclaimer alert"'), ("div", ' class="warning"'), ("button", ""), ("ol", ' class="comments"'), ("div", ' class="nav"'), ("dialog", ""), ("div", ' class="tags"'), ("div", ' class="login"')]
-    main = [("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="main" class="article"'), ("div", ' class="post"'), ("div", ' class="entry content"'), ("section", ""), ("div", ' class="body text"'), ("article", ' class="post"')]
+    main = [("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="main" class="article"'), ("div", ' class="post"'), ("div", ' class="story"'), ("div", ' class="entry content"'), ("section", ""), ("div", ' class="body text"'), ("article", ' class="post"')]
     out = []
     for _ in range(n):
         words: list[tuple[str, bool]] = []
 
-        def say(k: int, own: bool) -> str:
+        def say(k: int, own: bool, stop: bool = False) -> str:
             new = [f"w{len(words) + i}x" for i in range(k)]
+            if stop:
+                new = [w + "." if i == k - 1 or i % 11 == 10 else w for i, w in enumerate(new)]
             words.extend((w, own) for w in new)
             return " ".join(new)
 
+        def links() -> str:
+            """Clutter that only its links and short lines give away."""
+            inside = "".join(pick([f"<li><a href='#'>{say(int(rng.integers(1, 4)), False)}</a></li>", f"<a href='#'>{say(int(rng.integers(1, 3)), False)}</a> "]) for _ in range(int(rng.integers(3, 9))))
+            return f"<{pick(['ul', 'div'])} class=\"{any_name()}\">{inside}</div>" if rng.random() < 0.5 else f"<ul>{inside}</ul>"
+
         def clutter() -> str:
+            if rng.random() < 0.2:
+                return links()
             name, rest = pick(other)
-            inner = "".join(pick([f"<li><a href='#'>{say(int(rng.integers(1, 3)), False)}</a></li>", f"<p>{say(int(rng.integers(3, 25)), False)}</p>", say(int(rng.integers(2, 15)), False), f"<span>{say(3, False)}</span>", f"<h3>{say(2, False)}</h3>"]) for _ in range(int(rng.integers(1, 6))))
+            inner = "".join(pick([f"<li><a href='#'>{say(int(rng.integers(1, 3)), False)}</a></li>", f"<p>{say(int(rng.integers(3, 45)), False, True)}</p>", say(int(rng.integers(2, 15)), False), f"<span>{say(3, False)}</span>", f"<h3>{say(2, False)}</h3>", f"<div class='{any_name()}'><p>{say(int(rng.integers(3, 30)), False, True)}</p></div>"]) for _ in range(int(rng.integers(1, 6))))
             return f"<{name}{rest}>{inner}</{name}>"
 
         def content() -> str:
-            return pick([lambda: f"<p>{say(int(rng.integers(5, 80)), True)}</p>", lambda: f"<p><b>{say(9, True)}</b> {say(20, True)}</p>", lambda: f"<h2>{say(4, True)}</h2>", lambda: f"<ul><li>{say(6, True)}</li><li>{say(8, True)}</li></ul>", lambda: f"<blockquote>{say(15, True)}</blockquote>", lambda: f"<p>{say(5, True)} <a href='#'>{say(2, True)}</a> {say(7, True)}</p>", lambda: f"<table><tr><td>{say(2, True)}</td></tr></table>"])()
+            return pick([lambda: f"<p>{say(int(rng.integers(5, 80)), True, True)}</p>", lambda: f"<p>{say(int(rng.integers(1, 9)), True)}</p>", lambda: f"<div>{say(int(rng.integers(12, 60)), True, True)}</div>", lambda: f"<p><b>{say(9, True)}</b> {say(20, True, True)}</p>", lambda: f"<h2>{say(4, True)}</h2>", lambda: f"<ul><li>{say(6, True)}</li><li>{say(8, True)}</li></ul>", lambda: f"<ol><li>{say(3, True)}</li><li>{say(12, True, True)}</li></ol>", lambda: f"<blockquote>{say(15, True, True)}</blockquote>", lambda: f"<pre>{say(int(rng.integers(3, 40)), True)}</pre>", lambda: f"<figure><figcaption>{say(6, True)}</figcaption></figure>", lambda: f"<p>{say(5, True)} <a href='#'>{say(2, True)}</a> {say(7, True, True)}</p>", lambda: f"<table><tr><td>{say(2, True)}</td><td>{say(3, True)}</td></tr></table>"])()
 
-        name, rest = pick(main)
-        page = "<html><body>" + "".join(clutter() for _ in range(int(rng.integers(1, 4)))) + f"<{name}{rest}><h1>{say(5, True)}</h1>"
+        if rng.random() < 0.04:  # plain text
+            out.append((say(int(rng.integers(20, 200)), True, bool(rng.random() < 0.7)), words))
+            continue
+        kind = rng.random()
+        if kind < 0.45:
+            name, rest = pick(main)
+        elif kind < 0.8:
+            name, rest = pick(["div", "div", "section", "td"]), pick(["", f' class="{any_name()}"', f' id="{any_name()}"'])
+        else:
+            name, rest = "", ""
+        page = "<html><body>" + "".join(clutter() for _ in range(int(rng.integers(0, 4)))) + (f"<table><tr><td>" if name == "td" else "") + (f"<{name}{rest}>" if name else "") + (f"<h1>{say(5, True)}</h1>" if rng.random() < 0.8 else "")
+        if rng.random() < 0.1:
+            page += "<br><br>".join(say(int(rng.integers(20, 60)), True, True) for _ in range(int(rng.integers(1, 4))))
         for _ in range(int(rng.integers(1, 9))):
             page += clutter() if rng.random() < 0.2 else content()
-        page += f"</{name}>" + "".join(clutter() for _ in range(int(rng.integers(1, 4)))) + "</body></html>"
+        page += f"<p>{say(int(rng.integers(20, 60)), True, True)}</p>" + (f"</{name}>" if name else "") + ("</tr></table>" if name == "td" else "") + "".join(clutter() for _ in range(int(rng.integers(0, 4)))) + "</body></html>"
         out.append((page, words))
     return out
 
 
-def train(pages: list[tuple[str, list[tuple[str, bool]]]] | None = None, rounds: int = 4000) -> Model:
-    """Logistic regression of a word's label on the elements around it; a tag costs little, so that only its words' own scores can outweigh it."""
-    counts: dict[frozenset[str], list[int]] = {}
-    for page, words in pages or labelled_pages():
-        own = {w for w, mine in words if mine}
-        for p in pieces(page):
+def train(pages: list[tuple[str, list[tuple[str, bool]]]] | None = None, rounds: int = 12) -> Model:
+    """Logistic regression of a word's label on the features around it, by Newton steps; a tag costs little, so that only its words'
+    own scores can outweigh it."""
+    found = [(pieces(page), {w for w, mine in words if mine}) for page, words in pages or labelled_pages()]
+    on: dict[str, int] = {}
+    for own, _ in found:
+        for x in set().union(*(p.features | p.about for p in own)):
+            on[x] = on.get(x, 0) + 1
+    place = {x: i for i, x in enumerate(sorted(x for x, n in on.items() if n >= LEAST_PAGES))}
+    counts: dict[tuple, list[int]] = {}
+    for own, mine in found:
+        for p in own:
+            key = tuple(sorted(told(p, place)))
             for w in p.text.split():
-                counts.setdefault(p.features, [0, 0])[w in own] += 1
-    keys = sorted(counts, key=sorted)
-    names = sorted(set().union(*keys))
-    place = {x: i for i, x in enumerate(names)}
-    x = np.zeros((len(keys), len(names) + 1))
+                counts.setdefault(key, [0, 0])[w in mine] += 1
+    keys = sorted(counts)
+    x = np.zeros((len(keys), len(place) + 1))
     x[:, -1] = 1
     for i, k in enumerate(keys):
         x[i, [place[f] for f in k]] = 1
     n = np.array([counts[k] for k in keys], float)
-    weight = np.sqrt(n.sum(axis=1))
-    share = n[:, 1] / n.sum(axis=1)
+    total, share = np.sqrt(n.sum(axis=1)), n[:, 1] / n.sum(axis=1)
     w = np.zeros(x.shape[1])
-    step = 2.0 / float(((x * x).sum(axis=1) * weight).sum() / weight.sum())
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-x @ w))
-        w -= step * (x.T @ (weight * (p - share)) / weight.sum() + 1e-6 * w)
-    return Model(dict(zip(names, w[:-1].tolist())), float(w[-1]), -0.002)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (total * (p - share)) + w
+        bend = (x * (total * p * (1 - p))[:, None]).T @ x + np.eye(len(w))
+        w -= np.linalg.solve(bend, slope)
+    return Model(dict(zip(place, w[:-1].tolist())), float(w[-1]), -0.002)
 
 
 def main_text(rows: DataFrame, model: Model | None = None) -> DataFrame:
-    """rows(html, ...) with text, the main text of each page, and n_chars, its code points; columns of these names are replaced."""
+    """rows(html, ...) with text, the main text of each page, and n_chars, its code points; columns of these names are replaced.
+
+    A null or empty page, or one without text, has an empty text. Repeated rows come out as often as they came in. Of runs with
+    equal sums the first is taken. A very long page is worked on alone, and whole."""
     held = rows.sparkSession.sparkContext.broadcast(model or train())
     rows = rows.select(*[c for c in rows.columns if c not in ("text", "n_chars")])
     schema = T.StructType([*rows.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(x.as_py(), held.value) for x in batch.column("html")]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
+            for part in slices(batch, "html"):
+                texts = [extract(x.as_py(), held.value) for x in part.column("html")]
+                yield pa.record_batch([*part.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -1,7 +1,7 @@
 """Quality rules: fixed base rules, then calibrated logistic regression on hashed word and character n-grams.
 
-Two heads are fitted on labelled rows: is the text good, and is it toxic. A text's features are its distinct words, runs of signs and starts of
-words (each once: one insult, in whatever form, counts the same in a long text) and the shares of its byte 4-grams. The weights come from proximal
+Two heads are fitted on labelled rows: is the text good, and is it toxic. A text's features are its distinct words, pairs of words
+that follow each other, runs of signs and starts of words (each once: one insult, in whatever form, counts the same in a long text) and the shares of its byte 4-grams. The weights come from proximal
 gradient descent with an L1 penalty, the probabilities from a Platt fit on labelled rows that the weights have not seen. At
 most `train_rows` labelled rows are used, those with the least hash of their id; everything else covers all rows.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .kernels import ALNUM, BLANK, Texts, Words, grams, mix, slices, starts_of_grams
 
-WORD_BITS, CHAR_BITS = 19, 14
+WORD_BITS, CHAR_BITS = 20, 14
 #: Bytes of a longer word's start that are features of their own.
 STARTS = (4, 5, 6)
 #: What a text's 4-gram shares sum to: they weigh as much as that many words.
@@ -70,10 +70,14 @@ def base_counts(texts: Texts) -> dict[str, np.ndarray]:
 
 
 def word_features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, row) of each distinct word, run of signs, or start of a longer word (a character n-gram tied to the word's start) of a row."""
+    """(feature, row) of each distinct word, word 2-gram, run of signs, or start of a longer word (a character n-gram tied to the
+    word's start) of a row."""
     words, signs = Words(texts, ALNUM), Words(texts, BLANK & ~ALNUM)
     raw, row = texts.bytes.astype(np.uint64), np.repeat(np.arange(len(texts)), words.counts)
     hashes, rows = [words.hashes(), signs.hashes()], [row, np.repeat(np.arange(len(texts)), signs.counts)]
+    at, of = starts_of_grams(words.offsets, 2)
+    hashes.append(grams(hashes[0], 2)[at] if len(at) else hashes[0][:0])
+    rows.append(of)
     for k in STARTS:
         longer = words.ends - words.starts > k
         at = words.starts[longer]
