@@ -206,8 +206,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     run, schema = _profile(k)
     seen = stash(texts.mapInArrow(run, schema))
     rows = seen.where("piece is null").select("doc_id", "th", "n", "cls")
-    # of each class the least doc_id (nulls last) and the hash of a text under it
-    classes = stash(rows.where("n > 0").groupBy("cls", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")).select("cls", "n", "rep.doc_id", "rep.th"))
+    # of each class the least doc_id (nulls last), the hash of a text under it, and its counts by hash range
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")
+    classes = stash(seen.where("piece is null and n > 0").groupBy("cls", "n").agg(least, F.first("ranges").alias("ranges")).select("cls", "n", "rep.doc_id", "rep.th", "ranges"))
     pieces = seen.where("piece is not null").select("piece", "counts").repartition("piece").mapInArrow(_summed, "piece int, counts binary").collect()  # 2**SKETCH_BITS counts in all
     order = np.zeros((SKETCH_ROWS, (1 << SKETCH_BITS) // SKETCH_ROWS), np.int32)
     for x in pieces:
@@ -231,10 +232,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) of classes that are linked indeed."""
-        profiles = seen.where("piece is null and n > 0").groupBy("cls", "n").agg(F.first("ranges").alias("ranges"))
         pairs = pairs.distinct()
         for c in "ab":
-            pairs = pairs.join(profiles.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"ranges_{c}")), c)
+            pairs = pairs.join(classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"ranges_{c}")), c)
         run, schema = _bounded(num, den)
         pairs = stash(pairs.select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b").mapInArrow(run, schema))
         # one text of each class in some pair is dealt out
