@@ -46,8 +46,43 @@ def memory_pressure(v: Column) -> Column:
     return F.when(v > 75, "critical").when(v > 60, "warning").otherwise("normal")
 
 
-def error_class(status: Column) -> Column:
-    return F.when(status >= 500, "temporary").when(status >= 400, "permanent").otherwise("temporary")
+#: Names of errors by what they are, a narrower kind with its wider one.
+CONNECTION = ("ConnectionError", "ConnectionResetError", "ConnectionRefusedError", "ConnectionAbortedError", "BrokenPipeError")
+TIMEOUT = ("TimeoutError",)
+NO_FILE = ("FileNotFoundError",)
+NO_ACCESS = ("PermissionError",)
+OTHER_FILE = ("IsADirectoryError", "NotADirectoryError", "FileExistsError")
+SYSTEM = ("MemoryError", "SystemExit", "KeyboardInterrupt")
+VALUE = ("ValueError", "UnicodeDecodeError", "UnicodeEncodeError", "JSONDecodeError")
+
+
+def error_class(name: Column, status: Column) -> Column:
+    """temporary, permanent or critical: by the error's name, else by the HTTP status it carries, else temporary."""
+    return (
+        F.when(name.isin(*CONNECTION, *TIMEOUT), "temporary")
+        .when(name.isin(*NO_FILE, *NO_ACCESS, "IsADirectoryError"), "permanent")
+        .when(name.isin(*SYSTEM), "critical")
+        .when((status >= 400) & (status < 500), "permanent")
+        .otherwise("temporary")
+    )
+
+
+def should_retry(name: Column, status: Column, attempt: Column, most: int = 3) -> Column:
+    """Temporary errors of a kind that is tried again, while attempts are left."""
+    again = name.isin(*CONNECTION, *TIMEOUT, *NO_FILE, *NO_ACCESS, *OTHER_FILE, "OSError")
+    return F.coalesce((error_class(name, status) == "temporary") & (attempt < most) & again, F.lit(False))
+
+
+def error_kind(name: Column) -> tuple[Column, Column, Column]:
+    """(category, severity, start of the message) of what an error is reported as."""
+    rows = [
+        (NO_FILE, "file_access", "medium", "File not found: "), (NO_ACCESS, "file_access", "medium", "Permission denied: "),
+        (CONNECTION, "api_error", "medium", "Network connection error: "), (VALUE, "validation_error", "medium", "Invalid value: "),
+    ]
+    out = [F.lit("configuration_error"), F.lit("high"), F.lit("Unexpected error: ")]
+    for names, *said in rows:
+        out = [F.when(name.isin(*names), x).otherwise(rest) for x, rest in zip(said, out)]
+    return out[0], out[1], out[2]
 
 
 def retry_delay(attempt: Column, base: float = 1.0, factor: float = 2.0, most: float = 60.0) -> Column:
@@ -58,9 +93,55 @@ def retry_delay(attempt: Column, base: float = 1.0, factor: float = 2.0, most: f
 FORMAT_FACTORS = {"pdf": 1.0, "docx": 0.8, "doc": 0.9, "xlsx": 0.7, "xls": 0.8, "txt": 0.3, "rtf": 0.6, "odt": 0.8, "ods": 0.7}
 
 
+#: Megabytes up to which a file is so many times as hard.
+SIZE_STEPS = ((1, 1.0), (5, 1.2), (10, 1.5), (50, 2.0))
+
+
 def complexity(extension: Column, size: Column) -> Column:
     factor = F.lit(1.2)
     for name, value in FORMAT_FACTORS.items():
         factor = F.when(extension == name, value).otherwise(factor)
     mb = F.coalesce(size, F.lit(5 << 20)) / float(1 << 20)
-    return factor * F.when(mb <= 1, 1.0).when(mb <= 5, 1.2).when(mb <= 10, 1.5).when(mb <= 50, 2.0).otherwise(3.0)
+    steps = F.lit(3.0)
+    for most, value in reversed(SIZE_STEPS):
+        steps = F.when(mb <= most, value).otherwise(steps)
+    return factor * steps
+
+
+def duration(complexity_: Column) -> Column:
+    """Seconds that a file of this complexity is expected to take."""
+    return complexity_ * 60.0
+
+
+def completeness_band(v: Column, optional: Column) -> Column:
+    return F.when(v >= 0.9, "high").when(v >= 0.7, "medium").when(optional, "optional_low").otherwise("required_low")
+
+
+def preview_section(missing: Column, score: Column) -> Column:
+    return F.when(missing, "missing").when(score >= 0.8, "high").when(score >= 0.5, "medium").otherwise("low")
+
+
+def field_status(missing: Column, optional: Column, score: Column) -> Column:
+    """What is said beside a field; null for nothing."""
+    return F.when(missing, F.when(~optional, "⚠ Required field missing")).when(score < 0.5, "⚠ Low confidence - please verify").when(score < 0.7, "ℹ Medium confidence")
+
+
+#: What each status is described as.
+STATUS_TEXT = {"completed": "Processing completed successfully", "processing": "Currently processing...", "failed": "Processing failed", "pending": "Waiting to be processed", "cancelled": "Processing was cancelled"}
+
+
+def status_text(status: Column) -> Column:
+    out = F.lit("Unknown status")
+    for name, said in STATUS_TEXT.items():
+        out = F.when(status == name, said).otherwise(out)
+    return out
+
+
+def scaling(queue: Column, active: Column, workers: Column, least: int = 1, most: int = 8) -> Column:
+    """up when over two jobs wait for each worker, down when nothing waits and fewer than half of the workers are busy; else null."""
+    return F.when((queue > workers * 2) & (workers < most), "scale_up").when((queue == 0) & (active < F.floor(workers / 2)) & (workers > least), "scale_down")
+
+
+def dots(v: Column) -> Column:
+    """How many of five dots a confidence fills."""
+    return F.floor(v * 5)

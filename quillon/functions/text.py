@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from .convert import bound
+
+#: What each mask looks for.
 ACCOUNT, ID = r"(?U)\b\d{8,20}\b", r"(?U)\b(?:\d{9}|\d{12})\b"
 EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 PHONE = r"(?U)\b(?:\+84|84|0)(?:[1-9]\d{8,9})\b"
 
 
-def replaced(v: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
-    """Every match replaced by a function of it: the pieces between matches, zipped with the changed matches."""
-    found = F.transform(F.regexp_extract_all(v, F.lit(pattern), F.lit(0)), change)
-    return F.array_join(F.zip_with(F.split(v, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+def replaced(v: Column, pattern: str, change: Callable[[Column], Column], hint: str = r"(?U)\d{8}") -> Column:
+    """Every match replaced by a function of it: the pieces between matches, zipped with the changed matches. The text is evaluated
+    once, and one that has no `hint` (a plainer pattern that every match holds) is left alone without looking for matches."""
+
+    def pieces(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), change)
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return bound(v, lambda t: F.when(t.rlike(hint), pieces(t)).otherwise(t))
 
 
 def stars(n: Column) -> Column:
@@ -50,7 +61,7 @@ def mask_id(v: Column) -> Column:
 
 
 def mask_email(v: Column) -> Column:
-    return replaced(v, EMAIL, email_shown)
+    return replaced(v, EMAIL, email_shown, "@")
 
 
 def mask_phone(v: Column) -> Column:
@@ -66,9 +77,9 @@ def mask_log(v: Column) -> Column:
     """The log's own rules: digits and tokens wholly starred, addresses and phones in part."""
     v = replaced(v, r"(?U)\b\d{10,16}\b", lambda m: stars(F.length(m)))
     v = replaced(v, r"(?U)\b\d{9,12}\b", lambda m: stars(F.length(m)))
-    v = replaced(v, EMAIL, lambda m: F.concat(F.left(m, F.lit(1)), F.lit("***@"), F.substring_index(m, "@", -1)))
+    v = replaced(v, EMAIL, lambda m: F.concat(F.left(m, F.lit(1)), F.lit("***@"), F.substring_index(m, "@", -1)), "@")
     v = replaced(v, r"(?U)\b(?:\+84|0)[1-9]\d{8,9}\b", lambda m: F.concat(F.left(m, F.lit(3)), F.lit("***"), F.right(m, F.lit(4))))
-    return replaced(v, r"(?U)\b[A-Za-z0-9]{20,}\b", lambda m: stars(F.length(m)))
+    return replaced(v, r"(?U)\b[A-Za-z0-9]{20,}\b", lambda m: stars(F.length(m)), "[A-Za-z0-9]{20}")
 
 
 def mask_key(v: Column) -> Column:
@@ -76,18 +87,23 @@ def mask_key(v: Column) -> Column:
 
 
 def chunks(v: Column, most: int = 8000) -> Column:
-    """Whole if it fits; else words packed greedily, each with one separator; a longer word stands alone."""
-    words = F.filter(F.split(v, r"(?U)\s+"), lambda w: w != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
+    """Whole if it fits; else words packed greedily, each with one separator; a longer word stands alone.
+
+    A fold over the words' lengths keeps only the numbers of words at which a chunk starts; the chunks are cut from the words then."""
+
+    def packed(words: Column) -> Column:
+        start = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).alias("n"), F.lit(0).alias("i"))
+
+        def add(acc: Column, w: Column) -> Column:
+            n = F.length(w) + 1
+            full = (acc["n"] + n > most) & (acc["n"] > 0)
+            return F.struct(F.when(full, F.concat(acc["cuts"], F.array(acc["i"]))).otherwise(acc["cuts"]).alias("cuts"), F.when(full, n).otherwise(acc["n"] + n).alias("n"), (acc["i"] + 1).alias("i"))
 
-    def add(acc: Column, w: Column) -> Column:
-        n = F.length(w) + 1
-        full = (acc["n"] + n > most) & (F.size(acc["now"]) > 0)
-        done = F.when(full, F.concat(acc["done"], F.array(F.array_join(acc["now"], " ")))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(full, F.array(w)).otherwise(F.concat(acc["now"], F.array(w))).alias("now"), F.when(full, n).otherwise(acc["n"] + n).alias("n"))
+        cut = lambda cuts: F.transform(cuts, lambda c, k: F.array_join(F.slice(words, c + 1, F.coalesce(F.get(cuts, k + 1), F.size(words)) - c), " "))
+        return F.when(F.size(words) > 0, bound(F.aggregate(words, start, add, lambda a: a["cuts"]), cut)).otherwise(F.array().cast("array<string>"))
 
-    packed = F.aggregate(words, start, add, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(F.array_join(a["now"], " ")))).otherwise(a["done"]))
-    return F.when(F.length(v) <= most, F.array(v)).otherwise(packed)
+    long = lambda t: bound(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""), packed)
+    return bound(v, lambda t: F.when(F.length(t) <= most, F.array(t)).when(t.isNotNull(), long(t)))
 
 
 #: Words that choose a proofreading mode.
@@ -140,10 +156,68 @@ def label(v: Column, n: int = 15) -> Column:
 
 
 def stat_shown(v: Column, kind: str) -> Column:
-    shown = {"number": lambda: F.format_number(v, 2), "currency": lambda: F.concat(F.format_number(v, 0), F.lit(" ₫")), "date": lambda: F.date_format(v, "dd/MM/yyyy")}.get(kind, lambda: F.left(v.cast("string"), F.lit(50)))()
+    """A statistic: N/A, 1,234.50, 1,234 ₫, dd/MM/yyyy, or 50 characters of text. Halves go to the even digit."""
+    shown = {
+        "number": lambda: F.format_number(F.bround(v, 2), 2),
+        "currency": lambda: F.concat(F.format_number(F.bround(v, 0), 0), F.lit(" ₫")),
+        "date": lambda: F.date_format(v, "dd/MM/yyyy"),
+    }.get(kind, lambda: F.left(v.cast("string"), F.lit(50)))()
+    return F.coalesce(shown, F.lit("N/A"))
+
+
+def value_shown(v: Column, kind: str, whole: bool = False) -> Column:
+    """A field's value in a preview: $1,234.50; a number as 1,234 if it is whole, else with one decimal; a long text is cut and its
+    length told. whole: the number is an integer by type."""
+    if kind == "currency":
+        shown = F.concat(F.lit("$"), F.format_number(F.bround(v, 2), 2))
+    elif kind == "number":
+        shown = F.format_number(v, 0) if whole else F.when(v == F.floor(v), F.format_number(v, 0)).otherwise(F.format_number(F.bround(v, 1), 1))
+    elif kind == "date":
+        shown = v.cast("string")
+    else:
+        t = v.cast("string")
+        shown = F.when(F.length(t) > 50, F.concat(F.left(t, F.lit(47)), F.lit("... ("), F.length(t).cast("string"), F.lit(" chars)"))).otherwise(t)
     return F.coalesce(shown, F.lit("N/A"))
 
 
 def eta_shown(seconds: Column) -> Column:
     minutes = F.floor(seconds / 60)
     return F.when(seconds <= 0, "Calculating...").when(minutes > 0, F.concat(minutes.cast("string"), F.lit("m "), F.floor(seconds % 60).cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(seconds).cast("string"), F.lit("s")))
+
+
+def throughput_shown(docs_per_min: Column, fields_per_sec: Column) -> Column:
+    return F.concat(F.format_string("%.1f", F.bround(docs_per_min, 1)), F.lit(" docs/min, "), F.format_string("%.1f", F.bround(fields_per_sec, 1)), F.lit(" fields/sec"))
+
+
+def status_line(i: Column, n: Column, elapsed: Column, remaining: Column) -> Column:
+    whole = lambda c: F.floor(c).cast("string")
+    return F.concat(F.lit("Processing "), i.cast("string"), F.lit("/"), n.cast("string"), F.lit(" files | Elapsed: "), whole(elapsed / 60), F.lit(":"), F.lpad(whole(elapsed % 60), 2, "0"), F.lit(" | Est. remaining: "), F.when(remaining > 0, whole(remaining / 60)).otherwise("0"), F.lit(" min"))
+
+
+def error_text(message: Column, suggestions: Column) -> Column:
+    """The message, with its suggestions as a list when there are any."""
+    listed = F.array_join(F.transform(suggestions, lambda s: F.concat(F.lit("• "), s)), "\n")
+    return F.when(F.size(suggestions) > 0, F.concat(message, F.lit("\n\nSuggestions:\n"), listed)).otherwise(message)
+
+
+#: The masks by name, with what each is for.
+MASKS = {"account": (mask_account, "Account numbers of 8 to 20 digits"), "id": (mask_id, "Identity numbers of 9 or 12 digits"), "email": (mask_email, "E-mail addresses"), "phone": (mask_phone, "Phone numbers")}
+
+
+def masked_by_each(v: Column) -> Column:
+    """array<struct<name, description, original, masked>>: what each mask alone makes of a text."""
+    return F.array(*(F.struct(F.lit(name).alias("name"), F.lit(what).alias("description"), v.alias("original"), mask(v).alias("masked")) for name, (mask, what) in MASKS.items()))
+
+
+@F.pandas_udf(StringType())
+def nfc(texts: pd.Series) -> pd.Series:
+    """Unicode normal form C, which no built-in function gives; nulls stay."""
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+
+def prompt(mode: Column, prompts: dict[str, str]) -> Column:
+    """The prompt of a mode; the one called default for a mode that has none."""
+    found = F.lit(prompts["default"])
+    for name, said in prompts.items():
+        found = F.when(mode == name, said).otherwise(found)
+    return found

@@ -7,50 +7,92 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, convert
+from ..functions import classify, convert, text
 
 
-def observations(results: DataFrame, template: Sequence) -> DataFrame:
-    """Long form: one row per result and template field, missing ones included, with typed values and the field's error.
-
-    The template is a literal array that each row explodes: no join, no shuffle."""
-    fields = F.array(*(F.struct(F.lit(i + 1).alias("pos"), F.lit(f.name).alias("field_name"), F.lit(f.kind).alias("kind"), F.lit(f.optional).alias("optional"), F.lit(f.locale).alias("locale")) for i, f in enumerate(template)))
-    rows = results.withColumn("f", F.explode(fields)).select("*", "f.*").drop("f")
-    raw, kind = F.try_element_at("data", F.col("field_name")), F.col("kind")
-    missing = convert.is_missing(raw)
-    rows = rows.withColumn("raw", raw).withColumn("missing", missing)
-    raw = F.col("raw")
-    numeric = lambda f: F.when(F.col("locale") == "vi-VN", f(raw, "vi-VN")).otherwise(f(raw, "en-US"))
-    rows = rows.withColumns({
-        "text_value": F.when((kind == "text") & ~F.col("missing"), convert.stripped(raw)),
-        "number_value": F.when(kind == "currency", numeric(convert.currency)).when(kind == "number", numeric(convert.number).cast("decimal(38,6)")),
-        "date_value": F.when(kind == "date", convert.date(raw)),
-    })
-    unread = F.col("text_value").isNull() & F.col("number_value").isNull() & F.col("date_value").isNull()
-    return rows.withColumn("error", F.when(F.col("missing"), F.when(~F.col("optional"), F.concat(F.lit("Required field '"), "field_name", F.lit("' is missing or empty")))).when(unread, F.concat(F.lit("Field '"), "field_name", F.lit("' conversion failed"))))
+_CONVERT = {"text": lambda v, f: convert.stripped(v), "number": lambda v, f: convert.number(v, f.locale).cast("decimal(38,6)"), "currency": lambda v, f: convert.currency(v, f.locale), "date": lambda v, f: convert.date(v)}
+
+
+def _judged_field(f, i: int, raw: Column) -> Column:
+    """One template field of a result: its raw and typed value, and what is wrong with it. raw is evaluated once, so is its value."""
+    absent = F.lit(None if f.optional else f"Required field '{f.name}' is missing or empty").cast("string")
+
+    def build(r: Column) -> Column:
+        def with_value(v: Column) -> Column:
+            typed = lambda kinds, t: (v if f.kind in kinds else F.lit(None)).cast(t)
+            wrong = F.when(convert.is_missing(r), absent).when(v.isNull(), F.lit(f"Field '{f.name}' conversion failed"))
+            return F.struct(F.lit(i + 1).alias("pos"), F.lit(f.name).alias("field_name"), F.lit(f.kind).alias("kind"), F.lit(f.optional).alias("optional"), r.alias("raw"), convert.is_missing(r).alias("missing"), typed(["text"], "string").alias("text_value"), typed(["number", "currency"], "decimal(38,6)").alias("number_value"), typed(["date"], "timestamp_ntz").alias("date_value"), wrong.alias("error"))
+
+        return convert.bound(F.when(~convert.is_missing(r), _CONVERT[f.kind](r, f)), with_value)
+
+    return convert.bound(raw, build)
 
 
 def validated(results: DataFrame, template: Sequence) -> DataFrame:
-    """One row per result, unchanged, with `errors`: what its fields and unexpected fields say, in template order. A projection."""
+    """One row per result, unchanged, with `fields` (one struct for each template field, typed) and `errors`: what its fields and
+    unexpected fields say, in template order. Every value is converted once: a one-element explode keeps later filters on the errors from
+    being pasted below it. No join, no shuffle."""
     names = F.array(*(F.lit(f.name) for f in template))
-    said = []
-    for f in template:
-        raw = F.try_element_at("data", F.lit(f.name))
-        value = {"text": convert.stripped, "number": lambda v: convert.number(v, f.locale), "currency": lambda v: convert.currency(v, f.locale), "date": convert.date}[f.kind](raw)
-        said.append(F.when(convert.is_missing(raw), F.lit(None if f.optional else f"Required field '{f.name}' is missing or empty").cast("string")).when(value.isNull(), F.lit(f"Field '{f.name}' conversion failed")))
-    more = F.transform(F.array_except(F.map_keys("data"), names), lambda k: F.concat(F.lit("Unexpected field '"), k, F.lit("' not in template schema")))
-    return results.withColumn("errors", F.concat(F.array_compact(F.array(*said)), more))
+    data = F.coalesce("data", F.create_map().cast("map<string,string>"))
+    fields = F.array(*(_judged_field(f, i, F.try_element_at(data, F.lit(f.name))) for i, f in enumerate(template)))
+    more = F.transform(F.array_except(F.map_keys(data), names), lambda k: F.concat(F.lit("Unexpected field '"), k, F.lit("' not in template schema")))
+    whole = F.transform(F.array(fields), lambda fs: F.struct(fs.alias("fields"), F.concat(F.filter(F.transform(fs, lambda x: x["error"]), lambda e: e.isNotNull()), more).alias("errors")))
+    kept = [c for c in results.columns if c not in ("fields", "errors")]
+    return results.select(*kept, F.explode(whole).alias("_v")).select(*kept, "_v.fields", "_v.errors")
+
+
+def _long(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_f", F.explode("fields")).select(*[c for c in rows.columns if c not in ("fields", "errors")], "_f.*")
+
+
+def observations(results: DataFrame, template: Sequence) -> DataFrame:
+    """Long form: one row per result and template field, missing ones included, with typed values and the field's error."""
+    return _long(validated(results, template))
 
 
 def valid_observations(results: DataFrame, template: Sequence) -> DataFrame:
-    return observations(validated(results, template).where(F.size("errors") == 0), template)
+    return _long(validated(results, template).where(F.size("errors") == 0))
+
+
+def required_missing(results: DataFrame, template: Sequence) -> DataFrame:
+    """(the results' columns, field_name): required fields that a result's extraction does not have at all, or has empty."""
+    return observations(results, template).where("missing and not optional")
+
+
+def unexpected_fields(results: DataFrame, template: Sequence) -> DataFrame:
+    """The results' columns with field_name: fields that the template does not know."""
+    names = F.array(*(F.lit(f.name) for f in template))
+    return results.withColumn("field_name", F.explode(F.array_except(F.map_keys("data"), names)))
+
+
+def failed_rows(rows: DataFrame) -> DataFrame:
+    """Validated rows that failed: status failed, no values, the errors as one message."""
+    return rows.where("size(errors) > 0").select("source_file", F.lit("failed").alias("status"), F.size("errors").cast("long").alias("n_errors"), joined_error(rows).alias("validation_errors"))
+
+
+def completed(results: DataFrame) -> DataFrame:
+    return results.where("status = 'completed'")
+
+
+def extracted(results: DataFrame) -> DataFrame:
+    """Results with any extracted field."""
+    return results.where("size(data) > 0")
+
+
+def with_confidence(results: DataFrame) -> DataFrame:
+    return results.where("size(confidence_scores) > 0")
+
+
+def timed(results: DataFrame) -> DataFrame:
+    return results.where("processing_time > 0")
 
 
 def processing_summary(rows: DataFrame) -> DataFrame:
-    """Of validated rows: one with errors counts as failed; times of zero are left out of the averages."""
+    """Of validated rows. failed_files are the distinct source files with errors, successful_files the rows that are completed and
+    without errors: they need not sum to the total. Times of zero are left out of the averages."""
     ok = (F.size("errors") == 0) & (F.col("status") == "completed")
     t = F.when(F.col("processing_time") > 0, F.col("processing_time"))
-    return rows.agg(F.count("*").alias("total_files"), F.count_if(ok).alias("successful_files"), F.count_if(F.size("errors") > 0).alias("failed_files"), F.coalesce(100.0 * F.count_if(ok) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("success_rate"), F.coalesce(F.sum(t), F.lit(0.0)).alias("total_processing_time"), F.coalesce(F.avg(t), F.lit(0.0)).alias("average_processing_time"), F.coalesce(F.median(t), F.lit(0.0)).alias("median_processing_time"))
+    return rows.agg(F.count("*").alias("total_files"), F.count_if(ok).alias("successful_files"), F.count_distinct(F.when(F.size("errors") > 0, F.col("source_file"))).alias("failed_files"), F.coalesce(100.0 * F.count_if(ok) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("success_rate"), F.coalesce(F.sum(t), F.lit(0.0)).alias("total_processing_time"), F.coalesce(F.avg(t), F.lit(0.0)).alias("average_processing_time"), F.coalesce(F.median(t), F.lit(0.0)).alias("median_processing_time"))
 
 
 def field_quality(valid: DataFrame) -> DataFrame:
@@ -113,8 +155,27 @@ def error_table(rows: DataFrame) -> DataFrame:
 
 
 def wide(rows: DataFrame, template: Sequence) -> DataFrame:
-    """The data sheet: one column per template field, null in rows with errors; typed, unreadable values null. A projection, not a pivot."""
+    """The data sheet of validated rows: one column per template field, null in rows with errors; typed. A projection, not a pivot."""
     ok = F.size("errors") == 0
-    read = {"text": convert.stripped, "currency": convert.currency, "date": convert.date, "number": convert.number}
-    columns = [F.when(ok, read[f.kind](F.when(~convert.is_missing(F.try_element_at("data", F.lit(f.name))), F.try_element_at("data", F.lit(f.name))))).alias(f.name) for f in template]
+    held = {"text": "text_value", "number": "number_value", "currency": "number_value", "date": "date_value"}
+    columns = [F.when(ok, F.get("fields", F.lit(i))[held[f.kind]]).alias(f.name) for i, f in enumerate(template)]
     return rows.select("source_file", F.when(ok, F.col("status")).otherwise("failed").alias("status"), "processing_time", *columns)
+
+
+def coerced(rows: DataFrame, template: Sequence) -> DataFrame:
+    """rows with the template's columns as the sheet holds them: numbers and dates, null where they cannot be read; text as it is."""
+    kinds = {f.name: f.kind for f in template if f.name in rows.columns}
+    read = {"number": lambda c: c.try_cast("double"), "currency": lambda c: c.try_cast("double"), "date": lambda c: F.try_to_timestamp(c, F.lit("yyyy-MM-dd")), "text": lambda c: c}
+    return rows.withColumns({name: read[kind](F.col(name)) for name, kind in kinds.items()}) if kinds else rows
+
+
+def union_of_fields(results: DataFrame, template: Sequence) -> DataFrame:
+    """(field_name) of all results and the template, sorted."""
+    spark = results.sparkSession
+    own = spark.createDataFrame([(f.name,) for f in template], "field_name string")
+    return results.select(F.explode(F.map_keys("data")).alias("field_name")).distinct().unionByName(own).distinct().orderBy("field_name")
+
+
+def grid(results: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Files by base name against these fields, a dash for what is missing."""
+    return results.select(text.base_name(F.col("source_file")).alias("source_file"), *(F.coalesce(F.try_element_at("data", F.lit(c)), F.lit("—")).alias(c) for c in names))

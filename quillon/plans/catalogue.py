@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, convert, text
-from ..operators import records
+from ..operators import records, reports
 from .fixtures import SQL, TEMPLATE, read, results
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, fixture: bool = False):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = f"with {SQL} {sql}" if fixture else sql
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, query, rounded
 
 def _rows(spark, sf):
     return records.validated(results(spark, sf), TEMPLATE)
@@ -38,7 +22,7 @@ def _obs(spark, sf):
 
 
 # conversion
-_NUMBERS = "select l_orderkey * 10 + l_linenumber as k, case l_linenumber % 4 when 0 then format('{:,.2f}', l_extendedprice) when 1 then translate(format('{:,.2f}', l_extendedprice), ',.', '.,') when 2 then cast(cast(l_quantity as bigint) as varchar) || '.000' else '  ' || cast(cast(l_quantity as bigint) as varchar) || ',5 kg' end as v from lineitem where l_linenumber <= 4"
+_NUMBERS = "select l_orderkey * 10 + l_linenumber as k, case l_linenumber % 4 when 0 then format('{:,.2f}', l_extendedprice) when 1 then translate(format('{:,.2f}', l_extendedprice), ',.', '.,') when 2 then cast(cast(l_quantity as bigint) as varchar) || '.000' else '  ' || cast(cast(l_quantity as bigint) as varchar) || ',5 kg' end as v from lineitem"
 
 
 def _numbers(spark, sf):
@@ -81,13 +65,12 @@ def template_left_join(spark, sf):
 
 @query("select seq, 'note' as field_name from fx where note is not null", True)
 def unexpected_fields_anti(spark, sf):
-    names = F.array(*(F.lit(f.name) for f in TEMPLATE))
-    return results(spark, sf).select("seq", F.explode(F.array_except(F.map_keys("data"), names)).alias("field_name"))
+    return records.unexpected_fields(results(spark, sf), TEMPLATE).select("seq", "field_name")
 
 
 @query("select seq, field_name from judged where missing", True)
 def required_missing(spark, sf):
-    return _obs(spark, sf).where("missing and not optional").select("seq", "field_name")
+    return records.required_missing(results(spark, sf), TEMPLATE).select("seq", "field_name")
 
 
 @query("select seq, 'Validation errors for ' || source_file || ': ' || array_to_string(errors, '; ') as message from rows_ where len(errors) > 0", True)
@@ -98,7 +81,7 @@ def row_validation(spark, sf):
 
 @query("select source_file, 'failed' as status, len(errors) as n_errors from rows_ where len(errors) > 0", True)
 def failed_rows(spark, sf):
-    return _rows(spark, sf).where("size(errors) > 0").select("source_file", F.lit("failed").alias("status"), F.size("errors").cast("long").alias("n_errors"))
+    return records.failed_rows(_rows(spark, sf)).drop("validation_errors")
 
 
 @query("select r.source_file, case when len(r.errors) = 0 then r.status else 'failed' end as status, r.processing_time, max(text_value) filter (where len(r.errors) = 0) as company_name, cast(max(number_value) filter (where len(r.errors) = 0) as double) as revenue, strftime(max(date_value) filter (where len(r.errors) = 0), '%Y-%m-%d') as order_date from judged j join rows_ r using (seq) group by all", True)
@@ -106,14 +89,14 @@ def data_sheet_wide(spark, sf):
     return records.wide(_rows(spark, sf), TEMPLATE).withColumns({"revenue": F.col("revenue").cast("double"), "order_date": F.date_format("order_date", "yyyy-MM-dd")})
 
 
-@query("select seq, try_cast(revenue as double) as revenue, strftime(try_strptime(order_date, '%Y-%m-%d'), '%Y-%m-%d') as order_date from fx where regexp_full_match(coalesce(order_date, ''), '\\d{4}-.*')", True)
+@query("select seq, try_cast(revenue as double) as revenue, case when regexp_full_match(order_date, '\\d{4}-\\d{2}-\\d{2}') then strftime(try_strptime(order_date, '%Y-%m-%d'), '%Y-%m-%d') end as order_date from fx", True)
 def column_coercion(spark, sf):
-    d = F.try_element_at("data", F.lit("order_date"))
-    return results(spark, sf).select("seq", F.try_element_at("data", F.lit("revenue")).try_cast("double").alias("revenue"), F.date_format(F.try_to_timestamp(d, F.lit("yyyy-MM-dd")), "yyyy-MM-dd").alias("order_date"))
+    at = lambda c: F.try_element_at("data", F.lit(c)).alias(c)
+    return records.coerced(results(spark, sf).select("seq", at("revenue"), at("order_date")), TEMPLATE).withColumn("order_date", F.date_format("order_date", "yyyy-MM-dd"))
 
 
 # aggregates
-@query("select count(*) as total_files, count(*) filter (where len(errors) = 0 and status = 'completed') as successful_files, count(*) filter (where len(errors) > 0) as failed_files, 100.0 * count(*) filter (where len(errors) = 0 and status = 'completed') / count(*) as success_rate, sum(processing_time) as total_processing_time, avg(processing_time) filter (where processing_time > 0) as average_processing_time, median(processing_time) filter (where processing_time > 0) as median_processing_time from rows_", True)
+@query("select count(*) as total_files, count(*) filter (where len(errors) = 0 and status = 'completed') as successful_files, count(distinct source_file) filter (where len(errors) > 0) as failed_files, 100.0 * count(*) filter (where len(errors) = 0 and status = 'completed') / count(*) as success_rate, sum(processing_time) as total_processing_time, avg(processing_time) filter (where processing_time > 0) as average_processing_time, median(processing_time) filter (where processing_time > 0) as median_processing_time from rows_", True)
 def processing_summary(spark, sf):
     return records.processing_summary(_rows(spark, sf))
 
@@ -182,13 +165,39 @@ def error_table(spark, sf):
     return records.error_table(_rows(spark, sf))
 
 
-@query("select 'processing' as section, pos, label, value from (select unnest([1,2,3,4]) as pos, unnest(['Total files', 'Successful files', 'Failed files', 'Success rate']) as label, unnest([cast(count(*) as double), count(*) filter (where len(errors) = 0 and status = 'completed'), count(*) filter (where len(errors) > 0), 100.0 * count(*) filter (where len(errors) = 0 and status = 'completed') / count(*)]) as value from rows_)", True)
+_F1 = "format('{{:.1f}}', {0})"
+_SUMMARY = "(select count(*) as n, count(*) filter (where len(errors) = 0 and status = 'completed') as ok, count(distinct source_file) filter (where len(errors) > 0) as bad, count(*) filter (where len(errors) > 0) as bad_rows, coalesce(sum(processing_time), 0) as t, avg(processing_time) filter (where processing_time > 0) as mean, median(processing_time) filter (where processing_time > 0) as mid from rows_)"
+_PROCESSING = f"select 'Processing Summary' as section, unnest([1,2,3,4,5,6,7]) as pos, unnest(['Total Files', 'Successful Files', 'Failed Files', 'Success Rate', 'Total Processing Time', 'Average Processing Time', 'Median Processing Time']) as label, unnest([cast(n as varchar), cast(ok as varchar), cast(bad as varchar), format('{{:.1f}}%', 100.0 * ok / n), format('{{:.2f}}s', t), format('{{:.2f}}s', mean), format('{{:.2f}}s', mid)]) as value from {_SUMMARY}"
+_QUALITY = "select 'Data Quality Summary' as section, unnest([1,2,3,4]) as pos, unnest(['Overall Quality Score', 'Completeness Rate', 'Data Consistency', 'Error Rate']) as label, unnest([format('{:.1f}', avg((completeness_rate + uniqueness_score) / 2)), format('{:.1f}%', 100.0 * sum(total_count - null_count) / sum(total_count)), '0.0', '0.0%']) as value from stats"
+_ERRORS = f"select 'Error Analysis' as section, unnest([1,2]) as pos, unnest(['Total Errors: ' || bad_rows, 'Files with Errors: ' || bad]) as label, '' as value from {_SUMMARY}"
+
+
+@query(_PROCESSING, True)
+def summary_processing(spark, sf):
+    return reports.processing_block(records.processing_summary(_rows(spark, sf)))
+
+
+@query(_QUALITY, True)
+def summary_quality(spark, sf):
+    return reports.quality_block(records.overall_quality(records.field_quality(_valid(spark, sf))))
+
+
+@query(_ERRORS, True)
+def summary_errors(spark, sf):
+    return reports.error_block(_rows(spark, sf))
+
+
+@query(f"select * from ({_PROCESSING}) union all select * from ({_QUALITY}) union all select * from ({_ERRORS})", True)
 def summary_rows(spark, sf):
-    s = records.processing_summary(_rows(spark, sf))
-    return s.selectExpr("'processing' as section", "stack(4, 1, 'Total files', double(total_files), 2, 'Successful files', double(successful_files), 3, 'Failed files', double(failed_files), 4, 'Success rate', success_rate) as (pos, label, value)")
+    return reports.summary_sheet(_rows(spark, sf), _valid(spark, sf))
+
 
+@query("select t.pos, t.field_name, t.field_type, format('{:.1f}%', coalesce(completeness_rate, 0)) as completeness, coalesce(unique_count, 0) as unique_values, coalesce(format('{:,.0f} ₫', lo), 'N/A') as min, coalesce(format('{:,.0f} ₫', hi), 'N/A') as max, coalesce(format('{:,.0f} ₫', mean), 'N/A') as mean from (select unnest([1,2,3]) as pos, unnest(['company_name', 'revenue', 'order_date']) as field_name, unnest(['text', 'currency', 'date']) as field_type) t left join stats using (field_name) left join (select field_name, cast(min(number_value) as double) as lo, cast(max(number_value) as double) as hi, avg(cast(number_value as double)) as mean from valid where number_value is not null group by 1) using (field_name)", True)
+def summary_fields(spark, sf):
+    return reports.field_table(_valid(spark, sf), TEMPLATE)
 
-@query("select label, n from (select unnest(['Successful', 'Failed']) as label, unnest([count(*) filter (where len(errors) = 0 and status = 'completed'), count(*) filter (where len(errors) > 0)]) as n from rows_) where n > 0", True)
+
+@query("select label, n from (select unnest(['Successful', 'Failed']) as label, unnest([count(*) filter (where len(errors) = 0 and status = 'completed'), count(distinct source_file) filter (where len(errors) > 0)]) as n from rows_) where n > 0", True)
 def pie_data(spark, sf):
     return records.processing_summary(_rows(spark, sf)).selectExpr("stack(2, 'Successful', successful_files, 'Failed', failed_files) as (label, n)").where("n > 0")
 
@@ -263,7 +272,11 @@ def proofread_mode(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.proofread_mode(F.col("text")).alias("mode"))
 
 
-@query()
+_FOLDED = "list_reduce(list_transform(w, lambda x: {'cuts': [0], 'n': length(x) + 1, 'i': 0}), lambda a, x: case when a.n + x.n > 8000 then {'cuts': list_append(a.cuts, a.i + 1), 'n': x.n, 'i': a.i + 1} else {'cuts': a.cuts, 'n': a.n + x.n, 'i': a.i + 1} end)"
+_LONG = f"select doc_id, w, {_FOLDED}.cuts as cuts from (select doc_id, list_filter(string_split_regex(text, '[\\s\\x0b\\x{{85}}\\pZ]+'), lambda x: x <> '') as w from documents where length(text) > 8000) where len(w) > 0"
+
+
+@query(f"select doc_id, n, length(part) as n_chars, md5(part) as h from (select doc_id, 0 as n, text as part from documents where length(text) <= 8000 union all select doc_id, k - 1, array_to_string(w[cuts[k] + 1 : coalesce(cuts[k + 1], len(w))], ' ') from ({_LONG}), unnest(range(1, len(cuts) + 1)) as t(k))")
 def chunk_text(spark, sf):
     parts = read(spark, sf, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("n", "part"))
     return parts.select("doc_id", "n", F.length("part").cast("long").alias("n_chars"), F.md5("part").alias("h"))
@@ -284,7 +297,7 @@ def sanitize_filename(spark, sf):
     return read(spark, sf, "pages").select("page_id", text.file_name(F.col("url")).alias("name"))
 
 
-@query("select doc_id, case when n = 0 then '0 B' when n < 1024 then format('{:.1f} B', n) when n < 1048576 then format('{:.1f} KB', n / 1024) else format('{:.1f} MB', n / 1048576) end as size from (select doc_id, cast(n_chars * 512 as double) as n from documents where n_chars % 2 = 0)")
+@query("select doc_id, case when n is null then null when n = 0 then '0 B' when n < 1024 then format('{:.1f} B', n) when n < 1048576 then format('{:.1f} KB', n / 1024) else format('{:.1f} MB', n / 1048576) end as size from (select doc_id, cast(n_chars * 512 as double) as n from documents)")
 def file_size_format(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.file_size(F.col("n_chars") * 512).alias("size"))
 
@@ -299,229 +312,4 @@ def label_truncate(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", text.label(F.col("c_name")).alias("label"))
 
 
-# extraction: several candidate values per field come from an order's lines
-@query("select l_orderkey, max(lpad(cast(l_linenumber as varchar), 4, '0') || l_returnflag)[5:] as value from lineitem group by 1")
-def extract_last_wins(spark, sf):
-    return read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max(F.struct("l_linenumber", "l_returnflag"))["l_returnflag"].alias("value"))
-
-
-@query("select l_orderkey, arg_max(l_linenumber, l_discount * 1000 - l_linenumber) as pos, max(l_discount) as confidence from lineitem group by 1")
-def merge_best_confidence(spark, sf):
-    return read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_discount", -F.col("l_linenumber"))).alias("pos"), F.max("l_discount").alias("confidence"))
-
-
-@query("select seq, case when seq % 7 = 0 then 0.8 else confidence end as confidence from fx", True)
-def default_confidence(spark, sf):
-    return results(spark, sf).select("seq", F.coalesce(F.when(F.col("seq") % 7 != 0, F.col("confidence")), F.lit(0.8)).alias("confidence"))
-
-
-# views
-def _seen(spark, sf):
-    blank = convert.is_blank(F.col("raw"))
-    return _obs(spark, sf).withColumn("blank", blank)
-
-
-@query("select field_name, avg(case when raw is null or trim(raw) = '' then 0.0 else 1.0 end) as completeness, case when avg(case when raw is null or trim(raw) = '' then 0.0 else 1.0 end) >= 0.95 then 'excellent' when avg(case when raw is null or trim(raw) = '' then 0.0 else 1.0 end) >= 0.8 then 'good' when avg(case when raw is null or trim(raw) = '' then 0.0 else 1.0 end) >= 0.6 then 'fair' else 'poor' end as level from obs group by 1", True)
-def quality_metrics(spark, sf):
-    c = F.avg(F.when(F.col("blank"), 0.0).otherwise(1.0))
-    return _seen(spark, sf).groupBy("field_name").agg(c.alias("completeness"), classify.completeness_level(c).alias("level"))
-
-
-@query("select max_by(field_name, c * 1000 - pos) as best_field, min_by(field_name, c * 1000 + pos) as worst_field, max(c) - min(c) as score_range from (select field_name, pos, avg(case when raw is null or trim(raw) = '' then 0.0 else 1.0 end) as c from obs group by 1, 2)", True)
-def best_worst_field(spark, sf):
-    c = _seen(spark, sf).groupBy("field_name", "pos").agg(F.avg(F.when(F.col("blank"), 0.0).otherwise(1.0)).alias("c"))
-    return c.agg(F.max_by("field_name", F.struct("c", -F.col("pos"))).alias("best_field"), F.min_by("field_name", F.struct("c", "pos")).alias("worst_field"), (F.max("c") - F.min("c")).alias("score_range"))
-
-
-@query("select field_name, avg(case when missing then 0.0 else 1.0 end) as completeness, avg(confidence) as avg_confidence, min(confidence) as min_confidence, max(confidence) as max_confidence from conv group by 1", True)
-def field_distribution(spark, sf):
-    return _obs(spark, sf).groupBy("field_name").agg(F.avg(F.when(F.col("missing"), 0.0).otherwise(1.0)).alias("completeness"), F.avg("confidence").alias("avg_confidence"), F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence")).orderBy(F.desc("completeness"), "field_name")
-
-
-@query("select source_file, case when confidence >= 0.8 then 'high' when confidence >= 0.5 then 'medium' when confidence > 0 then 'low' else 'missing' end as level, case when confidence >= 0.8 then 'high' when confidence >= 0.6 then 'medium' when confidence > 0 then 'low' else 'none' end as colour, cast(floor(confidence * 5) as bigint) as dots from fx", True)
-def file_confidence(spark, sf):
-    c = F.col("confidence")
-    return results(spark, sf).select("source_file", classify.confidence_level(c).alias("level"), classify.grid_colour(c).alias("colour"), F.floor(c * 5).alias("dots"))
-
-
-@query("select avg(confidence) as mean, min(confidence) as min, max(confidence) as max, count(*) filter (where confidence >= 0.8) as high, count(*) filter (where confidence >= 0.5 and confidence < 0.8) as medium, count(*) filter (where confidence < 0.5) as low from fx where confidence > 0", True)
-def confidence_summary(spark, sf):
-    c = F.col("confidence")
-    return results(spark, sf).where(c > 0).agg(F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.5) & (c < 0.8)).alias("medium"), F.count_if(c < 0.5).alias("low"))
-
-
-@query("select case when confidence >= 0.8 then 'high' when confidence >= 0.5 then 'medium' else 'low' end as band, count(*) as n, 100.0 * count(*) / sum(count(*)) over () as share from fx group by 1", True)
-def confidence_bands(spark, sf):
-    band = F.when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") >= 0.5, "medium").otherwise("low")
-    return results(spark, sf).groupBy(band.alias("band")).agg(F.count("*").alias("n")).withColumn("share", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
-
-
-@query("select o_orderpriority as field_name, round(avg(o_totalprice), 4) as mean_score from orders where o_totalprice > 0 group by 1 order by 2 desc limit 3")
-def top3_fields(spark, sf):
-    return read(spark, sf, "orders").where("o_totalprice > 0").groupBy(F.col("o_orderpriority").alias("field_name")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean_score")).orderBy(F.desc("mean_score"), "field_name").limit(3)
-
-
-@query("select count(*) filter (where processing_time > 0) as completed, count(*) filter (where processing_time <= 0) as failed, avg(processing_time) filter (where processing_time > 0) as mean_time, min(processing_time) filter (where processing_time > 0) as min_time, max(processing_time) as max_time, sum(processing_time) as total_time, 60.0 * count(*) filter (where processing_time > 0) / sum(processing_time) as per_minute from fx", True)
-def processing_metrics(spark, sf):
-    t, on = F.col("processing_time"), F.col("processing_time") > 0
-    return results(spark, sf).agg(F.count_if(on).alias("completed"), F.count_if(~on).alias("failed"), F.avg(F.when(on, t)).alias("mean_time"), F.min(F.when(on, t)).alias("min_time"), F.max(t).alias("max_time"), F.sum(t).alias("total_time"), (60.0 * F.count_if(on) / F.sum(t)).alias("per_minute"))
-
-
-@query("select cast(least(floor((processing_time - lo) * 10 / (hi - lo)), 9) as int) as bin, count(*) as n from fx, (select min(processing_time) as lo, max(processing_time) as hi from fx where processing_time > 0) where processing_time > 0 group by 1", True)
-def time_histogram(spark, sf):
-    t = results(spark, sf).where("processing_time > 0").select("processing_time")
-    ends = t.agg(F.min("processing_time").alias("lo"), F.max("processing_time").alias("hi"))
-    return t.join(F.broadcast(ends)).groupBy(F.least(F.floor((F.col("processing_time") - F.col("lo")) * 10 / (F.col("hi") - F.col("lo"))), F.lit(9)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-
-
-@query("select avg(confidence) as confidence, case when avg(confidence) >= 0.9 then 'Excellent' when avg(confidence) >= 0.8 then 'Good' when avg(confidence) >= 0.7 then 'Fair' else 'Needs Improvement' end as label from fx where status = 'completed'", True)
-def overall_confidence(spark, sf):
-    c = F.avg("confidence")
-    return results(spark, sf).where("status = 'completed'").agg(c.alias("confidence"), classify.overall_label(c).alias("label"))
-
-
-@query("select field_name, avg(case when missing then 0.0 else 1.0 end) as completeness, coalesce(avg(confidence) filter (where not missing), 0.0) as mean_confidence from conv where status = 'completed' group by 1", True)
-def preview_field_stats(spark, sf):
-    return _obs(spark, sf).where("status = 'completed'").groupBy("field_name").agg(F.avg(F.when(F.col("missing"), 0.0).otherwise(1.0)).alias("completeness"), F.coalesce(F.avg(F.when(~F.col("missing"), F.col("confidence"))), F.lit(0.0)).alias("mean_confidence"))
-
-
-@query("select count(*) as total, count(*) filter (where status = 'completed') as completed, count(*) filter (where status = 'failed') as failed, avg(confidence) as confidence, sum(processing_time) as total_time from fx", True)
-def simple_summary(spark, sf):
-    return results(spark, sf).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), F.avg("confidence").alias("confidence"), F.sum("processing_time").alias("total_time"))
-
-
-@query("select source_file, coalesce(company_name, '—') as company_name, coalesce(note, '—') as note, coalesce(order_date, '—') as order_date, coalesce(revenue, '—') as revenue from fx", True)
-def result_grid(spark, sf):
-    return results(spark, sf).select(text.base_name(F.col("source_file")).alias("source_file"), *(F.coalesce(F.try_element_at("data", F.lit(c)), F.lit("—")).alias(c) for c in ("company_name", "note", "order_date", "revenue")))
-
-
-@query("select distinct field_name from (select field_name from obs union all select 'note' from fx where note is not null) order by 1", True)
-def field_union(spark, sf):
-    return results(spark, sf).select(F.explode(F.map_keys("data")).alias("field_name")).distinct().orderBy("field_name")
-
-
-@query("select source_file, case when processing_time <= 0 then null when processing_time < 2 then 'Fast' when processing_time < 5 then 'Normal' else 'Slow' end as speed from fx", True)
-def speed_labels(spark, sf):
-    return results(spark, sf).select("source_file", classify.speed(F.col("processing_time")).alias("speed"))
-
-
-# monitoring: the events are the log
-_LOG = "log as (select event_id as seq, user_id as file, ['Ingestion', 'OCR', 'Extraction', 'Validation'][event_id % 4 + 1] as phase, value / 100 as t, event_type <> 'error' as success, event_id % 7 as field_count, event_type from events)"
-
-
-def _log(spark, sf):
-    k = F.col("event_id")
-    phase = F.element_at(F.array(*map(F.lit, ("Ingestion", "OCR", "Extraction", "Validation"))), (k % 4 + 1).cast("int"))
-    return read(spark, sf, "events").select(k.alias("seq"), F.col("user_id").alias("file"), phase.alias("phase"), (F.col("value") / 100).alias("t"), (F.col("event_type") != "error").alias("success"), (k % 7).alias("field_count"), "event_type")
-
-
-@query(f"with {_LOG} select file as batch_id, count(*) as total, count(*) filter (where success) as completed, count(*) filter (where not success) as failed, 100.0 * count(*) filter (where success) / count(*) as progress from log group by 1")
-def batch_progress(spark, sf):
-    return _log(spark, sf).groupBy(F.col("file").alias("batch_id")).agg(F.count("*").alias("total"), F.count_if("success").alias("completed"), F.count_if(~F.col("success")).alias("failed"), (100.0 * F.count_if("success") / F.count("*")).alias("progress"))
-
-
-@query(f"with {_LOG} select count(*) as n, round(avg(t), 6) as avg_time, cast(max(seq) - min(seq) as bigint) as span from (select * from log order by seq desc limit 50)")
-def queue_stats_last50(spark, sf):
-    last = _log(spark, sf).orderBy(F.desc("seq")).limit(50)
-    return last.agg(F.count("*").alias("n"), F.round(F.avg("t"), 6).alias("avg_time"), (F.max("seq") - F.min("seq")).alias("span"))
-
-
-@query(f"with {_LOG} select count(distinct file) filter (where success) as documents, cast(sum(field_count) as bigint) as fields, round(avg(t), 6) as mean_time, avg(case when success then 1.0 else 0.0 end) as success_rate from log")
-def performance_metrics(spark, sf):
-    return _log(spark, sf).agg(F.count_distinct(F.when(F.col("success"), F.col("file"))).alias("documents"), F.sum("field_count").alias("fields"), F.round(F.avg("t"), 6).alias("mean_time"), F.avg(F.when(F.col("success"), 1.0).otherwise(0.0)).alias("success_rate"))
-
-
-@query(f"with {_LOG} select phase, count(*) as n, round(avg(t), 6) as avg_time, min(t) as min_time, max(t) as max_time, round(sum(t), 4) as total_time from log group by 1")
-def phase_stats(spark, sf):
-    phases = spark.sql("select * from values ('Ingestion'), ('OCR'), ('Extraction'), ('Validation') as p(phase)")
-    got = _log(spark, sf).groupBy("phase").agg(F.count("*").alias("n"), F.round(F.avg("t"), 6).alias("avg_time"), F.min("t").alias("min_time"), F.max("t").alias("max_time"), F.round(F.sum("t"), 4).alias("total_time"))
-    return F.broadcast(phases).join(got, "phase", "left").na.fill(0)
-
-
-@query(f"with {_LOG} select count(*) as operations, cast(sum(n) as bigint) as attempts, count(*) filter (where not ok) as failed, 100.0 * count(*) filter (where ok) / count(*) as success_rate, cast(sum(n) as double) / count(*) as average_attempts from (select file, count(*) as n, max_by(success, seq) as ok from log group by 1)")
-def retry_stats(spark, sf):
-    ops = _log(spark, sf).groupBy("file").agg(F.count("*").alias("n"), F.max_by("success", "seq").alias("ok"))
-    return ops.agg(F.count("*").alias("operations"), F.sum("n").alias("attempts"), F.count_if(~F.col("ok")).alias("failed"), (100.0 * F.count_if("ok") / F.count("*")).alias("success_rate"), (F.sum("n").cast("double") / F.count("*")).alias("average_attempts"))
-
-
-@query("select event_id, cast(least(pow(2, event_id % 10), 60) as double) as delay from events")
-def retry_delay(spark, sf):
-    return read(spark, sf, "events").select("event_id", classify.retry_delay(F.col("event_id") % 10 + 1).alias("delay"))
-
-
-@query("select doc_id, round(case doc_id % 3 when 0 then 1.0 when 1 then 0.8 else 1.2 end * case when mb <= 1 then 1.0 when mb <= 5 then 1.2 when mb <= 10 then 1.5 when mb <= 50 then 2.0 else 3.0 end, 6) as complexity from (select doc_id, n_chars / 1024.0 as mb from documents)")
-def complexity(spark, sf):
-    extension = F.element_at(F.array(F.lit("pdf"), F.lit("docx"), F.lit("png")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return read(spark, sf, "documents").select("doc_id", F.round(classify.complexity(extension, F.col("n_chars") * 1024), 6).alias("complexity"))
-
-
-@query(f"with {_LOG} select round(avg(s), 6) as mean_per_file from (select file, sum(t) as s from (select * from log order by seq desc limit 20) group by 1)")
-def eta_last20(spark, sf):
-    return _log(spark, sf).orderBy(F.desc("seq")).limit(20).groupBy("file").agg(F.sum("t").alias("s")).agg(F.round(F.avg("s"), 6).alias("mean_per_file"))
-
-
-@query(f"with {_LOG} select m as milestone, min(seq) as reached from (select seq, (seq + 1.0) / (max(seq) over () + 1) as p from log), (select unnest([0.25, 0.5, 0.75, 0.9]) as m) where p >= m group by 1")
-def milestones(spark, sf):
-    log = _log(spark, sf)
-    total = log.agg((F.max("seq") + 1).alias("total"))
-    p = (F.col("seq") + 1.0) / F.col("total")
-    marks = (0.25, 0.5, 0.75, 0.9)
-    one = log.join(F.broadcast(total)).agg(*(F.min(F.when(p >= m, F.col("seq"))).alias(f"m{i}") for i, m in enumerate(marks)))
-    return one.selectExpr(f"stack(4, {', '.join(f'double({m}), m{i}' for i, m in enumerate(marks))}) as (milestone, reached)")
-
-
-@query(f"with {_LOG} select file, seq, t > 2 * base as slow from (select file, seq, t, nth_value(t, 5) over (partition by file order by seq rows between unbounded preceding and unbounded following) as base from log) where base is not null")
-def degradation(spark, sf):
-    w = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return _log(spark, sf).withColumn("base", F.nth_value("t", 5).over(w)).where("base is not null").select("file", "seq", (F.col("t") > 2 * F.col("base")).alias("slow"))
-
-
-@query(f"with {_LOG} select seq, case when t * 20 > 75 then 'critical' when t * 20 > 60 then 'warning' else 'normal' end as pressure from log")
-def resource_status(spark, sf):
-    return _log(spark, sf).select("seq", classify.memory_pressure(F.col("t") * 20).alias("pressure"))
-
-
-@query(f"with {_LOG} select file, seq, round(avg(t) over w, 6) as mean5, round(t - lag(t) over (partition by file order by seq), 6) as trend from log window w as (partition by file order by seq rows between 4 preceding and current row)")
-def headroom_last5(spark, sf):
-    w = Window.partitionBy("file").orderBy("seq")
-    return _log(spark, sf).select("file", "seq", F.round(F.avg("t").over(w.rowsBetween(-4, 0)), 6).alias("mean5"), F.round(F.col("t") - F.lag("t").over(w), 6).alias("trend"))
-
-
-@query("select o_orderkey from orders order by o_orderpriority desc, o_orderdate, o_orderkey limit 100")
-def priority_order(spark, sf):
-    return read(spark, sf, "orders").orderBy(F.desc("o_orderpriority"), "o_orderdate", "o_orderkey").select("o_orderkey")
-
-
-@query(f"with {_LOG} select file, seq from (select file, seq, row_number() over (partition by file order by seq desc) as r from log) where r <= 10")
-def retention_top10(spark, sf):
-    return _log(spark, sf).withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("seq")))).where("r <= 10").select("file", "seq")
-
-
-@query("select event_id, case when s >= 500 then 'temporary' when s >= 400 then 'permanent' else 'temporary' end as class from (select event_id, 300 + event_id % 300 as s from events)")
-def error_class(spark, sf):
-    return read(spark, sf, "events").select("event_id", classify.error_class(F.col("event_id") % 300 + 300).alias("class"))
-
-
-# sources
-@query("select page_id, lower(regexp_extract(p, '[^.]+$')) as format, lower(regexp_extract(p, '[^.]+$')) in ('pdf', 'docx', 'doc', 'xlsx', 'xls', 'csv') as supported from (select page_id, 'x/' || page_id || ['.PDF', '.docx', '.txt', '.csv', '.png'][page_id % 5 + 1] as p from pages)")
-def format_detect(spark, sf):
-    e = F.element_at(F.array(*map(F.lit, (".PDF", ".docx", ".txt", ".csv", ".png"))), (F.col("page_id") % 5 + 1).cast("int"))
-    name = F.lower(F.regexp_extract(F.concat(F.lit("x/"), F.col("page_id").cast("string"), e), "[^.]+$", 0))
-    return read(spark, sf, "pages").select("page_id", name.alias("format"), name.isin("pdf", "docx", "doc", "xlsx", "xls", "csv").alias("supported"))
-
-
-@query("select doc_id, case when length(trim(text)) > 10 then 'text' when length(trim(text)) > 0 and doc_id % 3 > 0 then 'text' when doc_id % 3 > 0 then 'empty' else 'ocr' end as route from documents")
-def page_rule(spark, sf):
-    n, images = F.length(F.trim("text")), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)
-    return read(spark, sf, "documents").select("doc_id", F.when(n > 10, "text").when((n > 0) & (images == 0), "text").when(images == 0, "empty").otherwise("ocr").alias("route"))
-
-
-@query("select url, min(page_id) as page_id from pages group by 1")
-def dedup_files(spark, sf):
-    return read(spark, sf, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
-
-
-@query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber >= 4)")
-def pending_files(spark, sf):
-    done = read(spark, sf, "lineitem").where("l_linenumber >= 4").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read(spark, sf, "orders").join(done, "o_orderkey", "left_anti").select("o_orderkey")
+from . import logs, sources, views  # noqa: E402, F401  they register theirs

@@ -10,10 +10,14 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as text_functions
+from . import pdf, xls
+
 FORMATS = ("pdf", "docx", "doc", "xlsx", "xls", "csv")
 SAMPLE_ROWS = 5
 
@@ -41,8 +45,8 @@ def csv_text(content: bytes) -> str:
             break
         except UnicodeDecodeError:
             continue
-    rows = list(csv.reader(io.StringIO(text)))
-    return table_prose(rows, "This CSV file contains {n} rows and {m} columns: ") or "[CSV file contains no data]"
+    rows = [r for r in csv.reader(io.StringIO(text)) if any(c.strip() for c in r)]
+    return table_prose(rows, "CSV file contains {n} rows and {m} columns: ").replace("\n", "\n\n") if len(rows) > 1 else "[CSV file contains no data]"
 
 
 def _parts(xml: bytes, tag: str) -> Iterator[ElementTree.Element]:
@@ -95,8 +99,27 @@ def xlsx_text(content: bytes) -> str:
     return "\n\n".join(said) or "[Excel file contains no data]"
 
 
-#: Readers by format. PDF text and OCR need packages of the caller's choice: add them under "pdf".
-READERS: dict[str, Callable[[bytes], str]] = {"csv": csv_text, "docx": docx_text, "xlsx": xlsx_text}
+def xls_text(content: bytes) -> str:
+    said = []
+    for title, rows in xls.sheets(content):
+        prose = table_prose(rows, "This sheet contains {n} rows and {m} columns: ") if len(rows) > 1 else ""
+        if prose:
+            said.append(f"--- Sheet: {title} ---\n\n" + prose.replace("\n", "\n\n"))
+    return "\n\n".join(said) or "[Excel file contains no extractable data]"
+
+
+def pdf_text(content: bytes) -> str:
+    """The text that stands in a PDF as text; scanned pages need a reader with OCR."""
+    own = pdf.pages(content)
+    said = []
+    for i, (words, images) in enumerate(own, 1):
+        if words.strip() or images:
+            said.append(f"--- Page {i} ---\n" + (words if words.strip() else f"[Page {i}: Contains images but no extractable text - OCR required]"))
+    return "\n\n".join(said) or ("[PDF contains only images - OCR processing required]" if any(n for _, n in own) else "[PDF contains no extractable text]")
+
+
+#: Readers by format. OCR needs a package of the caller's choice: put a reader of your own under "pdf".
+READERS: dict[str, Callable[[bytes], str]] = {"csv": csv_text, "docx": docx_text, "xlsx": xlsx_text, "xls": xls_text, "pdf": pdf_text}
 
 
 def detected(files: DataFrame) -> DataFrame:
@@ -105,6 +128,108 @@ def detected(files: DataFrame) -> DataFrame:
     return files.withColumn("format", F.when(name.isin(*FORMATS), name)).withColumn("error", F.when(name == "", "no file extension").when(~name.isin(*FORMATS), F.concat(F.lit("unsupported format: "), name)))
 
 
+#: What a window and a file list accept, and the categories that extensions belong to.
+FILTERS = {"window": ("pdf", "docx", "xlsx", "xls"), "list": ("pdf", "docx", "doc")}
+CATEGORIES = {"pdf": ("pdf",), "docx": ("docx", "doc"), "excel": ("xlsx", "xls"), "csv": ("csv",), "text": ("txt",)}
+
+
+def extension(path: Column) -> Column:
+    """In lower case, without the dot; empty if the name has none."""
+    return F.lower(F.regexp_extract(path, r"[^./\\]\.([^./\\]+)$", 1))
+
+
+def category(path: Column) -> Column:
+    """What kind of document the extension stands for, null for none; wider than what can be read."""
+    out = F.lit(None).cast("string")
+    for name, extensions in CATEGORIES.items():
+        out = F.when(extension(path).isin(*extensions), name).otherwise(out)
+    return out
+
+
+def accepted(files: DataFrame, where: str) -> DataFrame:
+    """Files that the window or the list accepts."""
+    return files.where(extension(F.col("path")).isin(*FILTERS[where]))
+
+
+def existing(dropped: DataFrame, files: DataFrame) -> DataFrame:
+    """Dropped paths that are files of an accepted format."""
+    return accepted(dropped, "window").join(files.select("path").distinct(), "path", "left_semi")
+
+
+def format_or_error(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """paths(path) with format and error: the file must exist, have an extension, and that one must be supported."""
+    found = paths.join(files.select(F.col("path").alias("_p")).distinct(), F.col("path") == F.col("_p"), "left")
+    e = extension(F.col("path"))
+    error = F.when(F.col("_p").isNull(), F.concat(F.lit("File not found: "), "path")).when(e == "", F.concat(F.lit("File has no extension: "), "path")).when(~e.isin(*FORMATS), F.concat(F.lit("Unsupported file format: ."), e, F.lit(". Supported formats: " + ", ".join("." + f for f in FORMATS))))
+    return found.withColumn("error", error).withColumn("format", F.when(F.col("error").isNull(), e)).drop("_p")
+
+
+def page_route(chars: Column, images: Column) -> Column:
+    """What a page of a PDF needs: its text if it has over ten characters, or any and no image; OCR if there is an image; else it is empty."""
+    return F.when(chars > 10, "text").when((chars > 0) & (images == 0), "text").when(images == 0, "empty").otherwise("ocr")
+
+
+def direct_pages(pages: DataFrame) -> DataFrame:
+    """pages(path, page from 1, text, images): (path, text) without OCR. Pages under their headings, one that has only images with a
+    note, blank ones left out; a file without any page text says why."""
+    blank = F.regexp_replace("text", r"(?U)\s+", "") == ""
+    body = F.when(blank & (F.col("images") > 0), F.concat(F.lit("[Page "), F.col("page").cast("string"), F.lit(": Contains images but no extractable text - OCR required]"))).when(~blank, F.col("text"))
+    said = F.when(body.isNotNull(), F.struct("page", F.concat(F.lit("--- Page "), F.col("page").cast("string"), F.lit(" ---\n"), body).alias("said")))
+    got = pages.groupBy("path").agg(F.array_sort(F.collect_list(said)).alias("p"), F.max("images").alias("images"))
+    none = F.when(F.col("images") > 0, "[PDF contains only images - OCR processing required]").otherwise("[PDF contains no extractable text]")
+    return got.select("path", F.when(F.size("p") > 0, F.array_join(F.transform("p", lambda x: x["said"]), "\n\n")).otherwise(none).alias("text"))
+
+
+def frame_prose(rows: DataFrame, columns: list[str], by: str, opening: str = "CSV file contains {n} rows and {m} columns: ") -> DataFrame:
+    """(line, text) of a table as prose: what it holds, its first SAMPLE_ROWS rows by `by`, how many more there are."""
+    first = rows.orderBy(by).limit(SAMPLE_ROWS).withColumn("_i", F.row_number().over(Window.orderBy(by)))  # a handful of rows
+    said = first.select(F.col("_i").alias("line"), text_functions.row_prose(F.col("_i"), {c: F.col(c) for c in columns}).alias("text"))
+    start, end = opening.split("{n}")
+    total = rows.agg(F.count("*").alias("n"))
+    head = total.select(F.lit(0).alias("line"), F.when(F.col("n") == 0, "[CSV file contains no data]").otherwise(F.concat(F.lit(start), F.col("n").cast("string"), F.lit(end.format(m=len(columns)) + ", ".join(columns)))).alias("text"))
+    rest = total.where(f"n > {SAMPLE_ROWS}").select(F.lit(SAMPLE_ROWS + 1).alias("line"), F.concat(F.lit("... and "), (F.col("n") - SAMPLE_ROWS).cast("string"), F.lit(" more rows")).alias("text"))
+    return head.unionByName(said).unionByName(rest)
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, format, pages, has_images) of all files below path: pages of a PDF or sheets of a workbook, images in a PDF; null
+    where the format has none or the file cannot be read."""
+    files = detected(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages, images = [], []
+            for kind, content in zip(batch.column("format").to_pylist(), batch.column("content").to_pylist()):
+                try:
+                    own = pdf.pages(content) if kind == "pdf" else None
+                    pages.append(len(own) if own is not None else len(list(_parts(zipfile.ZipFile(io.BytesIO(content)).read("xl/workbook.xml"), "sheet"))) if kind == "xlsx" else len(xls.sheets(content)) if kind == "xls" else None)
+                    images.append(any(n for _, n in own[:3]) if own is not None else None)
+                except Exception:  # a broken file has no metadata; reading it gives the error
+                    pages.append(None)
+                    images.append(None)
+            yield pa.record_batch([batch.column("path"), batch.column("length"), batch.column("format"), pa.array(pages, pa.int64()), pa.array(images, pa.bool_())], names=["path", "length", "format", "pages", "has_images"])
+
+    return files.select("path", "length", "format", "content").mapInArrow(run, "path string, length long, format string, pages long, has_images boolean")
+
+
+def proofread(docs: DataFrame, model: Callable[[list[str], list[str]], list[str]] | None, prompts: dict[str, str], mode: str | None = None) -> DataFrame:
+    """docs(text, ...) with `proofread`: the model's text for the masked text and the prompt of its mode (found by its words, or fixed).
+    Without a model, and where the model fails or answers with nothing, the text stays."""
+    if model is None:
+        return docs.withColumn("proofread", F.col("text"))
+    chosen = F.lit(mode) if mode else text_functions.proofread_mode(F.col("text"))
+
+    @F.pandas_udf("string")
+    def ask(texts: pd.Series, said: pd.Series) -> pd.Series:
+        try:
+            got = model(texts.fillna("").tolist(), said.tolist())
+            return pd.Series([g if g else None for g in got])
+        except Exception:  # whatever the model raises, the text stays
+            return pd.Series([None] * len(texts))
+
+    return docs.withColumn("proofread", F.coalesce(F.when(F.length("text") > 0, ask(text_functions.mask_all(F.col("text")), text_functions.prompt(chosen, prompts))), F.col("text")))
+
+
 def read_documents(spark: SparkSession, path: str, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """(path, length, format, text, error) of all files below path; a file that can't be read has an error and no text.
 

@@ -1,4 +1,4 @@
-"""Golden pairs of the conversion, masking and document rules, and the data frames of the reports."""
+"""Golden pairs of the conversion, masking and document rules (fixed values: they must be these), and the data frames of the reports."""
 
 import io
 import zipfile
@@ -54,6 +54,10 @@ def test_rows_with_errors(spark):
     rows = spark.createDataFrame([(1, "a.pdf", "completed", 1.0, 0.9, {"company_name": " X ", "revenue": "1.000 ₫", "order_date": "2024-01-02"}), (2, "b.pdf", "completed", 1.0, 0.9, {"company_name": "", "revenue": "abc", "order_date": "2024-01-02", "more": "1"})], "seq long, source_file string, status string, processing_time double, confidence double, data map<string,string>")
     checked = records.validated(rows, TEMPLATE)
     assert [r.errors for r in checked.orderBy("seq").collect()] == [[], ["Required field 'company_name' is missing or empty", "Field 'revenue' conversion failed", "Unexpected field 'more' not in template schema"]]
+    assert [r.field_name for r in records.required_missing(rows, TEMPLATE).collect()] == ["company_name"]
+    assert [(r.seq, r.field_name) for r in records.unexpected_fields(rows, TEMPLATE).collect()] == [(2, "more")]
+    assert records.failed_rows(checked).first().validation_errors.startswith("Validation errors for b.pdf: Required field")
+    assert records.validated(rows.withColumn("data", F.lit(None).cast("map<string,string>")), TEMPLATE).first().errors[2].startswith("Required field 'order_date'")
     s = records.processing_summary(checked).first()
     assert (s.total_files, s.successful_files, s.failed_files, s.success_rate) == (2, 1, 1, 50.0)
     assert records.processing_summary(checked.where("seq > 9")).first().success_rate == 0
@@ -72,7 +76,7 @@ def test_documents_and_workbook(spark, tmp_path):
         f.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>Hello</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>")
     (tmp_path / "in/e.docx").write_bytes(z.getvalue())
     got = {r.path[-6:]: r for r in documents.read_documents(spark, str(tmp_path / "in")).collect()}
-    assert "3 rows and 3 columns: Name, Age, Department" in got["/a.csv"].text
+    assert got["/a.csv"].text.startswith("CSV file contains 3 rows and 3 columns: Name, Age, Department\n\nRow 1: Name: A, Age: 1, Department: x")
     assert "2 rows of data with columns: Name, Age" in got["b.xlsx"].text
     assert got["c.docx"].text is None and got["c.docx"].error
     assert got["/d.png"].error == "unsupported format: png"
