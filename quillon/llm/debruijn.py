@@ -1,35 +1,47 @@
 """Substring deduplication on a De Bruijn graph of words.
 
-A window of `width` words is an edge between its first and last width - 1 words. Edges are kept under their minimizer (the
-least hash among the window's 7-word runs), so successive edges of a text travel as one row, and an edge is known by two
-64-bit fingerprints, its minimizer's and its own:
-
-1. minimizers that occur under two doc_ids are found by an aggregation that combines before it shuffles; they set bits of a
-   filter of fixed size (false positives cost work, not results);
-2. runs of edges under such minimizers are dealt out by minimizer and sorted by document; a task streams through them,
-   holding the edges of one minimizer with the source coordinate (least doc_id) of each. Every unbroken run of edges that
-   were seen under a smaller doc_id comes out as one compacted path: (doc_id, start, end) in words;
-3. the paths are joined with their documents, joined end to end, and cut out.
-
-Whole texts that are equal meet as one edge over the whole text, so a task sends the edges of one copy only.
+A window of `width` words is an edge from the node of its first width - 1 words to the node of its last. An edge is known by two
+fingerprints of together 96 bits.
+
+1. Candidates. Windows' minimizers (the least hash among the 7-word runs of a window) that occur more than once, then the edges under
+   such minimizers that occur more than once, are found from packed lists of hashes, and set bits of filters; these only let
+   too much through. Of equal whole texts a task sends the edges of one copy, and one edge over the whole text for each.
+2. Edges. Grouped by fingerprint (combined before the shuffle), an edge that occurs under two doc_ids is repeated; the least
+   (doc_id, position) is its source coordinate.
+3. Compaction. Nodes are grouped to count the edges that enter and leave them; edges are joined with their start nodes, and an edge
+   goes on the path of the edge before it if the node between has one edge in and one out and both have successive source
+   coordinates. A path is thus an interval (source, start, end) of a document.
+4. Spans. Every occurrence is joined with its edge; successive occurrences whose source coordinates follow each other on one path
+   make up a long repeated span (doc_id, start, end, source, source_start). Spans with a source of smaller doc_id are cut.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .filters import collected_filter, passes
+from .frames import fresh, stash
 from .kernels import BLANK, Texts, Words, grams, mix, slices, starts_of_grams
 
 RUN = 7
-#: Bits of the filter (8 MB), whatever the input, and the rows it is cut into.
-FILTER_BITS, FILTER_ROWS = 26, 64
+#: Bits of a filter at most (128 MB); beyond some 60 million repeated hashes it lets more through.
+FILTER_MOST = 30
+#: Hashes that a task holds before it packs them.
+FLUSH = 1 << 21
+_KEEP, _SHIFT = np.uint64((1 << 48) - 1), np.uint64(16)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Words]]:
+    for batch in batches:
+        for part in slices(batch.filter(batch.column("doc_id").is_valid()), "text"):
+            yield part.column("doc_id").to_numpy(), Words(Texts(part.column("text")), BLANK)
 
 
 def _minimizers(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -40,147 +52,201 @@ def _minimizers(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Words]]:
-    for batch in batches:
-        for part in slices(batch.filter(batch.column("doc_id").is_valid()), "text"):
-            yield part.column("doc_id").to_numpy(), Words(Texts(part.column("text")), BLANK)
+def _whole(words: Words, hashes: np.ndarray) -> np.ndarray:
+    """A hash of each row's whole sequence of words."""
+    place = (np.arange(len(hashes)) - np.repeat(words.offsets[:-1], words.counts)).astype(np.uint64)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)), out=total[1:])
+    return mix(total[words.offsets[1:]] - total[words.offsets[:-1]] + words.counts.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+
+
+class Windows:
+    """The windows of some rows: the row, the place in all words, and the edge of each. Of equal whole texts only the copy with the least
+    id that this task has met so far has any."""
+
+    def __init__(self, ids: np.ndarray, words: Words, width: int, minimizers: np.ndarray | None, seen: dict[int, int]):
+        self.ids, self.words, self.hashes = ids, words, words.hashes()
+        n = words.counts
+        self.long = np.flatnonzero(n >= width)
+        self.whole = _whole(words, self.hashes)
+        take = np.zeros(len(n), bool)
+        for i in self.long.tolist():
+            if seen.get(int(self.whole[i]), 1 << 63) > ids[i]:
+                seen[int(self.whole[i])] = int(ids[i])
+                take[i] = True
+        if len(seen) > 200_000:
+            seen.clear()
+        at, rows = starts_of_grams(words.offsets, width)
+        keep = take[rows]
+        self.at, self.rows = at[keep], rows[keep]
+        if minimizers is not None:
+            keep = passes(minimizers, _minimizers(self.hashes, self.at, width) << _SHIFT)
+            self.at, self.rows = self.at[keep], self.rows[keep]
+        self.edges = grams(self.hashes, width)[self.at] if len(self.at) else np.empty(0, np.uint64)
 
 
-def _kept_minimizers(width: int):
+def _packed(pick: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], buckets: int):
+    """(bucket, 48 bits of each hash) of pick's hashes and doc_ids: a hash that a task has met under two doc_ids stands there twice."""
+
+    def flush(values: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        v, d = np.concatenate(values) & _KEEP, np.concatenate(docs)
+        order = np.lexsort((d, v))
+        v, d = v[order], d[order]
+        new = np.r_[True, v[1:] != v[:-1]]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
+        # sorted by doc_id, a hash has one place at most where the first doc_id gives way to another
+        other = np.r_[False, (d[1:] != d[first[1:]]) & (d[:-1] == d[first[1:]]) & ~new[1:]]
+        v = v[new | other]
+        bucket = (v >> np.uint64(32)).astype(np.int64) * buckets >> 16
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        data = np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+        ends = np.r_[starts, len(v)] * 6
+        yield pa.record_batch([pa.array(bucket[starts].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])], names=["bucket", "hashes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, words in _parts(batches):
-            at, rows = starts_of_grams(words.offsets, width)
-            values = _minimizers(words.hashes(), at, width)
-            new = np.ones(len(values), bool)
-            new[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
-            yield pa.record_batch([pa.array(values[new].view(np.int64)), pa.array(ids[rows[new]])], names=["h", "doc"])
+        values, docs, n = [], [], 0
+        for v, d in pick(batches):
+            values.append(v)
+            docs.append(d)
+            n += len(v)
+            if n > FLUSH:
+                yield from flush(values, docs)
+                values, docs, n = [], [], 0
+        if n:
+            yield from flush(values, docs)
 
     return run
 
 
-def _filter_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for batch in batches:
-        bits[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    if bits.any():
-        pieces = np.packbits(bits).reshape(FILTER_ROWS, -1)
-        some = np.flatnonzero(pieces.any(axis=1))
-        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([pieces[i].tobytes() for i in some], pa.binary())], names=["piece", "bits"])
+def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed hashes in, bucket by bucket; those that stand there more than once out. It holds one bucket."""
 
+    def repeated(held: list[bytes]) -> pa.RecordBatch:
+        raw = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 6)
+        v = np.sort(np.pad(raw, ((0, 0), (0, 2))).view(np.uint64).reshape(-1))
+        again = np.unique(v[1:][v[1:] == v[:-1]])
+        return pa.record_batch([pa.array((again << _SHIFT).view(np.int64))], names=["h"])
 
-def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+    last, held = None, []
     for batch in batches:
-        for piece, bits in zip(batch.column(0).to_pylist(), batch.column(1)):
-            more = np.frombuffer(bits.as_buffer(), np.uint8)
-            total[piece] = total[piece] | more if piece in total else more.copy()
-    if total:
-        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "bits"])
+        for bucket, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if bucket != last and held:
+                yield repeated(held)
+                held = []
+            last = bucket
+            held.append(hashes)
+    if held:
+        yield repeated(held)
 
 
-def _edges(width: int, filtered):
-    """Rows (h, doc, pos, span, edges): successive edges from word pos on under minimizer h; span words each."""
+def _repeated(docs: DataFrame, pick) -> np.ndarray:
+    """The filter of the hashes that occur more than once."""
+    spark = docs.sparkSession
+    buckets = min(1 << 16, 32 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lists = docs.mapInArrow(_packed(pick, buckets), "bucket int, hashes binary").repartition("bucket").sortWithinPartitions("bucket")
+    return collected_filter(stash(lists.mapInArrow(_twice, "h long")), FILTER_MOST)
+
+
+def _pick_minimizers(width: int):
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        seen: dict[int, int] = {}
+        for ids, words in _parts(batches):
+            w = Windows(ids, words, width, None, seen)
+            values = _minimizers(w.hashes, w.at, width)
+            if len(values):
+                new = np.r_[True, (values[1:] != values[:-1]) | (w.rows[1:] != w.rows[:-1])]
+                yield values[new], ids[w.rows[new]]
+
+    return pick
+
+
+def _pick_edges(width: int, minimizers):
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        seen: dict[int, int] = {}
+        for ids, words in _parts(batches):
+            w = Windows(ids, words, width, minimizers.value, seen)
+            yield np.concatenate([w.edges, w.whole[w.long]]), np.concatenate([ids[w.rows], ids[w.long]])
+
+    return pick
+
+
+EDGES = "e long, c int, doc long, pos int, span int, u int, v int"
+
+
+def _edges(width: int, minimizers, repeated):
+    """Occurrences of edges that may be repeated: fingerprints e and c, the coordinate (doc, pos), how many words (a whole text's edge has
+    all of them), and 32 bits of the nodes that it leaves and enters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = filtered.value
         seen: dict[int, int] = {}
         for ids, words in _parts(batches):
-            hashes = words.hashes()
-            n = words.counts
-            long = np.flatnonzero(n >= width)
-            whole = np.zeros(len(n), np.uint64)
-            total = np.zeros(len(hashes) + 1, np.uint64)
-            place = (np.arange(len(hashes)) - np.repeat(words.offsets[:-1], n)).astype(np.uint64)
-            np.cumsum(mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)), out=total[1:])
-            whole = mix(total[words.offsets[1:]] - total[words.offsets[:-1]] + n.astype(np.uint64))
-            take = np.zeros(len(n), bool)
-            for i in long.tolist():
-                if seen.get(int(whole[i]), 1 << 63) > ids[i]:
-                    seen[int(whole[i])] = int(ids[i])
-                    take[i] = True
-            if len(seen) > 200_000:
-                seen.clear()
-            w = whole[long]
-            yield pa.record_batch([pa.array(mix(w ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)), pa.array(ids[long]), pa.array(np.zeros(len(long), np.int32)), pa.array(n[long].astype(np.int32)), pa.array([x.tobytes() for x in w], pa.binary())], names=["h", "doc", "pos", "span", "edges"])
-            at, rows = starts_of_grams(words.offsets, width)
-            values = _minimizers(hashes, at, width)
-            edges = grams(hashes, width)[at] if len(at) else values
-            place = (values >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            use = take[rows] & ((bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(bool)
-            at, rows, values, edges = at[use], rows[use], values[use], edges[use]
-            if not len(at):
-                continue
-            first = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]) | (at[1:] != at[:-1] + 1) | (rows[1:] != rows[:-1])])
-            packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.r_[first, len(at)] * 8).astype(np.int32).tobytes()), pa.py_buffer(edges.tobytes())])
-            pos = (at[first] - words.offsets[rows[first]]).astype(np.int32)
-            yield pa.record_batch([pa.array(values[first].view(np.int64)), pa.array(ids[rows[first]]), pa.array(pos), pa.array(np.full(len(first), width, np.int32)), packed], names=["h", "doc", "pos", "span", "edges"])
+            w = Windows(ids, words, width, minimizers.value, seen)
+            keep = passes(repeated.value, w.edges << _SHIFT)
+            at, rows, edges = w.at[keep], w.rows[keep], w.edges[keep]
+            whole = w.whole[w.long]
+            keep = passes(repeated.value, whole << _SHIFT)
+            long, whole = w.long[keep], whole[keep]
+            high = lambda x: (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            other = mix(w.hashes ^ np.uint64(0xD6E8FEB86659FD93))
+            check, nodes = grams(other, width), grams(w.hashes, width - 1)
+            zero = np.zeros(len(long), np.int32)
+            check_whole = _whole(words, other)[long]
+            columns = [
+                np.concatenate([edges, whole]).view(np.int64), np.concatenate([high(check[at]), high(check_whole)]) if len(at) else high(check_whole), np.concatenate([ids[rows], ids[long]]),
+                np.concatenate([(at - words.offsets[rows]).astype(np.int32), zero]), np.concatenate([np.full(len(at), width, np.int32), words.counts[long].astype(np.int32)]),
+                np.concatenate([high(nodes[at]), zero]) if len(at) else zero, np.concatenate([high(nodes[at + 1]), zero]) if len(at) else zero,
+            ]
+            yield pa.record_batch([pa.array(x) for x in columns], names=["e", "c", "doc", "pos", "span", "u", "v"])
 
     return run
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h, doc, pos in; compacted paths that an earlier document holds out."""
-    last_h, last_edges, last_docs = None, np.empty(0, np.uint64), np.empty(0, np.int64)
-    for batch in batches:
-        if not len(batch):
-            continue
-        h, doc, pos, span = (batch.column(i).to_numpy() for i in range(4))
-        packed = batch.column(4)
-        lengths = np.array([len(x.as_buffer()) // 8 for x in packed]) if packed.offset else np.diff(np.frombuffer(packed.buffers()[1], np.int32)[: len(packed) + 1]) // 8
-        edges = np.frombuffer(b"".join(packed.to_pylist()), np.uint64)
-        row = np.repeat(np.arange(len(h)), lengths)
-        start = np.cumsum(lengths) - lengths
-        word = pos[row] + np.arange(len(row)) - start[row]
-        order = np.lexsort((edges, h[row]))
-        same = np.r_[False, (edges[order][1:] == edges[order][:-1]) & (h[row[order]][1:] == h[row[order]][:-1])]
-        group = np.cumsum(~same) - 1
-        heads = order[~same]
-        least = doc[row[heads]]
-        if last_h is not None and h[0] == last_h:
-            mine = np.flatnonzero(h[row[heads]] == last_h)
-            where = np.searchsorted(last_edges, edges[heads[mine]])
-            where = np.minimum(where, len(last_edges) - 1)
-            known = last_edges[where] == edges[heads[mine]]
-            least[mine[known]] = np.minimum(least[mine[known]], last_docs[where[known]])
-        source = np.empty(len(row), np.int64)
-        source[order] = least[group]
-        tail = np.flatnonzero(h[row[heads]] == h[-1])
-        now_edges, now_docs = edges[heads[tail]], least[tail]
-        if last_h is not None and h[-1] == last_h:
-            now_edges, now_docs = np.concatenate([now_edges, last_edges]), np.concatenate([now_docs, last_docs])
-        by = np.lexsort((now_docs, now_edges))
-        one = np.r_[True, now_edges[by][1:] != now_edges[by][:-1]]
-        last_h, last_edges, last_docs = h[-1], now_edges[by][one], now_docs[by][one]
-        again = np.flatnonzero(doc[row] > source)
-        if len(again):
-            cut = np.r_[True, (row[again][1:] != row[again][:-1]) | (word[again][1:] != word[again][:-1] + 1)]
-            first = again[cut]
-            final = again[np.r_[np.flatnonzero(cut)[1:] - 1, len(again) - 1]]
-            yield pa.record_batch([pa.array(doc[row[first]]), pa.array(word[first].astype(np.int32)), pa.array((word[final] + span[row[final]]).astype(np.int32))], names=["doc_id", "start", "end"])
-
-
-def repeated_paths(docs: DataFrame, width: int = 13) -> DataFrame:
-    """(doc_id, start, end): word ranges of docs(doc_id, text) that consist of windows which also start under a smaller doc_id.
-    Ranges of one document may touch or overlap. Null doc_ids and texts have none."""
+def graph(occurrences: DataFrame, width: int) -> DataFrame:
+    """(e, c, source, at, path): repeated edges with their source coordinate and the path that they lie on, named by the place in the
+    source where it starts. An edge over a whole text is a path of its own."""
+    first = F.min(F.struct("doc", "pos", "span", "u", "v")).alias("x")
+    edges = occurrences.groupBy("e", "c").agg(first, F.max("doc").alias("hi")).where("x.doc < hi").select("e", "c", F.col("x.doc").alias("source"), F.col("x.pos").alias("at"), "x.span", "x.u", "x.v")
+    edges = stash(edges)
+    small = edges.where(f"span = {width}")
+    ends = small.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(small.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    through = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in")).where("out = 1 and in = 1").select(F.col("node").alias("u"), F.lit(True).alias("through"))
+    joined = small.join(through, "u", "left")
+    order = Window.partitionBy("source").orderBy("at")
+    starts = joined.withColumn("begins", F.when(F.col("through") & (F.lag("at").over(order) == F.col("at") - 1), 0).otherwise(1))
+    path = F.max(F.when(F.col("begins") == 1, F.col("at"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    small = starts.select("e", "c", "source", "at", path.alias("path"))
+    return small.unionByName(edges.where(f"span <> {width}").select("e", "c", "source", "at", F.lit(-1).alias("path")))
+
+
+def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
+    """(doc_id, start, end, source, source_start): runs of words of docs(doc_id, text) that consist of windows which also start under a
+    smaller doc_id, each along one path from its source coordinate on. Spans of one document may touch or overlap. Null doc_ids
+    and texts have none; rows of one doc_id are one document that has all their windows."""
     if width <= RUN:
         raise ValueError(f"width must be over {RUN}")
+    context = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    twice = docs.mapInArrow(_kept_minimizers(width), "h long, doc long").groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h")
-    pieces = twice.mapInArrow(_filter_pieces, "piece int, bits binary").repartition("piece").mapInArrow(_either, "piece int, bits binary").collect()  # 2**FILTER_BITS bits in all
-    bits = np.zeros((FILTER_ROWS, (1 << FILTER_BITS) // 8 // FILTER_ROWS), np.uint8)
-    for x in pieces:
-        bits[x.piece] = np.frombuffer(x.bits, np.uint8)
-    filtered = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
-    edges = docs.mapInArrow(_edges(width, filtered), "h long, doc long, pos int, span int, edges binary")
-    return edges.repartition("h").sortWithinPartitions("h", "doc", "pos").mapInArrow(_paths, "doc_id long, start int, end int")
+    minimizers = context.broadcast(_repeated(docs, _pick_minimizers(width)))
+    repeated = context.broadcast(_repeated(docs, _pick_edges(width, minimizers)))
+    found = docs.mapInArrow(_edges(width, minimizers, repeated), EDGES)
+    edges = graph(found, width)
+    hits = found.select("e", "c", "doc", "pos", "span").join(edges, ["e", "c"]).where("source < doc")
+    # successive windows on one path with successive source coordinates have one difference of places
+    along = Window.partitionBy("doc", "source", "path", "shift").orderBy("pos")
+    hits = hits.select("doc", "pos", "span", "source", "path", (F.col("at") - F.col("pos")).alias("shift"))
+    run = F.when(F.col("pos") > F.lag("pos").over(along) + 1, 1).otherwise(0)
+    runs = hits.withColumn("new", run).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc", "source", "path", "shift", "run").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("span")).alias("end")).select(F.col("doc").alias("doc_id"), "start", "end", "source", (F.col("start") + F.col("shift")).alias("source_start"))
 
 
 def cut_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     """docs with n_words, n_removed, kept_sha256 and kept_text (the kept words joined by one space); columns of these names
-    are replaced. doc_id is the key: rows of one doc_id are cut alike. A null text is empty."""
-    new = ("n_words", "n_removed", "kept_sha256", "kept_text", "paths")
+    are replaced, all others are kept. doc_id is the key: rows of one doc_id are cut alike. A null doc_id is cut nowhere, a null text is
+    empty. Repeated rows come out as often as they came in."""
+    new = ("n_words", "n_removed", "kept_sha256", "kept_text")
     docs = docs.select(*[c for c in docs.columns if c not in new])
-    paths = repeated_paths(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("paths"))
+    (held,) = fresh([*docs.columns, *new], "spans")
+    spans = repeated_spans(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias(held))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +256,13 @@ def cut_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
                 raw = words.texts.bytes.tobytes()
                 n, kept = words.counts, []
                 removed = np.zeros(len(part), np.int64)
-                for i, ranges in enumerate(part.column("paths").to_pylist()):
+                for i, ranges in enumerate(part.column(held).to_pylist()):
                     gone = np.zeros(int(n[i]), bool)
                     for x in ranges or ():
                         gone[x["start"] : x["end"]] = True
                     removed[i] = gone.sum()
                     at = words.offsets[i] + np.flatnonzero(~gone)
                     kept.append(b" ".join([raw[s:e] for s, e in zip(words.starts[at].tolist(), words.ends[at].tolist())]))
-                yield pa.record_batch([*part.drop_columns(["paths"]).columns, pa.array(n.astype(np.int64)), pa.array(removed), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode() for x in kept])], names=schema.names)
+                yield pa.record_batch([*part.drop_columns([held]).columns, pa.array(n.astype(np.int64)), pa.array(removed), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode() for x in kept])], names=schema.names)
 
-    return docs.join(paths, "doc_id", "left").select(*docs.columns, "paths").mapInArrow(run, schema)
+    return docs.join(spans, "doc_id", "left").select(*docs.columns, held).mapInArrow(run, schema)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .forest import column, fit
+from .frames import fresh
 
 _KEY = r"(?i:key|token|secret|passw(?:or)?d|pass(?:phrase)?|pwd|credential|auth|bearer)(?i:s?)(?:[_-][A-Za-z0-9_-]{0,20}|[A-Z0-9][A-Za-z0-9]{0,20})?[\"'\])]{0,2}"
 _LEAD = _KEY + r"[ \t]{0,3}(?::=|=>|={1,3}|:)[ \t]{0,3}"
@@ -38,8 +39,8 @@ _MARKED = "|".join((
 ))
 # a marked value stands behind one of few signs or white space and is not white space itself: that spares most places the rest
 CANDIDATE = rf"(?<=[=:>\"'`/ \t])(?:{_MARKED})|(?<![A-Za-z0-9_+/.@-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/.-]{{16,}}={{0,2}}(?![A-Za-z0-9_+/@-])"
-#: Words of the dictionary feature and of the neighbourhood, fixed values.
-WORDS = "mail example server config report version release index page image data file test user home local model system build static assets public service account order invoice number station window table chapter section market energy general".split()
+#: Words of the dictionary feature and of made-up values, fixed values.
+WORDS = "account action address admin agent alert answer archive area article asset author balance bank base basic batch blue board book branch bridge browser budget build button cache camera card case change chart check city class client cloud code color column config content control copy core country customer daily data default design desk device digital draft east editor email energy engine entry error event example export field figure file filter final fire folder forest format friend garden general global gold green group guest guide header health history home house image index info input item january key language large layer level library light list local login mail main manager market master member menu message model money month morning music name network news night number object office online order output owner page panel paper path payment people picture plan point power price print product project public query queue record region release report request road room root school search season section security server service session shop sign simple sound source star state static station status street summer system table team test text theme time title today trade travel tree update user value version video view water week west white window winter work world yellow".split()
 LIKELY = r"(?i)(api|access|secret|private|auth|encrypt|signing)?[ _-]?(key|token|secret|passw(or)?d|pwd|credential|bearer)s?\b"
 UNLIKELY = r"(?i)\b(sha\d*|md5|commit|checksum|digest|uuid|guid|etag|version|revision|build|trace|request|order|invoice|card|phone|isbn|doi|https?|path|file)\b"
 #: Values that stand for one: calls, references and empty values; and words of examples.
@@ -155,24 +156,51 @@ def labelled(rows: int = 3000, seed: int = 11) -> list[tuple[str, str, str, int]
     return [secret() if i % 2 else other() for i in range(rows)]
 
 
-def train(spark: SparkSession, rows: int = 3000):
-    """The forest, fitted on the candidates that a scan finds in `rows` labelled texts, with the features that a scan computes.
-    One that overlaps the text's secret is a secret; any other is none."""
-    made = labelled(rows)
+#: At most so many labelled findings are fitted, those with the least hash.
+TRAIN_ROWS = 20_000
+FINDINGS = "before string, candidate string, after string, is_secret int"
+
+
+def made_findings(spark: SparkSession, rows: int = 3000, seed: int = 11) -> DataFrame:
+    """labelled() as a table, for where there are no findings that people have labelled."""
     quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
-    values = ",".join(f"({i},{quoted(b + c + a)})" for i, (b, c, a, _) in enumerate(made))
-    pieces, found = _parts(F.col("text"))
-    frame = spark.sql(f"select * from values {values} as t(i, text)").select("i", pieces.alias("_pieces"), found.alias("_found"))
+    values = ",".join(f"({quoted(b)},{quoted(c)},{quoted(a)},{y})" for b, c, a, y in labelled(rows, seed))
+    return spark.sql(f"select * from values {values} as t(before, candidate, after, is_secret)")
+
+
+def examples(findings: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the candidates that a scan finds in the texts of findings(before, candidate, after, is_secret). One that
+    overlaps a text's secret is a secret; any other is none. Only the features of TRAIN_ROWS texts at most come to the driver."""
+    whole = F.concat("before", "candidate", "after")
+    rows = findings.where(whole.isNotNull() & F.col("is_secret").isNotNull()).orderBy(F.xxhash64("before", "candidate", "after"), "is_secret").limit(TRAIN_ROWS)
+    pieces, found = _parts(whole)
+    frame = rows.select("before", "candidate", "is_secret", pieces.alias("_pieces"), found.alias("_found"))
     x, y = [], []
-    for r in frame.select("i", F.transform("_pieces", F.length).alias("gaps"), F.transform("_found", _described).alias("found")).collect():
-        before, value, _, is_secret = made[r.i]
+    for r in frame.select("before", "candidate", "is_secret", F.transform("_pieces", F.length).alias("gaps"), F.transform("_found", _described()).alias("found")).collect():
+        before, value, is_secret = r.before, r.candidate, r.is_secret
         at = 0
         for gap, f in zip(r.gaps, r.found):
             start = at + gap
             at = start + len(f.candidate)
             x.append(f.x)
-            y.append(int(is_secret and start < len(before) + len(value) and at > len(before)))
-    return fit(np.array(x), np.array(y))
+            y.append(int(bool(is_secret) and start < len(before) + len(value) and at > len(before)))
+    return np.array(x).reshape(len(x), len(NAMES)), np.array(y)
+
+
+def train(findings: DataFrame):
+    """The forest, fitted on the candidates that a scan finds in labelled findings, with the features that a scan computes."""
+    return fit(*examples(findings))
+
+
+def held_out(findings: DataFrame, forest) -> dict[str, float]:
+    """Recall and precision of findings' secrets: a secret is found if a candidate in it is flagged; a flagged candidate elsewhere is wrong."""
+    text = F.concat("before", "candidate", "after")
+    rows = find(findings.select(text.alias("text"), "candidate", "is_secret"), forest)
+    hit = lambda f: f["is_secret"] & (F.col("candidate").contains(f["candidate"]) | f["candidate"].contains(F.col("candidate")))
+    flagged, right = F.size(F.filter("findings", lambda f: f["is_secret"])), F.size(F.filter("findings", hit))
+    true = F.col("is_secret") == 1
+    got = rows.agg(F.count_if(true).alias("secrets"), F.count_if(true & (right > 0)).alias("found"), F.sum(flagged).alias("flagged"), F.sum(F.when(true, right).otherwise(0)).alias("right")).first()
+    return {"recall": got.found / max(got.secrets, 1), "precision": got.right / max(got.flagged, 1)}
 
 
 def _parts(text: Column) -> tuple[Column, Column]:
@@ -180,20 +208,27 @@ def _parts(text: Column) -> tuple[Column, Column]:
     return F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
 
 
-def _described(c: Column, i: Column) -> Column:
+def _described(pieces: str = "_pieces", found: str = "_found"):
     """A candidate with its features. What stands before it is the piece before it, and the candidate before that if it is short."""
-    gap = F.get(F.col("_pieces"), i)
-    before = F.right(F.concat(F.coalesce(F.get(F.col("_pieces"), i - 1), F.lit("")), F.coalesce(F.get(F.col("_found"), i - 1), F.lit("")), gap), F.lit(NEAR))
-    after = F.left(F.concat(F.get(F.col("_pieces"), i + 1), F.coalesce(F.get(F.col("_found"), i + 1), F.lit(""))), F.lit(NEAR))
-    return F.struct(c.alias("candidate"), F.array(*features(c, before, after)).alias("x"))
+
+    def describe(c: Column, i: Column) -> Column:
+        gap = F.get(F.col(pieces), i)
+        before = F.right(F.concat(F.coalesce(F.get(F.col(pieces), i - 1), F.lit("")), F.coalesce(F.get(F.col(found), i - 1), F.lit("")), gap), F.lit(NEAR))
+        after = F.left(F.concat(F.get(F.col(pieces), i + 1), F.coalesce(F.get(F.col(found), i + 1), F.lit(""))), F.lit(NEAR))
+        return F.struct(c.alias("candidate"), F.array(*features(c, before, after)).alias("x"))
+
+    return describe
 
 
 def find(docs: DataFrame, forest=None) -> DataFrame:
     """docs(text, ...) with `findings`: of each candidate in order of place its text, score and whether it is a secret; and
-    `redacted`: the whole text with [SECRET] for each secret. Columns of these names are replaced. A null text has no findings
-    and stays null."""
-    forest = forest or train(docs.sparkSession)
+    `redacted`: the whole text with [SECRET] for each secret. Columns of these names are replaced, all others are kept.
+
+    A null text has no findings and stays null; an empty one stays empty. Repeated rows come out as often as they came in; equal
+    candidates in one text are findings of their own. Without a forest, one is fitted on made_findings()."""
+    forest = forest or train(made_findings(docs.sparkSession))
     docs = docs.select(*[c for c in docs.columns if c not in ("findings", "redacted")])
+    gaps, hits = fresh([*docs.columns, "findings", "redacted"], "pieces", "found")
     text = F.col("text")
     pieces, found = _parts(text)
 
@@ -202,10 +237,10 @@ def find(docs: DataFrame, forest=None) -> DataFrame:
         return F.struct(s["candidate"].alias("candidate"), p.alias("score"), (p >= SECRET_AT_LEAST).alias("is_secret"))
 
     has = text.rlike(CANDIDATE)
-    out = docs.withColumn("_pieces", F.when(has, pieces)).withColumn("_found", F.when(has, found))
-    out = out.withColumn("findings", F.coalesce(F.transform(F.transform("_found", _described), judged), F.array().cast("array<struct<candidate:string,score:double,is_secret:boolean>>")))
-    marks = F.zip_with(F.col("_pieces"), F.col("findings"), lambda a, f: F.concat(F.coalesce(a, F.lit("")), F.when(f["is_secret"], F.lit("[SECRET]")).otherwise(F.coalesce(f["candidate"], F.lit("")))))
-    return out.withColumn("redacted", F.when(F.exists("findings", lambda f: f["is_secret"]), F.array_join(marks, "")).otherwise(text)).drop("_pieces", "_found")
+    out = docs.withColumn(gaps, F.when(has, pieces)).withColumn(hits, F.when(has, found))
+    out = out.withColumn("findings", F.coalesce(F.transform(F.transform(hits, _described(gaps, hits)), judged), F.array().cast("array<struct<candidate:string,score:double,is_secret:boolean>>")))
+    marks = F.zip_with(F.col(gaps), F.col("findings"), lambda a, f: F.concat(F.coalesce(a, F.lit("")), F.when(f["is_secret"], F.lit("[SECRET]")).otherwise(F.coalesce(f["candidate"], F.lit("")))))
+    return out.withColumn("redacted", F.when(F.exists("findings", lambda f: f["is_secret"]), F.array_join(marks, "")).otherwise(text)).drop(gaps, hits)
 
 
 def findings(docs: DataFrame, forest=None) -> DataFrame:

@@ -184,6 +184,26 @@ def test_secrets_that_a_scan_can_meet(spark):
     assert sum(r.redacted != b + c + a for (b, c, a, y), r in zip(held, out) if not y) <= 6
 
 
+def test_secrets_held_out(spark):
+    forest = secrets.train(secrets.made_findings(spark))
+    got = secrets.held_out(secrets.made_findings(spark, 1500, seed=77), forest)
+    assert got["recall"] >= 0.95 and got["precision"] >= 0.95, got
+
+
+def test_secrets_with_clashing_columns_and_repeats(spark):
+    rows = [('token = "abc123def456"', "mine", "his", 1, 2)] * 2 + [("", "mine", "his", 1, 2), (None, "mine", "his", 1, 2)]
+    out = secrets.find(spark.createDataFrame(rows, "text string, pieces string, found string, findings int, redacted int")).collect()
+    assert [(r.redacted, r.pieces, r.found) for r in out] == [('token = "[SECRET]"', "mine", "his")] * 2 + [("", "mine", "his"), (None, "mine", "his")]
+
+
+def test_secrets_trained_on_given_findings(spark):
+    """Findings of another kind than the made ones: what they call a secret is one."""
+    rng = random.Random(3)
+    rows = [("id code ", "Z" + "".join(rng.choice("0123456789") for _ in range(19)), " end", 1) for _ in range(150)] + [("id code ", "".join(rng.choice("0123456789") for _ in range(20)), " end", 0) for _ in range(150)]
+    forest = secrets.train(spark.createDataFrame(rows + [(None, "a", "b", 1), ("a", "b", "c", None)], secrets.FINDINGS))
+    assert secrets.find(frame(spark, [(1, "id code Z0123456789012345678 end 01234567890123456789 x")]), forest).first().redacted == "id code [SECRET] end 01234567890123456789 x"
+
+
 def test_html():
     model = html.train()
     held = html.labelled_pages(200, seed=99)
