@@ -243,7 +243,8 @@ def encode_texts(vocabulary: Vocabulary, texts: list[str], memo: dict[str, bytes
 
 def tokenize(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     """docs(text, ...) with n_tokens, ids_sha256 and decoded_sha256, and with ids the array of ids and the decoded text; columns
-    of these names are replaced. A null or empty text has no tokens. The special tokens' strings are those tokens."""
+    of these names are replaced. A null or empty text has no tokens. The special tokens' strings are those tokens. Repeated rows come out
+    as often as they came in; other columns are kept; a long text is worked on whole."""
     new = ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
     vocabulary = Vocabulary(path)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)

@@ -1,18 +1,16 @@
 """Substring deduplication on a De Bruijn graph of words.
 
-A window of `width` words is an edge from the node of its first width - 1 words to the node of its last. An edge is known by two
-fingerprints of together 96 bits.
-
-1. Candidates. Windows' minimizers (the least hash among the 7-word runs of a window) that occur more than once, then the edges under
-   such minimizers that occur more than once, are found from packed lists of hashes, and set bits of filters; these only let
-   too much through. Of equal whole texts a task sends the edges of one copy, and one edge over the whole text for each.
-2. Edges. Grouped by fingerprint (combined before the shuffle), an edge that occurs under two doc_ids is repeated; the least
-   (doc_id, position) is its source coordinate.
-3. Compaction. Nodes are grouped to count the edges that enter and leave them; edges are joined with their start nodes, and an edge
-   goes on the path of the edge before it if the node between has one edge in and one out and both have successive source
-   coordinates. A path is thus an interval (source, start, end) of a document.
-4. Spans. Every occurrence is joined with its edge; successive occurrences whose source coordinates follow each other on one path
-   make up a long repeated span (doc_id, start, end, source, source_start). Spans with a source of smaller doc_id are cut.
+A window of `width` words is an edge from the node of its first width - 1 words to the node of its last. Edges are partitioned by
+minimizer (the least hash among the window's 7-word runs), so successive edges of a text travel as one row, a run, with the nodes at
+its ends. An edge is known by two 64-bit fingerprints, its minimizer's and its own; a node by one.
+
+1. Candidates. Minimizers that occur more than once are found from packed lists of hashes and set bits of a filter, which only lets too
+   much through. Of equal whole texts a task sends the edges of one copy, and one edge over the whole text for each.
+2. Within a partition, runs are sorted by document: the first occurrence of an edge is its source coordinate (least doc_id and place).
+   Edges that also stand under a smaller doc_id come out as pieces: runs of them with successive source coordinates.
+3. Compaction. Nodes are grouped to tell which have one edge in and one out; pieces are joined with these nodes, and pieces that
+   follow each other over such a node, in the document and in the source alike, are compacted to one nonbranching path.
+4. Each path is a long repeated span (doc_id, start, end, source, source_start); spans are joined with their documents and cut.
 """
 
 from __future__ import annotations
@@ -22,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,7 +81,7 @@ class Windows:
         if minimizers is not None:
             keep = passes(minimizers, _minimizers(self.hashes, self.at, width) << _SHIFT)
             self.at, self.rows = self.at[keep], self.rows[keep]
-        self.edges = grams(self.hashes, width)[self.at] if len(self.at) else np.empty(0, np.uint64)
+        self.edges = grams(self.hashes, width)[self.at] if minimizers is not None and len(self.at) else np.empty(0, np.uint64)
 
 
 def _packed(pick: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], buckets: int):
@@ -140,7 +139,7 @@ def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(docs: DataFrame, pick) -> np.ndarray:
-    """The filter of the hashes that occur more than once."""
+    """The filter of pick's hashes that occur more than once."""
     spark = docs.sparkSession
     buckets = min(1 << 16, 32 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     lists = docs.mapInArrow(_packed(pick, buckets), "bucket int, hashes binary").repartition("bucket").sortWithinPartitions("bucket")
@@ -160,83 +159,109 @@ def _pick_minimizers(width: int):
     return pick
 
 
-def _pick_edges(width: int, minimizers):
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        seen: dict[int, int] = {}
-        for ids, words in _parts(batches):
-            w = Windows(ids, words, width, minimizers.value, seen)
-            yield np.concatenate([w.edges, w.whole[w.long]]), np.concatenate([ids[w.rows], ids[w.long]])
+RUNS = "h long, doc long, pos int, span int, edges binary, u long, v long"
+PIECES = "doc_id long, start int, end int, source long, at int, u long, v long"
 
-    return pick
 
-
-EDGES = "e long, c int, doc long, pos int, span int, u int, v int"
-
-
-def _edges(width: int, minimizers, repeated):
-    """Occurrences of edges that may be repeated: fingerprints e and c, the coordinate (doc, pos), how many words (a whole text's edge has
-    all of them), and 32 bits of the nodes that it leaves and enters."""
+def _runs(width: int, minimizers):
+    """Successive edges from word pos on under minimizer h, of span words each, with the nodes that the first leaves and the last enters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for ids, words in _parts(batches):
             w = Windows(ids, words, width, minimizers.value, seen)
-            keep = passes(repeated.value, w.edges << _SHIFT)
-            at, rows, edges = w.at[keep], w.rows[keep], w.edges[keep]
-            whole = w.whole[w.long]
-            keep = passes(repeated.value, whole << _SHIFT)
-            long, whole = w.long[keep], whole[keep]
-            high = lambda x: (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            other = mix(w.hashes ^ np.uint64(0xD6E8FEB86659FD93))
-            check, nodes = grams(other, width), grams(w.hashes, width - 1)
-            zero = np.zeros(len(long), np.int32)
-            check_whole = _whole(words, other)[long]
-            columns = [
-                np.concatenate([edges, whole]).view(np.int64), np.concatenate([high(check[at]), high(check_whole)]) if len(at) else high(check_whole), np.concatenate([ids[rows], ids[long]]),
-                np.concatenate([(at - words.offsets[rows]).astype(np.int32), zero]), np.concatenate([np.full(len(at), width, np.int32), words.counts[long].astype(np.int32)]),
-                np.concatenate([high(nodes[at]), zero]) if len(at) else zero, np.concatenate([high(nodes[at + 1]), zero]) if len(at) else zero,
-            ]
-            yield pa.record_batch([pa.array(x) for x in columns], names=["e", "c", "doc", "pos", "span", "u", "v"])
+            whole, none = w.whole[w.long], pa.nulls(len(w.long), pa.int64())
+            yield pa.record_batch([pa.array(mix(whole).view(np.int64)), pa.array(ids[w.long]), pa.array(np.zeros(len(w.long), np.int32)), pa.array(words.counts[w.long].astype(np.int32)), pa.array([x.tobytes() for x in whole], pa.binary()), none, none], names=["h", "doc", "pos", "span", "edges", "u", "v"])
+            at, rows = w.at, w.rows
+            if not len(at):
+                continue
+            values, nodes = _minimizers(w.hashes, at, width), grams(w.hashes, width - 1)
+            first = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]) | (at[1:] != at[:-1] + 1) | (rows[1:] != rows[:-1])])
+            last = np.r_[first[1:], len(at)] - 1
+            packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.r_[first, len(at)] * 8).astype(np.int32).tobytes()), pa.py_buffer(w.edges.tobytes())])
+            columns = [values[first].view(np.int64), ids[rows[first]], (at[first] - words.offsets[rows[first]]).astype(np.int32), np.full(len(first), width, np.int32)]
+            yield pa.record_batch([*map(pa.array, columns), packed, pa.array(nodes[at[first]].view(np.int64)), pa.array(nodes[at[last] + 1].view(np.int64))], names=["h", "doc", "pos", "span", "edges", "u", "v"])
 
     return run
 
 
-def graph(occurrences: DataFrame, width: int) -> DataFrame:
-    """(e, c, source, at, path): repeated edges with their source coordinate and the path that they lie on, named by the place in the
-    source where it starts. An edge over a whole text is a path of its own."""
-    first = F.min(F.struct("doc", "pos", "span", "u", "v")).alias("x")
-    edges = occurrences.groupBy("e", "c").agg(first, F.max("doc").alias("hi")).where("x.doc < hi").select("e", "c", F.col("x.doc").alias("source"), F.col("x.pos").alias("at"), "x.span", "x.u", "x.v")
-    edges = stash(edges)
-    small = edges.where(f"span = {width}")
-    ends = small.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(small.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
-    through = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in")).where("out = 1 and in = 1").select(F.col("node").alias("u"), F.lit(True).alias("through"))
-    joined = small.join(through, "u", "left")
-    order = Window.partitionBy("source").orderBy("at")
-    starts = joined.withColumn("begins", F.when(F.col("through") & (F.lag("at").over(order) == F.col("at") - 1), 0).otherwise(1))
-    path = F.max(F.when(F.col("begins") == 1, F.col("at"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    small = starts.select("e", "c", "source", "at", path.alias("path"))
-    return small.unionByName(edges.where(f"span <> {width}").select("e", "c", "source", "at", F.lit(-1).alias("path")))
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs sorted by h, doc, pos in; out come the pieces of them that a smaller doc_id holds, with their source coordinates, and the nodes
+    of a piece's ends where it begins or ends with its run. Only the distinct edges of one minimizer are held."""
+    last_h, last_edges, last_docs, last_at = None, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        if not len(batch):
+            continue
+        h, doc, pos, span = (batch.column(i).to_numpy() for i in range(4))
+        lists = batch.column(4).to_pylist()
+        lengths = np.array([len(x) // 8 for x in lists])
+        edges = np.frombuffer(b"".join(lists), np.uint64)
+        row = np.repeat(np.arange(len(h)), lengths)
+        start = np.cumsum(lengths) - lengths
+        word = (pos[row] + np.arange(len(row)) - start[row]).astype(np.int64)
+        order = np.lexsort((edges, h[row]))  # stable: of equal edges the first has the least coordinate
+        same = np.r_[False, (edges[order][1:] == edges[order][:-1]) & (h[row[order]][1:] == h[row[order]][:-1])]
+        heads, group = order[~same], np.cumsum(~same) - 1
+        least, place = doc[row[heads]].copy(), word[heads].copy()
+        if last_h is not None and h[0] == last_h:
+            mine = np.flatnonzero(h[row[heads]] == last_h)
+            where = np.minimum(np.searchsorted(last_edges, edges[heads[mine]]), len(last_edges) - 1)
+            known = last_edges[where] == edges[heads[mine]]
+            least[mine[known]], place[mine[known]] = last_docs[where[known]], last_at[where[known]]
+        source, at = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
+        source[order], at[order] = least[group], place[group]
+        tail = np.flatnonzero(h[row[heads]] == h[-1])
+        now = [edges[heads[tail]], least[tail], place[tail]]
+        if last_h is not None and h[-1] == last_h:
+            now = [np.concatenate(x) for x in zip([last_edges, last_docs, last_at], now)]
+        by = np.argsort(now[0], kind="stable")
+        one = np.r_[True, now[0][by][1:] != now[0][by][:-1]]
+        last_h, (last_edges, last_docs, last_at) = h[-1], (x[by][one] for x in now)
+        again = np.flatnonzero(doc[row] > source)
+        if len(again):
+            r, x, s, t = row[again], word[again], source[again], at[again]
+            cut = np.r_[True, (r[1:] != r[:-1]) | (x[1:] != x[:-1] + 1) | (s[1:] != s[:-1]) | (t[1:] != t[:-1] + 1)]
+            final = np.r_[np.flatnonzero(cut)[1:] - 1, len(again) - 1]
+            f, e = again[cut], again[final]
+            u = _only(batch.column(5), row[f], f == start[row[f]])
+            v = _only(batch.column(6), row[e], e == start[row[e]] + lengths[row[e]] - 1)
+            yield pa.record_batch([pa.array(doc[row[f]]), pa.array(word[f].astype(np.int32)), pa.array((word[e] + span[row[e]]).astype(np.int32)), pa.array(source[f]), pa.array(at[f].astype(np.int32)), u, v], names=["doc_id", "start", "end", "source", "at", "u", "v"])
+
+
+def _only(column: pa.Array, rows: np.ndarray, where: np.ndarray) -> pa.Array:
+    return pc.if_else(pa.array(where), column.take(pa.array(rows)), pa.scalar(None, column.type))
+
+
+def pieces(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, start, end, source, at, u, v): see _pieces."""
+    minimizers = docs.sparkSession.sparkContext.broadcast(_repeated(docs, _pick_minimizers(width)))
+    runs = docs.mapInArrow(_runs(width, minimizers), RUNS)
+    return runs.repartition("h").sortWithinPartitions("h", "doc", "pos").mapInArrow(_pieces, PIECES)
+
+
+def compacted(found: DataFrame, width: int) -> DataFrame:
+    """Pieces to (doc_id, start, end, source, source_start): pieces that follow each other over a node with one edge in and one out, and whose
+    source coordinates follow each other, are one."""
+    leave = found.where("u is not null").select(F.col("u").alias("node"), F.struct("source", "at").alias("out"), F.lit(None).cast("struct<source:bigint,at:int>").alias("into"))
+    enter = found.where("v is not null").select(F.col("v").alias("node"), F.lit(None).cast("struct<source:bigint,at:int>").alias("out"), F.struct("source", (F.col("at") + F.col("end") - F.col("start") - (width - 1)).alias("at")).alias("into"))
+    # `into` is where an edge that follows in the source would start
+    nodes = leave.unionByName(enter).groupBy("node").agg(F.min("out").alias("out"), F.max("out").alias("out_"), F.min("into").alias("into"), F.max("into").alias("into_"))
+    through = nodes.where("out = out_ and into = into_ and out = into").select(F.col("node").alias("u"), F.lit(True).alias("through"))
+    joined = found.join(through, "u", "left").select("doc_id", "start", "end", "source", (F.col("at") - F.col("start")).alias("shift"), F.coalesce("through", F.lit(False)).alias("through"))
+    along = Window.partitionBy("doc_id", "source", "shift").orderBy("start", "end")
+    begins = F.when(F.col("through") & (F.lag("end").over(along) == F.col("start") + width - 1), 0).otherwise(1)
+    paths = joined.withColumn("begins", begins).withColumn("path", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return paths.groupBy("doc_id", "source", "shift", "path").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "start", "end", "source", (F.col("start") + F.col("shift")).alias("source_start"))
 
 
 def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
-    """(doc_id, start, end, source, source_start): runs of words of docs(doc_id, text) that consist of windows which also start under a
-    smaller doc_id, each along one path from its source coordinate on. Spans of one document may touch or overlap. Null doc_ids
+    """(doc_id, start, end, source, source_start): nonbranching paths of docs(doc_id, text) whose windows also start under a smaller doc_id,
+    with their source coordinate. Spans of one document may touch or overlap; together they cover all such windows. Null doc_ids
     and texts have none; rows of one doc_id are one document that has all their windows."""
     if width <= RUN:
         raise ValueError(f"width must be over {RUN}")
-    context = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    minimizers = context.broadcast(_repeated(docs, _pick_minimizers(width)))
-    repeated = context.broadcast(_repeated(docs, _pick_edges(width, minimizers)))
-    found = docs.mapInArrow(_edges(width, minimizers, repeated), EDGES)
-    edges = graph(found, width)
-    hits = found.select("e", "c", "doc", "pos", "span").join(edges, ["e", "c"]).where("source < doc")
-    # successive windows on one path with successive source coordinates have one difference of places
-    along = Window.partitionBy("doc", "source", "path", "shift").orderBy("pos")
-    hits = hits.select("doc", "pos", "span", "source", "path", (F.col("at") - F.col("pos")).alias("shift"))
-    run = F.when(F.col("pos") > F.lag("pos").over(along) + 1, 1).otherwise(0)
-    runs = hits.withColumn("new", run).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc", "source", "path", "shift", "run").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("span")).alias("end")).select(F.col("doc").alias("doc_id"), "start", "end", "source", (F.col("start") + F.col("shift")).alias("source_start"))
+    return compacted(stash(pieces(docs, width)), width)
 
 
 def cut_repeats(docs: DataFrame, width: int = 13) -> DataFrame:

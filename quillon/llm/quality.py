@@ -273,7 +273,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     """docs(doc_id, text, ...) with the base counts, base_failed, p_good, p_toxic and kept; columns of these names are replaced.
 
     A null or empty text has no words, fails the base rules and is not kept. Labels that are null are left out; a doc_id
-    labelled twice is good if all its labels say so and toxic if one does."""
+    labelled twice is good if all its labels say so and toxic if one does. Repeated rows come out as often as they came in, each
+    judged by its own text. Other columns are kept."""
     new = [*OUT, "base_failed", "p_good", "p_toxic", "kept"]
     context = docs.sparkSession.sparkContext
     model = context.broadcast(train(docs, labels, train_rows))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import fresh
+
 Tree = list[list[list[float]]]
 #: Rows of one shard are numbered in so many parts, so that no task sorts a whole shard.
 PARTS = 4096
@@ -43,7 +45,8 @@ def _deep(values: list) -> Column:
 
 
 def assign(docs: DataFrame, tree: Tree, id_column: str = "doc_id", name: str = "shard", salt: str = "s") -> DataFrame:
-    """docs with the column `name`: the number of its shard, counted through the tree. A null id is an id like any other."""
+    """docs with the column `name`: the number of its shard, counted through the tree; a column of that name is replaced, all others
+    are kept. A null id is an id like any other; rows of one id go to one shard. Children without weight get nothing."""
     racks, shards = max(map(len, tree)), max(len(k) for r in tree for k in r)
     regions = [F.lit(float(sum(map(sum, r)))) for r in tree]
     rack_weights = [[float(sum(r[i])) if i < len(r) else 0.0 for i in range(racks)] for r in tree]
@@ -56,19 +59,21 @@ def assign(docs: DataFrame, tree: Tree, id_column: str = "doc_id", name: str = "
                 numbers[-1][i][j], n = n, n + 1
     leaf_weights, numbers = ([k for r in x for k in r] for x in (leaf_weights, numbers))
     key = F.concat(F.lit(salt + ":"), F.coalesce(F.col(id_column).cast("string"), F.lit("")))
-    out = docs.withColumn("_region", _choose(key, F.array(*regions)))
-    region = F.col("_region")
-    out = out.withColumn("_flat", region * racks + _choose(F.concat_ws("/", key, region.cast("string")), F.get(_deep(rack_weights), region)))
-    flat = F.col("_flat")
-    out = out.withColumn("_leaf", _choose(F.concat_ws("/", key, F.lit("k"), flat.cast("string")), F.get(_deep(leaf_weights), flat)))
-    return out.withColumn(name, F.get(F.get(_deep(numbers), flat), F.col("_leaf")).cast("int")).drop("_region", "_flat", "_leaf")
+    at_region, at_flat, at_leaf = fresh([*docs.columns, name], "region", "flat", "leaf")
+    out = docs.withColumn(at_region, _choose(key, F.array(*regions)))
+    region = F.col(at_region)
+    out = out.withColumn(at_flat, region * racks + _choose(F.concat_ws("/", key, region.cast("string")), F.get(_deep(rack_weights), region)))
+    flat = F.col(at_flat)
+    out = out.withColumn(at_leaf, _choose(F.concat_ws("/", key, F.lit("k"), flat.cast("string")), F.get(_deep(leaf_weights), flat)))
+    return out.withColumn(name, F.get(F.get(_deep(numbers), flat), F.col(at_leaf)).cast("int")).drop(at_region, at_flat, at_leaf)
 
 
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of docs(doc_id, text, ...), under the law `key`.
 
     size is the text's UTF-8 bytes (null: none) plus 16; the checksum of a null text is that of an empty one. slot numbers a
-    shard's rows without gaps. grown_shard is the shard once there is one more, as a region of its own."""
+    shard's rows without gaps, equal rows in any order. grown_shard is the shard once there is one more, as a region of its own.
+    Extra columns are not looked at. What is broadcast has one row for each shard and part, 40 * 4096 at most, whatever the input."""
     tree = even_tree(shards)
     rows = docs.select(F.col("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     rows = assign(assign(rows, tree), [*tree, [[1.0]]], name="grown_shard")

@@ -164,7 +164,7 @@ NEW = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 NONE_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
-def _judged(tid: str) -> list:
+def _judged() -> list:
     zero = F.lit(0).cast("long")
     return [F.coalesce("n_words", zero).alias("n_words"), F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.lit(NONE_SHA256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated")]
 
@@ -175,25 +175,25 @@ def measure(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     A null or empty text has no words and is not contaminated; items without an id, a text or words never occur; an item of fewer
     than `window` words is one window of its own; an item repeated is one, an item_id with several texts occurs if one does.
     Repeated rows of docs come out as often as they came in. Columns of docs with the new names are replaced."""
-    (tid,) = fresh(docs.columns, "tid")
+    tid, held = fresh([*docs.columns, *NEW], "tid", "held")
     counts, found = hits(docs, items, window)
     facts = counts.join(found.drop("spans"), "tid", "left").withColumnRenamed("tid", "_t")
     kept = [c for c in docs.columns if c not in (*NEW, "text")]
     rows = docs.select(*kept, F.md5("text").alias(tid))
-    facts = facts.select(F.col("_t").alias(tid), F.struct("n_words", "n_hit", "n_items", "items_sha256").alias("facts"))
-    return rows.join(facts, tid, "left").select(*kept, "facts.*").select(*kept, *_judged(tid))
+    facts = facts.select(F.col("_t").alias(tid), F.struct("n_words", "n_hit", "n_items", "items_sha256").alias(held))
+    return rows.join(facts, tid, "left").select(*kept, f"{held}.*").select(*kept, *_judged())
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated and clean_text (the whole text less hit words' spans, or
     null if nothing is hit); columns of docs with these names are replaced. For edge cases see measure()."""
-    (tid,) = fresh([*docs.columns, *NEW], "tid")
+    tid, facts, words_hit = fresh([*docs.columns, *NEW, "clean_text"], "tid", "facts", "spans")
     _, found = hits(docs, items, window)
     kept = [c for c in docs.columns if c not in (*NEW, "clean_text")]
-    held = found.select(F.col("tid").alias(tid), F.struct("spans", "n_hit", "n_items", "items_sha256").alias("_facts"))
+    held = found.select(F.col("tid").alias(tid), F.struct("spans", "n_hit", "n_items", "items_sha256").alias(facts))
     if (found.agg(F.sum(F.size("spans") * 8 + 150)).first()[0] or 0) <= BROADCAST_BYTES:
         held = F.broadcast(held)
-    rows = docs.select(*kept, F.md5("text").alias(tid)).join(held, tid, "left").select(*kept, F.col("_facts.spans").alias("spans"), F.col("_facts.n_hit").alias("n_hit"), F.col("_facts.n_items").alias("n_items"), F.col("_facts.items_sha256").alias("items_sha256"))
+    rows = docs.select(*kept, F.md5("text").alias(tid)).join(held, tid, "left").select(*kept, F.col(f"{facts}.spans").alias(words_hit), *(f"{facts}.{c}" for c in ("n_hit", "n_items", "items_sha256")))
     n = len(kept)
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("clean_text", T.StringType())])
     at = kept.index("text")
