@@ -1,7 +1,14 @@
 """The corpus pipeline: quality rules, near duplicates, decontamination, secrets, tokens.
 
 Each stage takes (spark, docs, sf_dir) and gives the rows that the next one reads; all but the last keep the columns of
-documents, so each works on whatever its predecessors kept."""
+documents, so each works on whatever its predecessors kept. An empty table gives empty ones at every stage; extra columns of docs are
+kept, whatever their names; the words of a text are those of the operators.
+
+* quality rules: a null, empty or short text goes; a repeated row is judged as often as it stands there.
+* n-gram Jaccard join: one row for each doc_id that stays; rows without an id stay; a null or empty text is like nothing and stays.
+* decontamination: a null text stays null; of ties (several items at one place) each counts.
+* secret scans: a null text stays null, all rows stay.
+* BPE: a null text has no tokens; one row for each row."""
 
 from __future__ import annotations
 
