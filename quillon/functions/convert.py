@@ -8,9 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Every character that is white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(v: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
+    return F.btrim(v, F.lit(WHITE))
 
 
 def is_missing(v: Column) -> Column:

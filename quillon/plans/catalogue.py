@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import classify, convert, text
 from ..operators import records, reports
 from .fixtures import SQL, TEMPLATE, read, results
-from .registry import ORACLES, QUERIES, query, rounded
+from ..sources.tables import spread
+from .registry import ORACLES, QUERIES, query
 
 def _rows(spark, sf):
     return records.validated(results(spark, sf), TEMPLATE)
@@ -207,7 +208,7 @@ _DOCS = "(select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') as t f
 
 
 def _ascii(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("t"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("t"))
 
 
 def _replaced(t: str, pattern: str, change: str) -> str:
@@ -269,7 +270,7 @@ def mask_key(spark, sf):
 
 @query("select doc_id, case when greatest(" + ",".join(f"contains(lower(text), '{w}')" for w in text.NUMBER_WORDS) + ") then 'number_lock' when greatest(" + ",".join(f"contains(lower(text), '{w}')" for w in text.BUSINESS_WORDS) + ") then 'business' else 'minimal' end as mode from documents")
 def proofread_mode(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", text.proofread_mode(F.col("text")).alias("mode"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.proofread_mode(F.col("text")).alias("mode"))
 
 
 _FOLDED = "list_reduce(list_transform(w, lambda x: {'cuts': [0], 'n': length(x) + 1, 'i': 0}), lambda a, x: case when a.n + x.n > 8000 then {'cuts': list_append(a.cuts, a.i + 1), 'n': x.n, 'i': a.i + 1} else {'cuts': a.cuts, 'n': a.n + x.n, 'i': a.i + 1} end)"
@@ -278,7 +279,7 @@ _LONG = f"select doc_id, w, {_FOLDED}.cuts as cuts from (select doc_id, list_fil
 
 @query(f"select doc_id, n, length(part) as n_chars, md5(part) as h from (select doc_id, 0 as n, text as part from documents where length(text) <= 8000 union all select doc_id, k - 1, array_to_string(w[cuts[k] + 1 : coalesce(cuts[k + 1], len(w))], ' ') from ({_LONG}), unnest(range(1, len(cuts) + 1)) as t(k))")
 def chunk_text(spark, sf):
-    parts = read(spark, sf, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("n", "part"))
+    parts = spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("n", "part"))
     return parts.select("doc_id", "n", F.length("part").cast("long").alias("n_chars"), F.md5("part").alias("h"))
 
 

@@ -6,20 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.templates import Field
+from ..sources.tables import read, spread
 
 
 TEMPLATE = (Field("company_name", "text"), Field("revenue", "currency"), Field("order_date", "date"))
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: seq, source_file, status, processing_time, data map<string,string>, confidence_scores map<string,double>.
     Every 37th has no data, every 31st no scores; revenue has none in every 13th."""
     k = F.col("o_orderkey")
-    rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")).join(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     money = F.format_number("o_totalprice", 2)
     days = F.when(k % 5 == 0, F.date_format("o_orderdate", "dd/MM/yyyy"))
     for i, layout in enumerate(("dd-MM-yyyy", "yyyy-MM-dd", "dd/MM/yy", "dd.MM.yyyy"), 1):
