@@ -11,10 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return out.select(*columns) if columns else out
+    return spread(out.select(*columns)) if columns else out
 
 
 def shared(spark: SparkSession) -> str:
