@@ -247,7 +247,9 @@ def compacted(found: DataFrame, width: int) -> DataFrame:
     # `into` is where an edge that follows in the source would start
     nodes = leave.unionByName(enter).groupBy("node").agg(F.min("out").alias("out"), F.max("out").alias("out_"), F.min("into").alias("into"), F.max("into").alias("into_"))
     through = nodes.where("out = out_ and into = into_ and out = into").select(F.col("node").alias("u"), F.lit(True).alias("through"))
-    joined = found.join(through, "u", "left").select("doc_id", "start", "end", "source", (F.col("at") - F.col("start")).alias("shift"), F.coalesce("through", F.lit(False)).alias("through"))
+    told = lambda df: df.select("doc_id", "start", "end", "source", (F.col("at") - F.col("start")).alias("shift"), F.coalesce("through", F.lit(False)).alias("through"))
+    # pieces that begin inside a run have no node: they stay out of the join, where all of them would meet in one task
+    joined = told(found.where("u is not null").join(through, "u", "left")).unionByName(told(found.where("u is null").withColumn("through", F.lit(False))))
     along = Window.partitionBy("doc_id", "source", "shift").orderBy("start", "end")
     begins = F.when(F.col("through") & (F.lag("end").over(along) == F.col("start") + width - 1), 0).otherwise(1)
     paths = joined.withColumn("begins", begins).withColumn("path", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
