@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from quillon.llm import bpe, debruijn, licences, near, quality, queries, quotes, secrets, shards, winnow
@@ -106,7 +107,14 @@ def test_changed_weights_move_rows_within_their_subtree(spark):
 
 def test_quality_base_columns_by_brute_force(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    rows = df.mapInArrow(_base, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long").collect()
+    out = quality.OUT
+
+    def base(batches):
+        for batch in batches:
+            counts = quality.base_counts(quality.Texts(batch.column("text")))
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(counts[c]) for c in out)], names=["doc_id", *out])
+
+    rows = df.mapInArrow(base, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long").collect()
     texts = {r.doc_id: r.text or "" for r in df.collect()}
     assert len(rows) == len(texts)
     for r in rows:
@@ -118,14 +126,6 @@ def test_quality_base_columns_by_brute_force(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
 
 
-def _base(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        counts = quality.base_counts(quality.Texts(batch.column("text")))
-        yield pa.record_batch([batch.column("doc_id"), *(pa.array(counts[c]) for c in quality.OUT)], names=["doc_id", *quality.OUT])
-
-
 def test_quality_base_rule(spark):
     rows = [(1, " ".join(f"w{i}" for i in range(49))), (2, " ".join(f"w{i}" for i in range(50))), (3, "a b c " * 30), (4, " ".join(f"w{i}" for i in range(60)) + " a b c" * 20), (5, " ".join(f"w{i}" for i in range(59)) + " a b c" * 20)]
     out = quality.apply_rules(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
