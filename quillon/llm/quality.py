@@ -26,6 +26,8 @@ CHAR_SCALE = 20.0
 #: L1 penalty of a weight, times the square root of the rows.
 PENALTY = 0.06
 TRAIN_ROWS = 5000
+#: Bytes of text whose features are held at once: a word gives some ten numbers of eight bytes, sorted together.
+SLICE = 1 << 18
 GOOD_AT_LEAST, TOXIC_BELOW = 0.5, 0.5
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -103,7 +105,7 @@ def char_features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             texts = Texts(part.column("text"), lower=True)
             (w, r), (c, s) = word_features(texts), char_features(texts)
             words = np.split(w.astype(np.uint32), np.searchsorted(r, np.arange(1, len(part))))
@@ -284,7 +286,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 counts = base_counts(Texts(part.column("text")))
                 p = model.value.probabilities(Texts(part.column("text"), lower=True))
                 failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
