@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, debruijn, html, licences, near, quality, quotes, secrets, shards, winnow
+from . import bpe, debruijn, html, licences, lloyd, near, phrases, quality, quotes, secrets, shards, tokens, winnow
 from .frames import table
 
 
-def vocabulary_path() -> str:
-    """The public vocabulary file that op6 is to match."""
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """The public vocabulary file that op6 (or, of another name, op13) is to match."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return winnow.measure(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scans, op3_sharding, op4_html_extraction, op5_quality_rules, op6_bpe, op7_chat_formatting, op8_license_scans, op9_substring_dedup, op10_benchmark_decontamination)}
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding").withColumnRenamed("embedding", "vec"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path("word_bpe_49k.json")).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scans, op3_sharding, op4_html_extraction, op5_quality_rules, op6_bpe, op7_chat_formatting, op8_license_scans, op9_substring_dedup, op10_benchmark_decontamination, op11_phrase_collocations, op12_centroid_clustering, op13_token_counts)}
 
 _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -98,4 +110,34 @@ cut as (select doc_id, count(*) as n from covered group by 1)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from d left join cut using (doc_id) left join left_over using (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op9_substring_dedup": _OP9, "op10_benchmark_decontamination": _OP10}
+_OP11 = f"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, row_number() over () as id, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from p),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from w group by 1),
+g as (select lang, m, array_to_string(w[q : q + m - 1], ' ') as g, w[q : q + m - 1] as words from (select lang, w, m, unnest(range(1, greatest(len(w) - m + 2, 1))) as q from w, unnest(range(1, 5)) as t(m))),
+f as (select lang, m, g, any_value(words) as words, count(*) as f from g group by 1, 2, 3 having count(*) >= 30),
+cuts as (select lang, m, g, f as a, k, array_to_string(words[1 : k], ' ') as x, array_to_string(words[k + 1 : m], ' ') as y from (select *, unnest(range(1, m)) as k from f where m > 1)),
+scored as (select c.lang, c.m, c.g, c.a, c.k, p.f as l, q.f as r, cast(2000000 * cast(c.a as hugeint) // (p.f + q.f) as bigint) as score
+           from cuts c join f p on p.lang = c.lang and p.g = c.x join f q on q.lang = c.lang and q.g = c.y),
+least_of as (select * from scored qualify row_number() over (partition by lang, g order by score, k) = 1),
+inside as (select lang, f, array_to_string(words[q : q + j - 1], ' ') as g from (select lang, m, f, words, j, unnest(range(1, m - j + 2)) as q from f, unnest(range(2, 4)) as t(j) where m > j)),
+longer as (select lang, g, max(f) as longer from inside group by 1, 2),
+kept as (select s.*, row_number() over (partition by s.lang order by score desc, a desc, s.g) as rank from least_of s left join longer o on o.lang = s.lang and o.g = s.g where o.longer is null or 100 * o.longer < 80 * s.a)
+select lang, rank, g as phrase, a, l, r, n, score from kept join totals using (lang) where rank <= 2000"""
+
+
+def _op12(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds one after the other; a centroid is a list."""
+    far = "list_sum(list_transform(range(1, 65), lambda i: (q[i] - c[i]) * (q[i] - c[i])))"
+    near = "select vec_id, q, place, d, cluster from (select vec_id, v.q, v.place, {far} as d, cluster from v, {c}) qualify row_number() over (partition by place order by d, cluster) = 1"
+    out = ["""v as materialized (select vec_id, row_number() over () as place, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as q from embeddings
+ where len(embedding) = 64 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))))""", f"c0 as materialized (select cast(row_number() over (order by sha256('3:' || vec_id), q) - 1 as int) as cluster, q as c from v order by sha256('3:' || vec_id), q limit {k})"]
+    for i in range(rounds):
+        out.append(f"n{i} as materialized ({near.format(far=far, c=f'c{i}')})")
+        out.append(f"m{i} as (select cluster, list(s order by i) as c from (select cluster, i, cast(floor(sum(q[i]) / count(*)) as bigint) as s from n{i}, range(1, 65) as t(i) group by 1, 2) group by 1)")
+        out.append(f"c{i + 1} as materialized (select cluster, coalesce(m.c, o.c) as c from c{i} o left join m{i} m using (cluster))")
+    last = f"n{rounds} as materialized ({near.format(far=far, c=f'c{rounds}')})"
+    return f"with {', '.join([*out, last])} select vec_id, cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by cluster) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256 from n{rounds} join c{rounds} using (cluster)"
+
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op9_substring_dedup": _OP9, "op10_benchmark_decontamination": _OP10, "op11_phrase_collocations": _OP11, "op12_centroid_clustering": _op12()}
