@@ -4,8 +4,8 @@ progress: batch_id, seq, file_path, phase, start_time, end_time, processing_time
 batches: batch_id, total_files, current_phase, current_progress (0 to 1), elapsed (seconds)
 jobs: job_id, batch_id, seq, priority, status, created_at, started_at, completed_at
 attempts: seq, operation_name, attempt_number; samples: host, seq, memory_percent, cpu_percent, disk_free_mb, threads
-`seq` is the order of arrival. Only a batch's, operation's or host's own rows meet in a window, cut to the last ones where that is
-what is asked for."""
+`seq` is the order of arrival, each number once in a batch or host. Running values and sliding frames are scanned in parts (see order.py):
+no window holds a whole batch or host."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify
+from ..sources.scratch import fresh
+from . import order
 from .order import last
 
 #: Phases in the order of their names, with their share of a file's work.
@@ -51,19 +53,17 @@ def eta(batches: DataFrame, progress: DataFrame) -> DataFrame:
 
 def running(progress: DataFrame) -> DataFrame:
     """progress with n (records so far), done (distinct successful files so far) and throughput (done files a minute since the batch's
-    first start; the first six seconds count as six)."""
-    order = Window.partitionBy("batch_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.min(F.when(F.col("success"), F.col("seq"))).over(Window.partitionBy("batch_id", "file_path"))
-    rows = progress.withColumn("first_done", first)
-    rows = rows.withColumns({"n": F.count("*").over(order), "done": F.sum(F.when(F.col("seq") == F.col("first_done"), 1).otherwise(0)).over(order), "since": F.min("start_time").over(order)})
-    return rows.withColumn("throughput", F.col("done") / F.greatest((F.col("end_time") - F.col("since")) / 60, F.lit(0.1))).drop("first_done", "since")
+    first start; the first six seconds count as six). A file counts at its first successful record; a long batch is scanned in parts."""
+    firsts = progress.where("success").groupBy("batch_id", "file_path").agg(F.min("seq").alias("seq")).select("batch_id", "seq", F.lit(1).alias("done"))
+    rows = order.scanned(progress.drop("done").join(firsts, ["batch_id", "seq"], "left"), "batch_id", "seq", {"n": ("count", F.lit(1)), "done": ("sum", F.coalesce("done", F.lit(0))), "since": ("min", F.col("start_time"))})
+    return rows.withColumn("throughput", F.col("done") / F.greatest((F.col("end_time") - F.col("since")) / 60, F.lit(0.1))).drop("since")
 
 
 def basic_eta(progress: DataFrame, batches: DataFrame) -> DataFrame:
     """(batch_id, seq, eta): at each record, the time so far for each record, times the files that are left; 0 at the end."""
-    order = Window.partitionBy("batch_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = progress.select("batch_id", "seq", F.count("*").over(order).alias("n"), (F.col("end_time") - F.min("start_time").over(order)).alias("elapsed"))
-    return rows.join(batches.select("batch_id", "total_files"), "batch_id").select("batch_id", "seq", (F.col("elapsed") / F.col("n") * F.greatest(F.col("total_files") - F.col("n"), F.lit(0))).alias("eta"))
+    rows = order.scanned(progress.select("batch_id", "seq", "start_time", "end_time"), "batch_id", "seq", {"n": ("count", F.lit(1)), "since": ("min", F.col("start_time"))})
+    left = F.greatest(F.col("total_files") - F.col("n"), F.lit(0))
+    return rows.join(batches.select("batch_id", "total_files"), "batch_id").select("batch_id", "seq", ((F.col("end_time") - F.col("since")) / F.col("n") * left).alias("eta"))
 
 
 def milestones(progress: DataFrame, batches: DataFrame, marks: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
@@ -77,10 +77,9 @@ def milestones(progress: DataFrame, batches: DataFrame, marks: tuple[float, ...]
 def degradation(progress: DataFrame, threshold: float = 0.5, history: int = 5) -> DataFrame:
     """(batch_id, seq, baseline, throughput, alert): the baseline is the first throughput above 0 that is taken from the record `history` on;
     later records whose throughput is under `threshold` of it raise an alert."""
-    rows = running(progress).where(f"n >= {history}")
-    order = Window.partitionBy("batch_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.first(F.when(F.col("throughput") > 0, F.col("throughput")), ignorenulls=True).over(order)
-    return rows.withColumn("baseline", base).where("baseline is not null").select("batch_id", "seq", "baseline", "throughput", (F.col("throughput") < F.col("baseline") * threshold).alias("alert"))
+    rows = running(progress).where(f"n >= {history}").select("batch_id", "seq", "throughput")
+    base = rows.where("throughput > 0").groupBy("batch_id").agg(F.min_by("throughput", "seq").alias("baseline"), F.min("seq").alias("taken"))
+    return rows.join(base, "batch_id").where("seq > taken").select("batch_id", "seq", "baseline", "throughput", (F.col("throughput") < F.col("baseline") * threshold).alias("alert"))
 
 
 def performance(batches: DataFrame, progress: DataFrame) -> DataFrame:
@@ -172,19 +171,22 @@ def alerts(samples: DataFrame) -> DataFrame:
 def headroom(samples: DataFrame, recent: int = 5, most_threads: int = 8) -> DataFrame:
     """samples with the means of the last samples, whether there is room for more threads, and the recommendation: scale_down with 70 % of
     the threads when memory or CPU is critical, scale_up with 150 % when there is room; none in the first two samples."""
-    order = Window.partitionBy("host").orderBy("seq")
-    late = order.rowsBetween(1 - recent, 0)
-    rows = samples.withColumns({"n": F.row_number().over(order), "mean_memory": F.avg("memory_percent").over(late), "mean_cpu": F.avg("cpu_percent").over(late)})
-    room = (F.col("n") >= recent) & (F.col("mean_memory") < WARN * 0.8) & (F.col("mean_cpu") < WARN * 0.8) & (F.col("threads") < most_threads)
+    number, span, copy = fresh(samples.columns, "n", "span", "copy")
+    late = Window.partitionBy("host", span).orderBy(number).rowsBetween(1 - recent, 0)
+    rows = order.framed(samples, "host", "seq", recent - 1, number, span, copy).withColumns({"mean_memory": F.avg("memory_percent").over(late), "mean_cpu": F.avg("cpu_percent").over(late)}).where(~F.col(copy)).drop(span, copy)
+    room = (F.col(number) >= recent) & (F.col("mean_memory") < WARN * 0.8) & (F.col("mean_cpu") < WARN * 0.8) & (F.col("threads") < most_threads)
     tight = (F.col("memory_percent") > MEMORY_MOST) | (F.col("cpu_percent") > CPU_MOST)
     rows = rows.withColumn("has_room", room)
-    enough = F.col("n") >= 3
-    return rows.withColumns({"action": F.when(enough & tight, "scale_down").when(enough & F.col("has_room"), "scale_up"), "recommended_threads": F.when(enough & tight, F.greatest(F.lit(1), F.floor(F.col("threads") * 0.7))).when(enough & F.col("has_room"), F.floor(F.col("threads") * 1.5))}).drop("n")
+    enough = F.col(number) >= 3
+    return rows.withColumns({"action": F.when(enough & tight, "scale_down").when(enough & F.col("has_room"), "scale_up"), "recommended_threads": F.when(enough & tight, F.greatest(F.lit(1), F.floor(F.col("threads") * 0.7))).when(enough & F.col("has_room"), F.floor(F.col("threads") * 1.5))}).drop(number)
 
 
 def memory_trend(samples: DataFrame) -> DataFrame:
     """(host, seq, trend): the change of memory since the sample before; null for the first."""
-    return samples.select("host", "seq", (F.col("memory_percent") - F.lag("memory_percent").over(Window.partitionBy("host").orderBy("seq"))).alias("trend"))
+    number, span, copy = fresh(["host", "seq", "memory_percent"], "n", "span", "copy")
+    rows = order.framed(samples.select("host", "seq", "memory_percent"), "host", "seq", 1, number, span, copy)
+    change = F.col("memory_percent") - F.lag("memory_percent").over(Window.partitionBy("host", span).orderBy(number))
+    return rows.withColumn("trend", change).where(~F.col(copy)).select("host", "seq", "trend")
 
 
 def optimal_threads(memory: Column, cpu: Column, cpus: int) -> Column:

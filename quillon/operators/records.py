@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, convert, text
+from ..sources.scratch import fresh, written
+from . import order
 
 
 _CONVERT = {"text": lambda v, f: convert.stripped(v), "number": lambda v, f: convert.number(v, f.locale).cast("decimal(38,6)"), "currency": lambda v, f: convert.currency(v, f.locale), "date": lambda v, f: convert.date(v)}
@@ -38,11 +40,13 @@ def validated(results: DataFrame, template: Sequence) -> DataFrame:
     more = F.transform(F.array_except(F.map_keys(data), names), lambda k: F.concat(F.lit("Unexpected field '"), k, F.lit("' not in template schema")))
     whole = F.transform(F.array(fields), lambda fs: F.struct(fs.alias("fields"), F.concat(F.filter(F.transform(fs, lambda x: x["error"]), lambda e: e.isNotNull()), more).alias("errors")))
     kept = [c for c in results.columns if c not in ("fields", "errors")]
-    return results.select(*kept, F.explode(whole).alias("_v")).select(*kept, "_v.fields", "_v.errors")
+    (v,) = fresh([*results.columns, "fields", "errors"], "v")
+    return results.select(*kept, F.explode(whole).alias(v)).select(*kept, f"{v}.fields", f"{v}.errors")
 
 
 def _long(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_f", F.explode("fields")).select(*[c for c in rows.columns if c not in ("fields", "errors")], "_f.*")
+    (f,) = fresh(rows.columns, "f")
+    return rows.withColumn(f, F.explode("fields")).select(*[c for c in rows.columns if c not in ("fields", "errors")], f"{f}.*")
 
 
 def observations(results: DataFrame, template: Sequence) -> DataFrame:
@@ -87,12 +91,24 @@ def timed(results: DataFrame) -> DataFrame:
     return results.where("processing_time > 0")
 
 
-def processing_summary(rows: DataFrame) -> DataFrame:
-    """Of validated rows. failed_files are the distinct source files with errors, successful_files the rows that are completed and
-    without errors: they need not sum to the total. Times of zero are left out of the averages."""
+def processing_counts(rows: DataFrame) -> DataFrame:
+    """processing_summary() without the median."""
     ok = (F.size("errors") == 0) & (F.col("status") == "completed")
     t = F.when(F.col("processing_time") > 0, F.col("processing_time"))
-    return rows.agg(F.count("*").alias("total_files"), F.count_if(ok).alias("successful_files"), F.count_distinct(F.when(F.size("errors") > 0, F.col("source_file"))).alias("failed_files"), F.coalesce(100.0 * F.count_if(ok) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("success_rate"), F.coalesce(F.sum(t), F.lit(0.0)).alias("total_processing_time"), F.coalesce(F.avg(t), F.lit(0.0)).alias("average_processing_time"), F.coalesce(F.median(t), F.lit(0.0)).alias("median_processing_time"))
+    return rows.agg(F.count("*").alias("total_files"), F.count_if(ok).alias("successful_files"), F.count_distinct(F.when(F.size("errors") > 0, F.col("source_file"))).alias("failed_files"), F.coalesce(100.0 * F.count_if(ok) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("success_rate"), F.coalesce(F.sum(t), F.lit(0.0)).alias("total_processing_time"), F.coalesce(F.avg(t), F.lit(0.0)).alias("average_processing_time"))
+
+
+def processing_summary(rows: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """Of validated rows. failed_files are the distinct source files with errors, successful_files the rows that are completed and
+    without errors: they need not sum to the total. Times of zero are left out of the averages. `times` are the results that `rows` were
+    validated from, if at hand: the median then reads no field."""
+    return processing_counts(rows).join(F.broadcast(middle_time(rows if times is None else times)))
+
+
+def middle_time(rows: DataFrame) -> DataFrame:
+    """One row, median_processing_time of the times above zero; 0 without any."""
+    middle = order.medians(rows.where("processing_time > 0").select("processing_time"), [], "processing_time", "m")
+    return middle.agg(F.coalesce(F.max("m"), F.lit(0.0)).alias("median_processing_time"))
 
 
 def field_quality(valid: DataFrame) -> DataFrame:
@@ -104,8 +120,15 @@ def field_quality(valid: DataFrame) -> DataFrame:
 
 
 def numeric_stats(valid: DataFrame) -> DataFrame:
-    v = F.col("number_value").cast("double")
-    return valid.where("number_value is not null").groupBy("field_name").agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.avg(v).alias("mean_value"), F.median(v).alias("median_value"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std_deviation"))
+    numbers = valid.where("number_value is not null").select("field_name", F.col("number_value").cast("double").alias("v"))
+    # values are counted once, for the medians of all fields and for the rest
+    counted = written(numbers.groupBy("field_name", "v").agg(F.count("*").alias("k")))
+    n, mean = F.sum("k"), F.sum(F.col("v") * F.col("k")) / F.sum("k")
+    means = counted.groupBy("field_name").agg(F.min("v").alias("min_value"), F.max("v").alias("max_value"), n.alias("n"), mean.alias("mean_value"))
+    # one row for each field
+    far = counted.join(means.select("field_name", "mean_value"), "field_name").groupBy("field_name").agg(F.sum(F.col("k") * F.pow(F.col("v") - F.col("mean_value"), 2)).alias("far"))
+    out = means.join(far, "field_name").join(order.medians(counted, ["field_name"], "v", "median_value", weight="k"), "field_name")
+    return out.select("field_name", "min_value", "max_value", "mean_value", "median_value", F.coalesce(F.sqrt(F.col("far") / F.nullif(F.col("n") - 1, F.lit(0))), F.lit(0.0)).alias("std_deviation"))
 
 
 def text_stats(valid: DataFrame) -> DataFrame:
@@ -148,10 +171,14 @@ def recommendations(overall: DataFrame, summary: DataFrame, patterns: DataFrame)
     return one.select(F.posexplode(F.array_compact(F.array(*(F.when(c, F.lit(t)) for c, t in rules)))).alias("pos", "recommendation"))
 
 
-def error_table(rows: DataFrame) -> DataFrame:
-    """Each failing file with the number of its failing rows and the first three messages."""
-    bad = rows.where("size(errors) > 0").withColumn("message", joined_error(rows))
-    return bad.groupBy("source_file").agg(F.count("*").alias("error_count"), F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]), 1, 3), "; ").alias("error_details"))
+def error_table(rows: DataFrame, most: int = 3) -> DataFrame:
+    """Each failing file with the number of its failing rows and the first three messages, those of the least `seq`. A file's messages are
+    cut to three before they are shuffled, and only these are gathered."""
+    bad = rows.where("size(errors) > 0")
+    counts = bad.groupBy("source_file").agg(F.count("*").alias("error_count"))
+    kept = order.first(bad.select("source_file", "seq", joined_error(rows).alias("message")), most, ["seq", "message"], "source_file")
+    details = kept.groupBy("source_file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]), "; ").alias("error_details"))
+    return counts.join(details, "source_file")
 
 
 def wide(rows: DataFrame, template: Sequence) -> DataFrame:

@@ -63,7 +63,7 @@ def quality_report(rows: DataFrame, valid: DataFrame) -> DataFrame:
     """One row: grade, completeness, errors in all, files with errors, the five most frequent patterns, fields with issues and
     recommendations, the last three as arrays of at most five, the template's fields and five."""
     quality = records.field_quality(valid)
-    overall, summary, patterns = records.overall_quality(quality), records.processing_summary(rows), records.error_patterns(rows)
+    overall, summary, patterns = records.overall_quality(quality), records.processing_counts(rows), records.error_patterns(rows)
     errors = rows.where("size(errors) > 0").agg(F.count("*").alias("total_errors"), F.count_distinct("source_file").alias("files_with_errors"))
     listed = lambda df, name, *c: df.agg(F.array_sort(F.collect_list(F.struct(*c))).alias(name))
     common = listed(patterns, "patterns", (-F.col("n")).alias("less"), "pattern").select(F.array_join(F.transform("patterns", lambda x: F.concat(x["pattern"], F.lit("="), (-x["less"]).cast("string"))), "; ").alias("common_error_patterns"))

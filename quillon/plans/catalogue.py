@@ -99,7 +99,7 @@ def column_coercion(spark, sf):
 # aggregates
 @query("select count(*) as total_files, count(*) filter (where len(errors) = 0 and status = 'completed') as successful_files, count(distinct source_file) filter (where len(errors) > 0) as failed_files, 100.0 * count(*) filter (where len(errors) = 0 and status = 'completed') / count(*) as success_rate, sum(processing_time) as total_processing_time, avg(processing_time) filter (where processing_time > 0) as average_processing_time, median(processing_time) filter (where processing_time > 0) as median_processing_time from rows_", True)
 def processing_summary(spark, sf):
-    return records.processing_summary(_rows(spark, sf))
+    return records.processing_summary(_rows(spark, sf), results(spark, sf))
 
 
 @query("select field_name, total_count, null_count, unique_count from stats", True)
@@ -158,7 +158,7 @@ def quality_grade(spark, sf):
 @query(f"select cast(row_number() over (order by i) - 1 as int) as pos, recommendation from (select unnest([1,2,3,4,5]) as i, unnest([q < 80, m > 2, c > 2, comp < 85, succ < 90]) as ok, unnest(['Consider reviewing document quality and OCR settings', 'Review extraction prompts for better field detection', 'Verify field type configurations match document formats', 'Consider improving document preprocessing or extraction templates', 'Review failed files for common patterns and adjust processing parameters']) as recommendation from (select (select avg(q) from {_SCORED}) as q, (select coalesce(sum(n) filter (where pattern = 'missing_required_fields'), 0) from {_PATTERNS}) as m, (select coalesce(sum(n) filter (where pattern = 'type_conversion_errors'), 0) from {_PATTERNS}) as c, (select 100.0 * sum(total_count - null_count) / sum(total_count) from stats) as comp, (select 100.0 * count(*) filter (where len(errors) = 0 and status = 'completed') / count(*) from rows_) as succ)) where ok", True)
 def recommendations(spark, sf):
     rows = _rows(spark, sf)
-    return records.recommendations(records.overall_quality(records.field_quality(_valid(spark, sf))), records.processing_summary(rows), records.error_patterns(rows))
+    return records.recommendations(records.overall_quality(records.field_quality(_valid(spark, sf))), records.processing_counts(rows), records.error_patterns(rows))
 
 
 @query("select source_file, count(*) as error_count, 'Validation errors for ' || source_file || ': ' || array_to_string(any_value(errors), '; ') as error_details from rows_ where len(errors) > 0 group by 1", True)
@@ -175,7 +175,7 @@ _ERRORS = f"select 'Error Analysis' as section, unnest([1,2]) as pos, unnest(['T
 
 @query(_PROCESSING, True)
 def summary_processing(spark, sf):
-    return reports.processing_block(records.processing_summary(_rows(spark, sf)))
+    return reports.processing_block(records.processing_summary(_rows(spark, sf), results(spark, sf)))
 
 
 @query(_QUALITY, True)
@@ -200,7 +200,7 @@ def summary_fields(spark, sf):
 
 @query("select label, n from (select unnest(['Successful', 'Failed']) as label, unnest([count(*) filter (where len(errors) = 0 and status = 'completed'), count(distinct source_file) filter (where len(errors) > 0)]) as n from rows_) where n > 0", True)
 def pie_data(spark, sf):
-    return records.processing_summary(_rows(spark, sf)).selectExpr("stack(2, 'Successful', successful_files, 'Failed', failed_files) as (label, n)").where("n > 0")
+    return records.processing_counts(_rows(spark, sf)).selectExpr("stack(2, 'Successful', successful_files, 'Failed', failed_files) as (label, n)").where("n > 0")
 
 
 # text
