@@ -31,13 +31,27 @@ def _with_done(batches: DataFrame, progress: DataFrame) -> DataFrame:
     return batches.join(done_files(progress), "batch_id", "left").withColumn("done", F.coalesce("done", F.lit(0)))
 
 
-def batch_progress(batches: DataFrame, progress: DataFrame) -> DataFrame:
-    """(batch_id, progress): done files, and of the current file the phases before its own (by name) and its share of that one; at most 1."""
+def share_done() -> Column:
+    """Of the columns done, total_files, current_phase and current_progress: the done files, and of the current one the phases before its own
+    (by name) and its share of that one; at most 1."""
     part = F.lit(0.0)
     for name, weight in PHASES.items():
         part = part + F.when(F.col("current_phase") > name, weight).when(F.col("current_phase") == name, F.col("current_progress") * weight).otherwise(0.0)
     share = F.least(F.lit(1.0), F.col("done") / F.col("total_files") + part / F.col("total_files"))
-    return _with_done(batches, progress).select("batch_id", F.when(F.col("total_files") > 0, share).otherwise(0.0).alias("progress"))
+    return F.when(F.col("total_files") > 0, share).otherwise(0.0)
+
+
+def etas() -> dict[str, Column]:
+    """current_eta and batch_eta, of the columns mean (a file's time; may be null), done, total_files and current_progress."""
+    left = F.col("total_files") - F.col("done")
+    known = F.col("mean").isNotNull() & (left > 0)
+    current = F.col("mean") * (1.0 - F.col("current_progress"))
+    return {"current_eta": F.when(known, current).otherwise(0.0), "batch_eta": F.when(known, current + (left - 1) * F.col("mean")).otherwise(0.0)}
+
+
+def batch_progress(batches: DataFrame, progress: DataFrame) -> DataFrame:
+    """(batch_id, progress): see share_done."""
+    return _with_done(batches, progress).select("batch_id", share_done().alias("progress"))
 
 
 def eta(batches: DataFrame, progress: DataFrame) -> DataFrame:
@@ -45,10 +59,7 @@ def eta(batches: DataFrame, progress: DataFrame) -> DataFrame:
     recent = last(progress, 20, "seq", "batch_id").groupBy("batch_id", "file_path").agg(F.sum("processing_time").alias("t"))
     mean = recent.groupBy("batch_id").agg(F.avg("t").alias("mean"))
     rows = _with_done(batches, progress).join(mean, "batch_id", "left")
-    left = F.col("total_files") - F.col("done")
-    known = F.col("mean").isNotNull() & (left > 0)
-    current = F.col("mean") * (1.0 - F.col("current_progress"))
-    return rows.select("batch_id", F.when(known, current).otherwise(0.0).alias("current_eta"), F.when(known, current + (left - 1) * F.col("mean")).otherwise(0.0).alias("batch_eta"))
+    return rows.select("batch_id", *(c.alias(n) for n, c in etas().items()))
 
 
 def running(progress: DataFrame) -> DataFrame:

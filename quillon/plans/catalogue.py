@@ -313,4 +313,4 @@ def label_truncate(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", text.label(F.col("c_name")).alias("label"))
 
 
-from . import logs, sources, views  # noqa: E402, F401  they register theirs
+from . import live, logs, sources, views  # noqa: E402, F401  they register theirs

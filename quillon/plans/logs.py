@@ -23,9 +23,9 @@ def progress_by_phase(spark, sf):
 _ETA = "(select bd.*, mean from bd join (select batch_id, avg(t) as mean from (select batch_id, file_path, sum(processing_time) as t from (select *, row_number() over (partition by batch_id order by seq desc) as r from pr) where r <= 20 group by 1, 2) group by 1) using (batch_id))"
 
 
-@query(f"select batch_id, round(mean * (1 - current_progress), 6) as current_eta, round(mean * (1 - current_progress) + (total_files - done - 1) * mean, 6) as batch_eta from {_ETA}", LOG)
+@query(f"select batch_id, round(mean * (1 - current_progress), 9) as current_eta, round(mean * (1 - current_progress) + (total_files - done - 1) * mean, 9) as batch_eta from {_ETA}", LOG)
 def eta_last20(spark, sf):
-    return rounded(monitoring.eta(fixtures.batches(spark, sf), fixtures.progress(spark, sf)))
+    return rounded(monitoring.eta(fixtures.batches(spark, sf), fixtures.progress(spark, sf)), 9)  # six places leave halves, which the order of a sum decides
 
 
 @query("select batch_id, seq, round(so_far / n * greatest(total_files - n, 0), 6) as eta from ru join ba using (batch_id)", LOG)
