@@ -9,7 +9,7 @@
    an (n - 1)-gram is rare is rare itself: a filter of the frequent shorter ones, of bounded size, lets only the others be packed. It may let
    more through, which costs work and no results.
 3. Keys of frequent phrases are joined with the counts of their parts, scored, and left out under longer phrases that hold nearly all
-   of their places. The first of each language are taken by a rank that Spark limits before it shuffles.
+   of their places. The first of each language are taken from the first of parts of it.
 """
 
 from __future__ import annotations
@@ -301,6 +301,10 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: int =
     # words by id: at most four rows for each key
     places = kept.select("key", F.explode(F.sequence(F.lit(0), F.expr("length(key) div 4 - 1"))).alias("p")).select("key", "p", F.conv(F.hex(part("key", "4 * p + 1", "4")), 16, 10).cast("long").alias("id"))
     told = places.join(dictionary.select("id", "lang", "word"), "id").groupBy("key").agg(F.min("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("p", "word"))).alias("w")).select("key", "lang", F.concat_ws(" ", F.col("w.word")).alias("phrase"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = kept.join(told, "key").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    # a language is cut to its first in each of some parts, then to the first of these
+    salt = F.pmod(F.xxhash64("key"), F.lit(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parted = kept.join(told, "key").withColumn("salt", salt)
+    ahead = parted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    best = ahead.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
