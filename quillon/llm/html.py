@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +21,10 @@ from pyspark.sql import types as T
 
 from .kernels import slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-#: Elements whose inside is no text, and elements that never have an inside.
+#: Elements whose inside is no text; of these, those that may close themselves, and those whose inside goes on to the page's end if none closes
+#: them (of the others only the tag is skipped then). Elements that never have an inside.
+_FOREIGN, _TO_THE_END = ("svg", "math", "object"), ("script", "style")
 _RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "xmp", "select", "math", "object")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a line of text; all others end a block.
@@ -83,25 +85,103 @@ def _names(name: str, rest: str) -> list[str]:
     return out
 
 
-def pieces(page: str) -> list[Piece]:
+class _Ahead:
+    """The next place of a pattern from a position on. Answers are kept, so that asking at every position costs one pass."""
+
+    def __init__(self, page: str, pattern: str):
+        self.page, self.pattern, self.start, self.end = page, re.compile(pattern), 0, -1
+
+    def __call__(self, at: int) -> int:
+        """-1 if there is none."""
+        if self.end < 0 or not self.start <= at <= self.end:
+            m = self.pattern.search(self.page, at)
+            self.start, self.end = at, m.start() if m else len(self.page)
+        return self.end if self.end < len(self.page) else -1
+
+
+class Tags:
+    """The tags and comments of a page in order, in time that grows with the page alone: what was looked for in vain is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.special, self.stop = _Ahead(page, "[>\"']"), _Ahead(page, r"[\s/>]")
+        self.no_end: set[int] = set()
+        self.unclosed: set[str] = set()
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it is an end tag, lower-case name, the rest inside) of the next tag; a comment has no name."""
+        while (start := self.page.find("<", at)) >= 0:
+            for mark, end in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if self.page.startswith(mark, start):
+                    to = self.page.find(end, start + len(mark))
+                    return start, to + 3 if to >= 0 else len(self.page), False, "", ""
+            if start > self.last:
+                return None
+            sign = self.page[start + 1]
+            if sign in "!?":
+                return start, self.page.index(">", start) + 1, False, "", ""
+            first = start + 1 + (sign == "/")
+            letter = self.page[first : first + 1]
+            if letter.isascii() and letter.isalpha() and (stop := self.stop(first)) >= 0 and (to := self._end(stop)) >= 0:
+                return start, to + 1, sign == "/", self.page[first:stop].lower(), self.page[stop:to]
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """The > that ends a tag, past quoted values; -1 if there is none."""
+        met = []
+        while (to := self.special(at)) >= 0 and to not in self.no_end:
+            if self.page[to] == ">":
+                return to
+            met.append(to)
+            close = self.page.find(self.page[to], to + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.no_end.update(met)
+        return -1
+
+    def inside_end(self, name: str, at: int) -> int:
+        """Where the end tag of an element ends that is open at `at`; -1 if none follows."""
+        if name in self.unclosed:
+            return -1
+        m = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(self.page, at)
+        if not m:
+            self.unclosed.add(name)
+        return m.end() if m else -1
+
+
+def pieces(page: str, known=None) -> list[Piece]:
+    """The text between tags. With `known`, of the names around a piece only these are held, `a`, and * for any other."""
     out: list[Piece] = []
     open_: list[tuple[str, list[str]]] = []
-    around, tags, block, at = frozenset(), 0, 0, 0
+    opened: Counter[str] = Counter()
+    names: Counter[str] = Counter()
+    around, changed, tags, block, at = frozenset(), False, 0, 0, 0
+    found = Tags(page)
 
     def text(to: int) -> None:
-        nonlocal tags
-        words = len(page[at:to].split())
+        nonlocal tags, around, changed
+        if changed:
+            around, changed = frozenset(x for x, n in names.items() if n), False
         if to > at:
-            out.append(Piece(page[at:to], words, around, tags, block))
+            out.append(Piece(page[at:to], len(page[at:to].split()), around, tags, block))
             tags = 0
 
+    def close() -> None:
+        element, own = open_.pop()
+        opened[element] -= 1
+        for x in own:
+            names[x] -= 1
+            if not names[x]:
+                del names[x]
+
     while True:
-        m = _TOKEN.search(page, at)
-        text(m.start() if m else len(page))
-        if not m:
+        tag = found.next(at)
+        text(tag[0] if tag else len(page))
+        if not tag:
             return _with_blocks(out)
-        at = m.end()
-        name = (m["name"] or "").lower()
+        _, at, ends, name, rest = tag
         if not name:
             continue
         tags += 1
@@ -109,24 +189,29 @@ def pieces(page: str) -> list[Piece]:
             block += 1
         if name == "br":
             out.append(Piece(" ", 0, around, 0, block))
-        if m["end"]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    del open_[i:]
-                    break
-            else:
+        if ends:
+            if not opened[name]:
                 continue
+            while open_[-1][0] != name:
+                close()
+            close()
         elif name in _RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else len(page)
+            if name in _FOREIGN and rest.endswith("/"):
+                continue
+            to = found.inside_end(name, at)
+            at = to if to >= 0 else len(page) if name in _TO_THE_END else at
             continue
-        elif name in _VOID or m["rest"].endswith("/") or name in _INLINE and name != "a":
+        elif name in _VOID or rest.endswith("/") or name in _INLINE and name != "a":
             continue
         else:
             if name in _ALONE and open_ and open_[-1][0] == name:
-                open_.pop()
-            open_.append((name, _names(name, m["rest"])))
-        around = frozenset(x for _, names in open_ for x in names)
+                close()
+            own = _names(name, rest)
+            own = own if known is None else [x if x in known or x == "a" else "*" for x in own]
+            open_.append((name, own))
+            opened[name] += 1
+            names.update(own)
+        changed = True
 
 
 class Model:
@@ -148,27 +233,34 @@ def told(p: Piece, known) -> list[str]:
     return names + [x for x in p.about if x in known]
 
 
+def best_run(tags: list[float], words: list[float]) -> tuple[int, int, float]:
+    """The first and last piece of the contiguous run with the greatest sum, and that sum, in one scan; words[i] is what piece i scores, tags[i] what
+    the tags before it cost, which count inside a run only. The last is before the first where nothing scores above zero."""
+    best = total = 0.0
+    start, first, last = 0, 0, -1
+    for i, (cost, score) in enumerate(zip(tags, words)):
+        total += cost
+        if total <= 0:
+            total, start = 0.0, i
+        total += score
+        if total > best:
+            best, first, last = total, start, i
+    return first, last, best
+
+
 def extract(page: str | None, model: Model) -> str:
     """The main text: blocks joined by an empty line, white space within a block as one space. Null and empty pages have none."""
     if not page:
         return ""
-    found = pieces(page)
+    found = pieces(page, model.weights)
     known: dict[tuple, float] = {}
-    best = total = 0.0
-    start, first, last = 0, 0, -1
     scores = []
-    for i, p in enumerate(found):
+    for p in found:
         key = p.features, p.about
         if key not in known:
             known[key] = model.of(p)
-        score = known[key]
-        scores.append(score)
-        total += model.tag * p.tags
-        if total <= 0:
-            total, start = 0.0, i
-        total += max(score, -CLUTTER) * p.words
-        if total > best:
-            best, first, last = total, start, i
+        scores.append(known[key])
+    first, last, _ = best_run([model.tag * p.tags for p in found], [max(x, -CLUTTER) * p.words for x, p in zip(scores, found)])
     blocks: list[list[str]] = []
     at = None
     for i in range(first, last + 1):
