@@ -75,7 +75,7 @@ class Windows:
             if least > ids[i] or least == ids[i] and text != tids[i]:
                 seen[int(self.whole[i])] = int(ids[i]), int(tids[i])
                 take[i] = True
-        if len(seen) > 200_000:
+        if len(seen) > 80_000:
             seen.clear()
         at, rows = starts_of_grams(words.offsets, width)
         keep = take[rows]
@@ -299,8 +299,8 @@ def verified(spans: DataFrame, docs: DataFrame) -> DataFrame:
 
     def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column("doc_id").is_valid())
-            yield batch.filter(pa.array(passes(sources.value, _id_hash(batch.column("doc_id").to_numpy()))))
+            for part in slices(batch.filter(batch.column("doc_id").is_valid()), "text", 1 << 22):
+                yield part.filter(pa.array(passes(sources.value, _id_hash(part.column("doc_id").to_numpy()))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
