@@ -16,29 +16,49 @@ from pyspark.sql import functions as F
 from .forest import column, fit
 from .frames import fresh
 
-_KEY = r"(?i:key|token|secret|passw(?:or)?d|pass(?:phrase)?|pwd|credential|auth|bearer)(?i:s?)(?:[_-][A-Za-z0-9_-]{0,20}|[A-Z0-9][A-Za-z0-9]{0,20})?[\"'\])]{0,2}"
-_LEAD = _KEY + r"[ \t]{0,3}(?::=|=>|={1,3}|:)[ \t]{0,3}"
+_KEYWORD = r"(?i:key|token|secret|passw(?:or)?d|pass(?:phrase)?|pwd|credential|auth|bearer)(?i:s?)"
+_NAME = "[A-Za-z0-9_-]"
+_CLOSED = "[\"'\\])]{0,2}"
+
+
+def _key(sign: str) -> str:
+    """A whole name in which a key word ends, before another part of the name or at its end, and the sign behind it. Names of any length are read
+    once; most are told by what stands behind them."""
+    return rf"(?<!{_NAME})(?={_NAME}++{_CLOSED}{sign})(?={_NAME}*?{_KEYWORD}(?![a-z])){_NAME}++{_CLOSED}{sign}"
+
+
+#: Marks, characters that no text may hold, go behind what names a value: a key word and its sign, a key word before a quote, a URL's user.
+#: Should a text hold one of them, or the one that escapes them, a pair stands for it meanwhile.
+_VALUE, _QUOTED, _USER, _ESCAPE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+_PAIRS = {_ESCAPE: _ESCAPE + "a", _VALUE: _ESCAPE + "b", _QUOTED: _ESCAPE + "c", _USER: _ESCAPE + "d"}
+_MARKS = (
+    (_key(r"[ \t]*+(?::=|=>|={1,3}|:)") + r"[ \t]*+", _VALUE),
+    (_key(r"[ \t]++(?=[\"'`])"), _QUOTED),
+    (r"(?<![A-Za-z])(?i:bearer)s?[ \t]++(?![ \t\"'`=:])", _VALUE),
+    (r"://[^\s/:@]*+:(?=[^\s/?#\"<>]+@)", _USER),
+)
+_ANY = f"[{_VALUE}{_QUOTED}{_USER}]"
 #: Not where a URL with credentials or another key word's value lies inside: those are candidates of their own.
-_ALONE = r"(?!{0}{{0,200}}?(?:://[^\s/:@]{{0,64}}:[^\s/]{{1,64}}@|" + _KEY.replace("{", "{{").replace("}", "}}") + r"[ \t]{{0,3}}[:=][ \t]{{0,3}}[^\s:=]))(?![A-Za-z][A-Za-z0-9+.-]{{0,20}}://)"
+_ALONE = rf"(?!{{0}}{{{{0,200}}}}?(?:[{_USER}][^\s/]{{{{1,64}}}}@|[{_VALUE}]{{{{1,2}}}}[^\s:=]))(?![A-Za-z][A-Za-z0-9+.-]{{{{0,20}}}}://)"
 
 
 def _quoted(q: str) -> str:
     """A value up to the closing quote; not a phrase with a long run in it, which is a candidate of its own."""
     inside = f"[^{q}\\n]"
-    return rf"(?<={q})(?!{q})" + _ALONE.format(inside) + rf"(?!(?={inside}{{0,200}}\s){inside}{{0,200}}?[A-Za-z0-9_+/.-]{{16}})[^{q}\\\n]*(?:\\.[^{q}\\\n]*){{0,50}}(?={q})"
+    return rf"(?<={q})(?!{q})" + _ALONE.format(inside) + rf"(?!(?={inside}{{0,200}}\s){inside}{{0,200}}?[A-Za-z0-9_+/.-]{{16}})[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+(?={q})"
 
 
 #: A bare value ends at white space, at a quote that ends a word and where the next name begins; marks of a sentence behind it stay.
 _SIGN = r"(?![,;&|][\[{(]?[\"'`]?[\w.-]{1,40}[\"'`]?[ \t]?[:=]|[\"'`](?!\w)|(?<!\w)[\"'`])\S"
-_BARE = r"(?:(?<=[\s\"'`])|(?![=:>]))" + _ALONE.format(f"(?:{_SIGN})") + f"(?:{_SIGN})+" + r"(?<![.,;)\]}])"
+_BARE = rf"(?!{_ANY})(?:(?<=[\s\"'`]{_ANY}?)|(?![=:>]))" + _ALONE.format(f"(?:{_SIGN})") + f"(?:{_SIGN})+" + r"(?<![.,;)\]}])"
 _MARKED = "|".join((
-    rf"(?<=[\"'`])(?<=(?:{_LEAD}|{_KEY}[ \t]{{1,3}})[\"'`])(?:{'|'.join(map(_quoted, '\"\'`'))})",
-    rf"(?:(?<=[=:>][ \t]{{0,3}}[\"'`]?)(?<={_LEAD}[\"'`]?)|(?<=[Rr][Ss]?[ \t]{{1,3}})(?<=(?i:bearer)s?[ \t]{{1,3}})){_BARE}",
-    r"(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/?#\"<>]+(?=@)",
+    rf"(?<=[{_VALUE}{_QUOTED}][\"'`])(?:{'|'.join(map(_quoted, '\"\'`'))})",
+    rf"(?<=[{_VALUE}][\"'`]?){_BARE}",
+    rf"(?<=[{_USER}])[^\s/?#\"<>]+(?=@)",
     r"(?<=://)[^\s/?#:@\"<>]+(?=@)",
 ))
-# a marked value stands behind one of few signs or white space and is not white space itself: that spares most places the rest
-CANDIDATE = rf"(?<=[=:>\"'`/ \t])(?:{_MARKED})|(?<![A-Za-z0-9_+/.@-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/.-]{{16,}}={{0,2}}(?![A-Za-z0-9_+/@-])"
+# a marked value stands behind a mark, a quote or a slash: that spares most places the rest
+CANDIDATE = rf"(?<=[{_VALUE}{_USER}\"'`/])(?:{_MARKED})|(?<![A-Za-z0-9_+/.@-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/.-]{{16,}}={{0,2}}(?![A-Za-z0-9_+/@-])"
 #: Words of the dictionary feature and of made-up values, fixed values.
 WORDS = "account action address admin agent alert answer archive area article asset author balance bank base basic batch blue board book branch bridge browser budget build button cache camera card case change chart check city class client cloud code color column config content control copy core country customer daily data default design desk device digital draft east editor email energy engine entry error event example export field figure file filter final fire folder forest format friend garden general global gold green group guest guide header health history home house image index info input item january key language large layer level library light list local login mail main manager market master member menu message model money month morning music name network news night number object office online order output owner page panel paper path payment people picture plan point power price print product project public query queue record region release report request road room root school search season section security server service session shop sign simple sound source star state static station status street summer system table team test text theme time title today trade travel tree update user value version video view water week west white window winter work world yellow".split()
 LIKELY = r"(?i)(api|access|secret|private|auth|encrypt|signing)?[ _-]?(key|token|secret|passw(or)?d|pwd|credential|bearer)s?\b"
@@ -173,7 +193,7 @@ def examples(findings: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     overlaps a text's secret is a secret; any other is none. Only the features of TRAIN_ROWS texts at most come to the driver."""
     whole = F.concat("before", "candidate", "after")
     rows = findings.where(whole.isNotNull() & F.col("is_secret").isNotNull()).orderBy(F.xxhash64("before", "candidate", "after"), "is_secret").limit(TRAIN_ROWS)
-    pieces, found = _parts(whole)
+    pieces, found = _parts(marked(whole))
     frame = rows.select("before", "candidate", "is_secret", pieces.alias("_pieces"), found.alias("_found"))
     x, y = [], []
     for r in frame.select("before", "candidate", "is_secret", F.transform("_pieces", F.length).alias("gaps"), F.transform("_found", _described()).alias("found")).collect():
@@ -203,9 +223,26 @@ def held_out(findings: DataFrame, forest) -> dict[str, float]:
     return {"recall": got.found / max(got.secrets, 1), "precision": got.right / max(got.flagged, 1)}
 
 
+def marked(text: Column) -> Column:
+    """The text with marks behind what names a value."""
+    for char, pair in _PAIRS.items():
+        text = F.replace(text, F.lit(char), F.lit(pair))
+    for lead, mark in _MARKS:
+        text = F.regexp_replace(text, lead, "$0" + mark)
+    return text
+
+
+def _clean(text: Column) -> Column:
+    """A stretch of a marked text as it was."""
+    text = F.translate(text, _VALUE + _QUOTED + _USER, "")
+    for char, pair in reversed(_PAIRS.items()):
+        text = F.replace(text, F.lit(pair), F.lit(char))
+    return text
+
+
 def _parts(text: Column) -> tuple[Column, Column]:
-    """The candidates of a text in order of place, and the pieces before, between and behind them."""
-    return F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    """The candidates of a marked text in order of place, and the pieces before, between and behind them, all without marks."""
+    return F.transform(F.split(text, CANDIDATE, -1), _clean), F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), _clean)
 
 
 def _described(pieces: str = "_pieces", found: str = "_found"):
@@ -228,19 +265,20 @@ def find(docs: DataFrame, forest=None) -> DataFrame:
     candidates in one text are findings of their own. Without a forest, one is fitted on made_findings()."""
     forest = forest or train(made_findings(docs.sparkSession))
     docs = docs.select(*[c for c in docs.columns if c not in ("findings", "redacted")])
-    gaps, hits = fresh([*docs.columns, "findings", "redacted"], "pieces", "found")
+    gaps, hits, held = fresh([*docs.columns, "findings", "redacted"], "pieces", "found", "marked")
     text = F.col("text")
-    pieces, found = _parts(text)
+    pieces, found = _parts(F.col(held))
 
     def judged(s: Column) -> Column:
         p = F.round(column(forest, lambda f: F.get(s["x"], F.lit(f))), 6)
         return F.struct(s["candidate"].alias("candidate"), p.alias("score"), (p >= SECRET_AT_LEAST).alias("is_secret"))
 
-    has = text.rlike(CANDIDATE)
-    out = docs.withColumn(gaps, F.when(has, pieces)).withColumn(hits, F.when(has, found))
+    has = F.col(held).rlike(CANDIDATE)
+    # a one-element explode keeps the marks from being made anew wherever they are read
+    out = docs.withColumn(held, F.explode(F.array(marked(text)))).withColumn(gaps, F.when(has, pieces)).withColumn(hits, F.when(has, found))
     out = out.withColumn("findings", F.coalesce(F.transform(F.transform(hits, _described(gaps, hits)), judged), F.array().cast("array<struct<candidate:string,score:double,is_secret:boolean>>")))
     marks = F.zip_with(F.col(gaps), F.col("findings"), lambda a, f: F.concat(F.coalesce(a, F.lit("")), F.when(f["is_secret"], F.lit("[SECRET]")).otherwise(F.coalesce(f["candidate"], F.lit("")))))
-    return out.withColumn("redacted", F.when(F.exists("findings", lambda f: f["is_secret"]), F.array_join(marks, "")).otherwise(text)).drop(gaps, hits)
+    return out.withColumn("redacted", F.when(F.exists("findings", lambda f: f["is_secret"]), F.array_join(marks, "")).otherwise(text)).drop(gaps, hits, held)
 
 
 def findings(docs: DataFrame, forest=None) -> DataFrame:
