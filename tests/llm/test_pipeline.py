@@ -76,3 +76,16 @@ def test_run(spark, sf):
     want = [(i, cut.get(i, t).replace("Tr0ub4dor&3xyz", "[SECRET]")) for i, t in distinct(good)]
     out = corpus_pipeline.run(spark, at).collect()
     assert len(want) > 8 and sorted(((r.doc_id, r.decoded_sha256) for r in out), key=repr) == sorted(((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in want), key=repr)
+
+
+def test_columns_of_any_name_and_type(spark, sf):
+    """Columns named like an operator's own, and a map, come through every stage as they were."""
+    at, texts, _ = sf
+    names = ["none", "n_hit", "n_words", "kept", "p_good", "redacted", "findings", "clean_text", "contaminated", "own_column_0", "spans", "x", "tid"]
+    docs = spark.createDataFrame([(i, t, len(t or ""), {"a": 1}, [t], *names) for i, t in texts], SCHEMA + ", facts map<string,int>, list array<string>, " + ", ".join(f"{c} string" for c in names)).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, at)
+        assert docs.dtypes == before.dtypes, name
+        rows = docs.collect()
+        assert rows and all(r.facts == {"a": 1} and all(r[c] == c for c in names) for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, at).count() == len(rows)
