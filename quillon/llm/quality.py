@@ -131,20 +131,42 @@ class Model:
 class Block:
     """Some rows' features: for each entry its feature, the row it is of (from `first` on) and its value."""
 
-    def __init__(self, first: int, batch: pa.RecordBatch, common: np.ndarray):
+    def __init__(self, first: int, batch: pa.RecordBatch, place: np.ndarray):
+        """place: the number of each feature among those that are fitted, or -1."""
         self.first, self.n = first, len(batch)
         (w, r), (c, s), (k, _) = (_entries(batch, name, kind) for name, kind in KINDS)
         of, row = np.concatenate([w.astype(np.int32), c.astype(np.int32) + (1 << WORD_BITS)]), np.concatenate([r, s])
         shares = CHAR_SCALE * k / np.maximum(np.bincount(s, k, self.n), 1)[s]
         value = np.concatenate([np.ones(len(w), np.float32), shares.astype(np.float32)])
-        keep = common[of]
-        self.of, self.row, self.value = of[keep], row[keep].astype(np.int32), value[keep]
+        of = place[of]
+        # words and characters of a row together, and a second copy by feature: sums are then over stretches of entries
+        by_row = np.argsort(row, kind="stable")
+        by_row = by_row[of[by_row] >= 0]
+        self.of, self.value = of[by_row], value[by_row]
+        self.rows_of, self.row_starts = _stretches(row[by_row])
+        by_feature = by_row[np.argsort(self.of, kind="stable")]
+        self.row, self.value_of = row[by_feature].astype(np.int16), value[by_feature]
+        self.features, self.starts = _stretches(of[by_feature])
 
     def rows(self) -> slice:
         return slice(self.first, self.first + self.n)
 
     def times(self, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * v[self.of], self.n)
+        out = np.zeros(self.n)
+        if len(self.of):
+            out[self.rows_of] = np.add.reduceat(self.value * v[self.of], self.row_starts)
+        return out
+
+    def add(self, grad: np.ndarray, g: np.ndarray) -> None:
+        """Adds each feature's sum of values times its rows' g."""
+        if len(self.of):
+            grad[self.features] += np.add.reduceat(self.value_of * g[self.row], self.starts)
+
+
+def _stretches(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of sorted keys, and where each begins."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return keys[starts], starts
 
 
 KINDS = (("words", np.uint32), ("chars", np.uint16), ("counts", np.uint32))
@@ -157,14 +179,14 @@ def _entries(batch: pa.RecordBatch, name: str, kind: type) -> tuple[np.ndarray,
     return packed.bytes.view(kind), np.repeat(np.arange(len(batch)), np.diff(packed.offsets) // np.dtype(kind).itemsize)
 
 
-def _blocks(found: pa.Table, common: np.ndarray, which: np.ndarray, first: int) -> Iterator[Block]:
+def _blocks(found: pa.Table, place: np.ndarray, which: np.ndarray, first: int) -> Iterator[Block]:
     """The rows of found that `which` is true for, numbered from `first` on."""
     at = 0
     for batch in found.to_batches(max_chunksize=BLOCK_ROWS):
         part = batch.filter(pa.array(which[at : at + len(batch)]))
         at += len(batch)
         if len(part):
-            yield Block(first, part, common)
+            yield Block(first, part, place)
             first += len(part)
 
 
@@ -177,7 +199,7 @@ def _descend(blocks: list[Block], size: int, y: np.ndarray, weight: np.ndarray,
     # the loss curves at most by a quarter of the largest weighted row norm
     norm = np.ones(n)
     for b in blocks:
-        norm[b.rows()] += np.bincount(b.row, b.value * b.value, b.n)
+        norm[b.rows()] += np.bincount(b.row, b.value_of * b.value_of, b.n)
     step = 4.0 / float(np.quantile(norm, 0.9) * 0.5)
     last = np.inf
     for _ in range(rounds):
@@ -187,7 +209,7 @@ def _descend(blocks: list[Block], size: int, y: np.ndarray, weight: np.ndarray,
             p = 1 / (1 + np.exp(-np.clip(b.times(v) + v[-1], -60, 60)))
             loss -= float(share[at] @ np.where(y[at], np.log(p + 1e-12), np.log(1 - p + 1e-12)))
             g = share[at] * (p - y[at])
-            grad[:-1] += np.bincount(b.of, b.value * g[b.row], size)
+            b.add(grad[:-1], g)
             grad[-1] += g.sum()
         if loss > last + 1e-3:  # too long a step: shorter ones from the last weights
             step, v, t, last = step / 2, w, 1.0, np.inf
@@ -239,7 +261,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, roun
 
 
 def fit(found: pa.Table, rounds: int) -> Model:
-    """The two heads for featurised rows (doc_id, good, toxic, words, chars, counts)."""
+    """The two heads for featurised rows (doc_id, good, toxic, words, chars, counts). Features that stand in fewer than three rows have no
+    weight; the others are numbered anew, so that a round costs what the rows hold and not the space of all hashes."""
     words_n, chars_n = 1 << WORD_BITS, 1 << CHAR_BITS
     words, chars, bias = np.zeros((words_n, 2)), np.zeros((chars_n, 2)), np.array([4.0, -4.0])
     n = found.num_rows
@@ -252,7 +275,10 @@ def fit(found: pa.Table, rounds: int) -> Model:
     n_fit = int((~held).sum())
     order = np.argsort(held, kind="stable")  # the rows to fit first
     answers = {name: found.column(name).to_numpy(zero_copy_only=False).astype(bool)[order] for name in ("good", "toxic")}
-    fit_on, held_out = list(_blocks(found, seen >= 3, ~held, 0)), list(_blocks(found, seen >= 3, held, 0))
+    used = np.flatnonzero(seen >= 3)
+    place = np.full(size, -1, np.int32)
+    place[used] = np.arange(len(used))
+    fit_on, held_out = list(_blocks(found, place, ~held, 0)), list(_blocks(found, place, held, 0))
     del found  # the packed rows are not held while the weights are fitted
     for h, y in enumerate(answers.values()):
         own = y[:n_fit]
@@ -260,9 +286,11 @@ def fit(found: pa.Table, rounds: int) -> Model:
             continue
         rare = min(own.mean(), 1 - own.mean())
         weight = np.where(own == (own.mean() < 0.5), 0.5 / max(rare, 0.05), 0.5 / (1 - rare))
-        penalty = np.full(size, PENALTY / np.sqrt(max(n, 100)))
-        got, shift = _descend(fit_on, size, own, weight, penalty, rounds)
-        z = np.concatenate([np.zeros(0), *(b.times(got) for b in held_out)]) + shift
+        penalty = np.full(len(used), PENALTY / np.sqrt(max(n, 100)))
+        own_weights, shift = _descend(fit_on, len(used), own, weight, penalty, rounds)
+        z = np.concatenate([np.zeros(0), *(b.times(own_weights) for b in held_out)]) + shift
+        got = np.zeros(size)
+        got[used] = own_weights
         a, b = _platt(z, y[n_fit:])
         words[:, h], chars[:, h], bias[h] = a * got[:words_n], a * got[words_n:], a * shift + b
     return Model(words, chars, bias)
