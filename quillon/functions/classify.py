@@ -145,3 +145,17 @@ def scaling(queue: Column, active: Column, workers: Column, least: int = 1, most
 def dots(v: Column) -> Column:
     """How many of five dots a confidence fills."""
     return F.floor(v * 5)
+
+
+#: The type names that are shown, by the kind of a value's JSON.
+TYPE_NAMES = {"BIGINT": "int", "DOUBLE": "float", "FLOAT": "float", "BOOLEAN": "bool", "STRING": "str", "VOID": "NoneType"}
+
+
+def value_type(v: Column) -> Column:
+    """The run-time type of a value that came as JSON text: int, float, bool, str, NoneType, list or dict; a text that is no JSON is a str. The
+    value is read as a variant, and its own schema tells."""
+    kind = F.schema_of_variant(F.try_parse_json(v))
+    out = F.when(v.isNull(), F.lit(None)).when(kind.isNull(), "str").when(kind.startswith("DECIMAL"), F.when(v.rlike(r"^\s*-?\d+\s*$"), "int").otherwise("float")).when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "dict")
+    for name, shown in TYPE_NAMES.items():
+        out = out.when(kind == name, shown)
+    return out.otherwise("str")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from . import normal
 from .convert import bound
 
 #: What each mask looks for.
@@ -122,13 +120,8 @@ def row_prose(i: Column, columns: dict[str, Column]) -> Column:
     return F.concat(F.lit("Row "), i.cast("string"), F.lit(": "), F.concat_ws(", ", *said))
 
 
-#: Letters with marks and what they are without; đ stays.
-_MARKED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçăĩũơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncaiuouaaaaaaaaaaaaeeeeeeeeiioooooooooooouuuuuuuyyyy"
-
-
 def snake_case(v: Column) -> Column:
-    low = F.translate(F.lower(v), _MARKED, _PLAIN)
+    low = normal.without_marks(F.lower(v))
     joined = F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
     return F.when(joined.rlike(r"^[\p{L}\p{N}]"), joined).otherwise(F.concat(F.lit("field_"), joined))
 
@@ -209,12 +202,6 @@ def masked_by_each(v: Column) -> Column:
     return F.array(*(F.struct(F.lit(name).alias("name"), F.lit(what).alias("description"), v.alias("original"), mask(v).alias("masked")) for name, (mask, what) in MASKS.items()))
 
 
-@F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Unicode normal form C, which no built-in function gives; nulls stay."""
-    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
-
-
 def prompt(mode: Column, prompts: dict[str, str]) -> Column:
     """The prompt of a mode; the one called default for a mode that has none."""
     found = F.lit(prompts["default"])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, convert
+from ..sources.scratch import fresh
 from . import records
 
 
@@ -24,7 +25,10 @@ def by_field(results: DataFrame, template: Sequence) -> DataFrame:
     """One row for each result and template field: raw value, its score (null where there is none), whether it is missing (null or
     empty) or blank."""
     fields = F.array(*(F.struct(F.lit(i + 1).alias("pos"), F.lit(f.name).alias("field_name"), F.lit(f.kind).alias("kind"), F.lit(f.optional).alias("optional")) for i, f in enumerate(template)))
-    rows = results.withColumn("f", F.explode(fields)).select("*", "f.*").drop("f")
+    told = ("pos", "field_name", "kind", "optional")
+    (f,) = fresh([*results.columns, *told], "f")
+    kept = [c for c in results.columns if c not in told]
+    rows = results.withColumn(f, F.explode(fields)).select(*kept, *(F.col(f"{f}.{c}").alias(c) for c in told))
     rows = rows.withColumn("raw", F.try_element_at("data", F.col("field_name"))).withColumn("score", F.try_element_at("confidence_scores", F.col("field_name")))
     return rows.withColumn("missing", convert.is_missing(F.col("raw"))).withColumn("blank", convert.is_blank(F.col("raw")))
 
@@ -93,7 +97,7 @@ def field_distribution(results: DataFrame, template: Sequence) -> DataFrame:
     zero = F.lit(0.0)
     out = rows.groupBy("field_name", "pos", "kind", "optional").agg(
         F.avg(F.when(F.col("blank"), 0.0).otherwise(1.0)).alias("completeness"), F.coalesce(F.avg("score"), zero).alias("avg_confidence"), F.coalesce(F.min("score"), zero).alias("min_confidence"), F.coalesce(F.max("score"), zero).alias("max_confidence"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("blank"), F.typeof("raw")))), ",").alias("types"),
+        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("blank"), classify.value_type(F.col("raw"))))), ",").alias("types"),
     )
     return out.orderBy(F.desc("completeness"), "pos")
 

@@ -143,8 +143,12 @@ def queue_stats(jobs: DataFrame, recent: int = 50) -> DataFrame:
 
 
 def priority_order(jobs: DataFrame, *, priority: str, created: str, key: str) -> DataFrame:
-    """All jobs, the most urgent first, of equal ones the oldest."""
-    return jobs.orderBy(F.desc(priority), created, key)
+    """All jobs with `rank` from 1: the most urgent first, of equal ones the oldest. Priorities are text or numbers; ranks are given by ranges."""
+    turn, last_first = fresh([*jobs.columns, "rank"], "turn", "level")
+    # the few levels of priority are numbered, the greatest first, so that one ascending order holds for all three columns
+    levels = order.numbered(jobs.select(F.col(priority).alias(last_first)).distinct(), last_first, turn)
+    rows = jobs.join(levels, F.col(priority).eqNullSafe(F.col(last_first))).withColumn(turn, -F.col(turn))
+    return order.numbered(rows, [turn, created, key], "rank").withColumn("rank", F.col("rank") + 1).select(*[c for c in jobs.columns if c != "rank"], "rank").orderBy("rank")
 
 
 # retries
@@ -215,9 +219,15 @@ def resource_summary(samples: DataFrame, cpus: int = 8) -> DataFrame:
 
 
 def enhanced_statistics(batches: DataFrame, progress: DataFrame, jobs: DataFrame, attempts: DataFrame, samples: DataFrame) -> DataFrame:
-    """(section, host_or_batch, facts): every summary there is, as JSON text."""
-    as_row = lambda df, section, key: df.select(F.lit(section).alias("section"), (F.col(key).cast("string") if key else F.lit("")).alias("key"), F.to_json(F.struct("*")).alias("facts"))
-    return as_row(retry_stats(attempts), "retry", None).unionByName(as_row(queue_stats(jobs), "queue", None)).unionByName(as_row(resource_summary(samples), "resources", "host")).unionByName(as_row(performance(batches, progress), "processing", "batch_id"))
+    """(section, key, fact, value, said): every summary there is, a row for each fact: its value if it is a number or a truth (1, 0), else what it
+    says. The key is a host or batch, empty for the one row of retries and of the queue."""
+
+    def facts(df: DataFrame, section: str, key: str | None) -> DataFrame:
+        number = lambda c, t: F.col(c).cast("int").cast("double") if t == "boolean" else F.col(c).cast("double")
+        each = F.array(*(F.struct(F.lit(c).alias("fact"), (F.lit(None).cast("double") if t == "string" else number(c, t)).alias("value"), (F.col(c) if t == "string" else F.lit(None).cast("string")).alias("said")) for c, t in df.dtypes if c != key))
+        return df.select(F.lit(section).alias("section"), (F.col(key).cast("string") if key else F.lit("")).alias("key"), F.explode(each).alias("x")).select("section", "key", "x.*")
+
+    return facts(retry_stats(attempts), "retry", None).unionByName(facts(queue_stats(jobs), "queue", None)).unionByName(facts(resource_summary(samples), "resources", "host")).unionByName(facts(performance(batches, progress), "processing", "batch_id"))
 
 
 def error_rows(errors: DataFrame, most: int = 3) -> DataFrame:

@@ -200,9 +200,20 @@ def union_of_fields(results: DataFrame, template: Sequence) -> DataFrame:
     """(field_name) of all results and the template, sorted."""
     spark = results.sparkSession
     own = spark.createDataFrame([(f.name,) for f in template], "field_name string")
-    return results.select(F.explode(F.map_keys("data")).alias("field_name")).distinct().unionByName(own).distinct().orderBy("field_name")
+    return results.select(F.explode(F.map_keys("data")).alias("field_name")).where("field_name is not null").distinct().unionByName(own).distinct().orderBy("field_name")
 
 
-def grid(results: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Files by base name against these fields, a dash for what is missing."""
-    return results.select(text.base_name(F.col("source_file")).alias("source_file"), *(F.coalesce(F.try_element_at("data", F.lit(c)), F.lit("—")).alias(c) for c in names))
+def found_fields(results: DataFrame, template: Sequence = (), most: int = 1000) -> list[str]:
+    """The names of all fields that any result has, and the template's, sorted; over `most` of them are an error, since each is to be a
+    column. Only distinct names come to the driver."""
+    rows = union_of_fields(results, template).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} different fields")
+    return sorted(r.field_name for r in rows)
+
+
+def grid(results: DataFrame, names: Sequence[str] | None = None, template: Sequence = ()) -> DataFrame:
+    """Files by base name against these fields, by default all that are found, a dash for what is missing. A field called source_file would
+    hide the file's own column: it is left to data."""
+    names = found_fields(results, template) if names is None else names
+    return results.select(text.base_name(F.col("source_file")).alias("source_file"), *(F.coalesce(F.try_element_at("data", F.lit(c)), F.lit("—")).alias(c) for c in names if c != "source_file"))

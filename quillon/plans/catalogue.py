@@ -8,6 +8,7 @@ from ..functions import classify, convert, text
 from ..operators import records, reports
 from .fixtures import SQL, TEMPLATE, read, results
 from ..sources.tables import spread
+from .masking import _ENDS, _MAIL, _P, _PHONE, _replaced
 from .registry import ORACLES, QUERIES, query
 
 def _rows(spark, sf):
@@ -18,6 +19,11 @@ def _valid(spark, sf):
     return records.valid_observations(results(spark, sf), TEMPLATE)
 
 
+def _own(name: str) -> str:
+    """Another query's SQL without the results' CTEs, which the asking query has itself."""
+    return ORACLES[name].removeprefix(f"with {SQL} ")
+
+
 def _obs(spark, sf):
     return records.observations(results(spark, sf), TEMPLATE)
 
@@ -211,18 +217,6 @@ def _ascii(spark, sf):
     return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("t"))
 
 
-def _replaced(t: str, pattern: str, change: str) -> str:
-    """SQL that replaces each match m of t by the expression `change`."""
-    return f"array_to_string(list_transform(range(1, len(string_split_regex({t}, '{pattern}')) + 1), lambda i: string_split_regex({t}, '{pattern}')[i] || coalesce(list_transform(regexp_extract_all({t}, '{pattern}'), lambda m: {change})[i], '')), '')"
-
-
-_ENDS = "m[1:2] || repeat('*', length(m) - 4) || m[-2:]"
-_P = {"account": r"\b\d{8,20}\b", "id": r"\b(?:\d{9}|\d{12})\b", "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "phone": r"\b(?:\+84|84|0)(?:[1-9]\d{8,9})\b"}
-_PART = "case when length({0}) <= 2 then repeat('*', length({0})) else {0}[1:2] || repeat('*', length({0}) - 2) end"
-_MAIL = _PART.format("split_part(m, '@', 1)") + " || '@' || " + _PART.format("split_part(split_part(m, '@', 2), '.', 1)") + " || split_part(m, '@', 2)[length(split_part(split_part(m, '@', 2), '.', 1)) + 1:]"
-_PHONE = "m[1:case when m[1:3] = '+84' then 3 when m[1:2] = '84' then 2 else 1 end] || repeat('*', length(m) - 2 - case when m[1:3] = '+84' then 3 when m[1:2] = '84' then 2 else 1 end) || m[-2:]"
-
-
 @query(f"select doc_id, md5({_replaced('t', _P['account'], _ENDS)}) as h from {_DOCS}")
 def mask_account(spark, sf):
     return _ascii(spark, sf).select("doc_id", F.md5(text.mask_account(F.col("t"))).alias("h"))
@@ -313,4 +307,12 @@ def label_truncate(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", text.label(F.col("c_name")).alias("label"))
 
 
+@query(f"""select quality_grade as overall_quality_grade, completeness_rate, total_errors, files_with_errors, (select string_agg(pattern || '=' || n, '; ' order by n desc, pattern) from {_PATTERNS} where pattern is not null) as common_error_patterns,
+  coalesce((select string_agg(field_name || ': ' || issues, '; ' order by field_name) from (PROBLEMS)), '') as problematic_fields, (select string_agg(recommendation, '; ' order by pos) from (ADVICE)) as recommendations
+  from (OVERALL), (select count(*) as total_errors, count(distinct source_file) as files_with_errors from rows_ where len(errors) > 0)""".replace("PROBLEMS", _own("problematic_fields")).replace("ADVICE", _own("recommendations")).replace("OVERALL", _own("overall_quality")), True)
+def quality_report(spark, sf):
+    rows = _rows(spark, sf)
+    return reports.quality_report(rows, _valid(spark, sf))
+
+
 from . import live, logs, sources, views  # noqa: E402, F401  they register theirs

@@ -8,7 +8,7 @@ from ..functions import classify, text
 from ..operators import monitoring, order
 from . import fixtures
 from .fixtures import LOG, read
-from .registry import query, rounded
+from .registry import ORACLES, query, rounded
 
 _PART = "(case when current_phase > 'Extraction' then 0.4 when current_phase = 'Extraction' then 0.4 * current_progress else 0 end + case when current_phase > 'Ingestion' then 0.2 when current_phase = 'Ingestion' then 0.2 * current_progress else 0 end + case when current_phase > 'OCR' then 0.3 when current_phase = 'OCR' then 0.3 * current_progress else 0 end + case when current_phase = 'Validation' then 0.1 * current_progress else 0 end)"
 _PERFORMANCE = "(select batch_id, coalesce(done / greatest(elapsed / 60, 0.1), 0) as docs_per_min, fields / greatest(elapsed, 0.1) as fields_per_sec, mean_time, rate as success_rate, coalesce(conf, 0) as avg_confidence from bd join (select batch_id, sum(field_count) as fields, avg(processing_time) as mean_time, avg(case when success then 1.0 else 0.0 end) as rate from pr group by 1) using (batch_id) left join (select batch_id, avg(s) as conf from (select batch_id, unnest(confidence_scores) as s from pr) group by 1) using (batch_id))"
@@ -95,9 +95,9 @@ def queue_stats_last50(spark, sf):
     return rounded(monitoring.queue_stats(fixtures.jobs(spark, sf)))
 
 
-@query("select o_orderkey from orders order by o_orderpriority desc, o_orderdate, o_orderkey")
+@query("select o_orderkey, row_number() over (order by o_orderpriority desc, o_orderdate, o_orderkey) as rank from orders order by 2")
 def priority_order(spark, sf):
-    return monitoring.priority_order(read(spark, sf, "orders"), priority="o_orderpriority", created="o_orderdate", key="o_orderkey").select("o_orderkey")
+    return monitoring.priority_order(read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate"), priority="o_orderpriority", created="o_orderdate", key="o_orderkey").select("o_orderkey", "rank")
 
 
 @query("select event_id, case when q > w * 2 and w < 8 then 'scale_up' when q = 0 and a < w // 2 and w > 1 then 'scale_down' end as action from (select event_id, event_id % 5 * 4 as q, event_id % 4 as a, event_id % 9 as w from events)")
@@ -187,9 +187,18 @@ def resource_summary(spark, sf):
     return rounded(monitoring.resource_summary(fixtures.samples(spark, sf)))
 
 
-@query()
+def _facts(section: str, sql: str, key: str | None) -> str:
+    """The SQL of a summary as rows of facts; texts are told apart by name."""
+    texts = ("status",)
+    keyed = f"cast({key} as varchar)" if key else "''"
+    rows = f"select {keyed} as key, columns(lambda c: c not in ('{key}', 'status')) from ({sql})"
+    numbers = f"select '{section}' as section, key, fact, value, null as said from (unpivot (select key, cast(columns(lambda c: c <> 'key') as double) from ({rows})) on columns(lambda c: c <> 'key') into name fact value value)"
+    return numbers + (f" union all select '{section}', {keyed}, 'status', null, status from ({sql})" if section == "resources" else "")
+
+
+@query(" union all ".join(_facts(*x) for x in (("retry", ORACLES["retry_stats"], None), ("queue", ORACLES["queue_stats_last50"], None), ("resources", ORACLES["resource_summary"], "host"), ("processing", ORACLES["performance_metrics"], "batch_id"))))
 def enhanced_statistics(spark, sf):
-    return monitoring.enhanced_statistics(fixtures.batches(spark, sf), fixtures.progress(spark, sf), fixtures.jobs(spark, sf), fixtures.attempts(spark, sf), fixtures.samples(spark, sf))
+    return rounded(monitoring.enhanced_statistics(fixtures.batches(spark, sf), fixtures.progress(spark, sf), fixtures.jobs(spark, sf), fixtures.attempts(spark, sf), fixtures.samples(spark, sf)))
 
 
 @query("select doc_id, round(c, 6) as complexity, round(c * 60, 6) as duration from (select doc_id, case doc_id % 3 when 0 then 1.0 when 1 then 0.8 else 1.2 end * case when mb <= 1 then 1.0 when mb <= 5 then 1.2 when mb <= 10 then 1.5 when mb <= 50 then 2.0 else 3.0 end as c from (select doc_id, coalesce(n_chars / 1024.0, 5) as mb from documents))")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, text
 from ..operators import confidence, extraction, order, records, templates
+from ..operators.templates import Field
 from . import fixtures
 from .fixtures import ANSWERS, TEMPLATE, TEMPLATES, results
 from .registry import query, rounded
@@ -35,14 +36,14 @@ def merge_best_confidence(spark, sf):
     return extraction.merged(fixtures.answers(spark, sf))
 
 
-@query("select source_file, chunk, pos, confidence from an where pos < 2", ANSWERS)
+@query("select source_file, chunk, pos, confidence from an", ANSWERS)
 def default_confidence(spark, sf):
-    return extraction.flattened(fixtures.answers(spark, sf)).where("field_name <> 'note'").select("source_file", "chunk", "pos", "confidence")
+    return extraction.flattened(fixtures.answers(spark, sf)).select("source_file", "chunk", "pos", "confidence")
 
 
-@query("select source_file, field_name, case field_name when 'company_name' then 'text' when 'revenue' then 'currency' end as kind, case field_name when 'revenue' then replace(value, ',', '') else value end as v from an where chunk = 0", ANSWERS)
+@query("select source_file, field_name, case field_name when 'company_name' then 'text' when 'revenue' then 'currency' end as kind, case field_name when 'revenue' then replace(value, ',', '') else value end as v from an", ANSWERS)
 def extraction_types(spark, sf):
-    out = extraction.typed(extraction.flattened(fixtures.answers(spark, sf)).where("chunk = 0"), TEMPLATE)
+    out = extraction.typed(extraction.flattened(fixtures.answers(spark, sf)), TEMPLATE)
     # the text of a double is its shortest one; the SQL has two places
     shown = F.when(F.col("kind") == "currency", F.col("coerced").cast("decimal(20,2)").cast("string")).otherwise(F.col("coerced"))
     return out.select("source_file", "field_name", "kind", shown.alias("v"))
@@ -150,7 +151,7 @@ def best_worst_field(spark, sf):
     return rounded(confidence.best_and_worst(confidence.quality_by_field(results(spark, sf), TEMPLATE)))
 
 
-@query(f"select field_name, round(c, 6) as completeness, round(conf, 6) as avg_confidence, coalesce(lo, 0) as min_confidence, coalesce(hi, 0) as max_confidence, case when extracted > 0 then 'string' else '' end as types from {_QUALITY} order by c desc, pos", True)
+@query(f"select field_name, round(c, 6) as completeness, round(conf, 6) as avg_confidence, coalesce(lo, 0) as min_confidence, coalesce(hi, 0) as max_confidence, case when extracted > 0 then 'str' else '' end as types from {_QUALITY} order by c desc, pos", True)
 def field_distribution(spark, sf):
     return rounded(confidence.field_distribution(results(spark, sf), TEMPLATE).drop("pos", "kind", "optional"))
 
@@ -202,7 +203,8 @@ def time_histogram(spark, sf):
 
 @query("select source_file, coalesce(company_name, '—') as company_name, coalesce(note, '—') as note, coalesce(order_date, '—') as order_date, coalesce(revenue, '—') as revenue from fx", True)
 def result_grid(spark, sf):
-    return records.grid(results(spark, sf), ("company_name", "note", "order_date", "revenue"))
+    """No field is named: the columns are what the results hold."""
+    return records.grid(results(spark, sf))
 
 
 @query("select distinct field_name from (select field_name from obs union all select 'note' from fx where note is not null) order by 1", True)
@@ -250,3 +252,15 @@ def template_problems(spark, sf):
     rows = fixtures.templates(spark, sf).withColumn("template", F.concat("template", F.lit("/"), F.floor(F.col("pos") / 40).cast("string")))
     fields = F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "description"))), lambda f: F.struct(f["name"].alias("name"), f["description"].alias("description")))
     return templates.structural_problems(rows.groupBy("template").agg(fields.alias("fields")).withColumn("prompt_description", F.lit("")))
+
+
+_VALUES = {"kind": ("event_type", "event_type"), "count": ("cast(event_id as varchar)", "cast(event_id as string)"), "amount": ("case when event_id % 3 = 0 then cast(event_id as varchar) else cast(event_id as varchar) || '.5' end", "case when event_id % 3 = 0 then cast(event_id as string) else concat(event_id, '.5') end"), "flag": ("case when event_id % 2 = 0 then 'true' else '  ' end", "case when event_id % 2 = 0 then 'true' else '  ' end"), "items": ("case when event_id % 5 = 0 then '[' || event_id || ']' when event_id % 5 = 1 then '{\"a\": 1}' when event_id % 5 = 2 then 'null' when event_id % 5 = 3 then '\"text\"' else 'not [json' end", "case when event_id % 5 = 0 then concat('[', event_id, ']') when event_id % 5 = 1 then '{\"a\": 1}' when event_id % 5 = 2 then 'null' when event_id % 5 = 3 then '\"text\"' else 'not [json' end")}
+_TYPE = "case when not json_valid(v) then 'str' else case json_type(cast(v as json)) when 'UBIGINT' then 'int' when 'BIGINT' then 'int' when 'DOUBLE' then 'float' when 'BOOLEAN' then 'bool' when 'NULL' then 'NoneType' when 'ARRAY' then 'list' when 'OBJECT' then 'dict' else 'str' end end"
+
+
+@query("select field_name, string_agg(distinct t, ',' order by t) as types from (select field_name, " + _TYPE + " as t from (" + " union all ".join(f"select '{n}' as field_name, {v[0]} as v from events" for n, v in _VALUES.items()) + ") where trim(v) <> '') group by 1")
+def field_types(spark, sf):
+    """Values that come as JSON text, of several types in one field."""
+    data = F.create_map(*(x for n, v in _VALUES.items() for x in (F.lit(n), F.expr(v[1]))))
+    rows = fixtures.read(spark, sf, "events").select(data.alias("data"), F.create_map().cast("map<string,double>").alias("confidence_scores"))
+    return confidence.field_distribution(rows, tuple(Field(n) for n in _VALUES)).select("field_name", "types")

@@ -17,9 +17,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as text_functions
 from . import pdf, xls
+from .scratch import fresh
 
 FORMATS = ("pdf", "docx", "doc", "xlsx", "xls", "csv")
 SAMPLE_ROWS = 5
+#: The media type of each format.
+MIME_TYPES = {
+    "pdf": "application/pdf",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "doc": "application/msword",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "xls": "application/vnd.ms-excel",
+    "csv": "text/csv",
+}
 
 
 def table_prose(rows: list[list[str]], opening: str) -> str:
@@ -157,11 +167,18 @@ def existing(dropped: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def format_or_error(paths: DataFrame, files: DataFrame) -> DataFrame:
-    """paths(path) with format and error: the file must exist, have an extension, and that one must be supported."""
-    found = paths.join(files.select(F.col("path").alias("_p")).distinct(), F.col("path") == F.col("_p"), "left")
+    """paths(path) with format and error: the file must exist, have an extension, and that one must be supported; and with warning, where the
+    files' own media type (column `mime`, if `files` has one; null says nothing) is not the one of its extension."""
+    told = "mime" in files.columns
+    (p, m) = fresh([*paths.columns, "error", "format", "warning"], "p", "m")
+    own = files.groupBy(F.col("path").alias(p)).agg((F.max("mime") if told else F.lit(None).cast("string")).alias(m))
+    found = paths.join(own, F.col("path") == F.col(p), "left")
     e = extension(F.col("path"))
-    error = F.when(F.col("_p").isNull(), F.concat(F.lit("File not found: "), "path")).when(e == "", F.concat(F.lit("File has no extension: "), "path")).when(~e.isin(*FORMATS), F.concat(F.lit("Unsupported file format: ."), e, F.lit(". Supported formats: " + ", ".join("." + f for f in FORMATS))))
-    return found.withColumn("error", error).withColumn("format", F.when(F.col("error").isNull(), e)).drop("_p")
+    expected = F.try_element_at(F.create_map(*(x for kind, mime in MIME_TYPES.items() for x in (F.lit(kind), F.lit(mime)))), e)
+    warning = F.when(F.col(m) != expected, F.concat(F.lit("MIME type mismatch for "), "path", F.lit(": expected "), expected, F.lit(", got "), F.col(m)))
+    error = F.when(F.col(p).isNull(), F.concat(F.lit("File not found: "), "path")).when(e == "", F.concat(F.lit("File has no extension: "), "path")).when(~e.isin(*FORMATS), F.concat(F.lit("Unsupported file format: ."), e, F.lit(". Supported formats: " + ", ".join("." + f for f in FORMATS))))
+    found = found.withColumn("error", error).withColumn("format", F.when(F.col("error").isNull(), e)).withColumn("warning", F.when(F.col("error").isNull(), warning))
+    return found.drop(p, m)
 
 
 def page_route(chars: Column, images: Column) -> Column:

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import classify, convert, text
+from quillon.functions import classify, convert, normal, text
 from quillon.operators import confidence, extraction, monitoring, order, records, templates
 from quillon.plans.catalogue import ORACLES, QUERIES
 from quillon.plans.fixtures import TEMPLATE
