@@ -51,16 +51,17 @@ def csv_files(spark: SparkSession, path: str) -> DataFrame:
     return found.select("path", encoding.alias("encoding"), F.when(F.col("utf8"), F.decode("first", "UTF-8")).otherwise(F.decode("first", "ISO-8859-1")).alias("header"))
 
 
-def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+def csv_rows(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """(path, place, names, row map<string,string>) of all rows of the CSV files under `path`: values are what Spark's reader makes of a column
     of that file's kind (numbers, dates), as text; place orders a file's rows. Files with one header and encoding are read by one reader.
-    Blank rows are left out; a file without rows has none."""
+    Blank rows are left out; a file without rows has none. A quoted value may hold line breaks: a file is then read as one stream. Without
+    `line_breaks` a large file is split."""
     groups = csv_files(spark, path).where("header is not null").groupBy("encoding", "header").agg(F.collect_list("path").alias("paths")).limit(HEADERS + 1).collect()
     if len(groups) > HEADERS:
         raise ValueError(f"more than {HEADERS} different CSV headers under {path}")
     out = spark.createDataFrame([], "path string, place struct<at: long, i: long>, names array<string>, row map<string,string>")
     for g in groups:
-        read = spark.read.option("header", "true").option("inferSchema", "true").option("encoding", g.encoding).option("multiLine", "false").option("enforceSchema", "false").csv(g.paths)
+        read = spark.read.option("header", "true").option("inferSchema", "true").option("encoding", g.encoding).option("escape", '"').option("multiLine", str(line_breaks).lower()).option("enforceSchema", "false").csv(g.paths)
         names = read.columns
         shown = [name.removeprefix("﻿") for name in names]
         (value, place, where) = fresh(names, "value", "place", "path")

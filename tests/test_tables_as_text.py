@@ -16,7 +16,7 @@ def prose(spark, folder):
 def test_csv_files_of_every_kind(spark, tmp_path):
     files = {
         "plain.csv": "a,b\n1,x\n2,\n".encode(), "marked.CSV": "﻿a,b\n1,é\n".encode(), "latin.csv": "a,b\n1,caf\xe9\n".encode("latin1"), "other.csv": "n;m,k\n1.50,2024-01-02\n".encode(),
-        "long.csv": ("a,b\n" + "".join(f"{i},v{i}\n" for i in range(9))).encode(), "quoted.csv": b'a,b\n1,"x, y"\n\n  ,  \n2,"q ""z"""\n', "empty.csv": b"", "blank.csv": b"\n \n", "head.csv": b"a,b\n", "note.txt": b"a,b\n1,2\n",
+        "long.csv": ("a,b\n" + "".join(f"{i},v{i}\n" for i in range(9))).encode(), "quoted.csv": b'a,b\n1,"x, y"\n\n  ,  \n2,"q ""z""\nsecond line"\n', "empty.csv": b"", "blank.csv": b"\n \n", "head.csv": b"a,b\n", "note.txt": b"a,b\n1,2\n",
     }
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
@@ -26,7 +26,7 @@ def test_csv_files_of_every_kind(spark, tmp_path):
         "plain.csv": head.format(2) + "Row 1: a: 1, b: x\n\nRow 2: a: 2", "marked.CSV": head.format(1) + "Row 1: a: 1, b: é", "latin.csv": head.format(1) + "Row 1: a: 1, b: café", "other.csv": "CSV file contains 1 rows and 2 columns: n;m, k\n\nRow 1: n;m: 1.5, k: 2024-01-02",
         "long.csv": head.format(9) + "\n\n".join(f"Row {i + 1}: a: {i}, b: v{i}" for i in range(5)) + "\n\n... and 4 more rows", "quoted.csv": got["quoted.csv"], "empty.csv": tables_as_text.EMPTY, "blank.csv": tables_as_text.EMPTY, "head.csv": tables_as_text.EMPTY,
     }
-    assert got["quoted.csv"].startswith(head.format(2) + "Row 1: a: 1, b: x, y\n\nRow 2: a: 2, b: q ")
+    assert got["quoted.csv"].startswith(head.format(2) + "Row 1: a: 1, b: x, y\n\nRow 2: a: 2, b: q \"z\"\nsecond line")
 
 
 def test_header_and_row(spark):
