@@ -58,7 +58,10 @@ _MARKED = "|".join((
     r"(?<=://)[^\s/?#:@\"<>]+(?=@)",
 ))
 # a marked value stands behind a mark, a quote or a slash: that spares most places the rest
-CANDIDATE = rf"(?<=[{_VALUE}{_USER}\"'`/])(?:{_MARKED})|(?<![A-Za-z0-9_+/.@-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/.-]{{16,}}={{0,2}}(?![A-Za-z0-9_+/@-])"
+RUN = r"(?<![A-Za-z0-9_+/.@-])(?=[A-Za-z_+/.-]*[0-9])[A-Za-z0-9_+/.-]{16,}={0,2}(?![A-Za-z0-9_+/@-])"
+CANDIDATE = rf"(?<=[{_VALUE}{_USER}\"'`/])(?:{_MARKED})|{RUN}"
+#: One of these stands in every text that _KEYWORD is found in, in small letters.
+HINTS = ("key", "token", "secret", "pass", "pwd", "credential", "auth", "bearer")
 #: Words of the dictionary feature and of made-up values, fixed values.
 WORDS = "account action address admin agent alert answer archive area article asset author balance bank base basic batch blue board book branch bridge browser budget build button cache camera card case change chart check city class client cloud code color column config content control copy core country customer daily data default design desk device digital draft east editor email energy engine entry error event example export field figure file filter final fire folder forest format friend garden general global gold green group guest guide header health history home house image index info input item january key language large layer level library light list local login mail main manager market master member menu message model money month morning music name network news night number object office online order output owner page panel paper path payment people picture plan point power price print product project public query queue record region release report request road room root school search season section security server service session shop sign simple sound source star state static station status street summer system table team test text theme time title today trade travel tree update user value version video view water week west white window winter work world yellow".split()
 LIKELY = r"(?i)(api|access|secret|private|auth|encrypt|signing)?[ _-]?(key|token|secret|passw(or)?d|pwd|credential|bearer)s?\b"
@@ -223,6 +226,12 @@ def held_out(findings: DataFrame, forest) -> dict[str, float]:
     return {"recall": got.found / max(got.secrets, 1), "precision": got.right / max(got.flagged, 1)}
 
 
+def _named(text: Column) -> Column:
+    """Whether a text may hold a key word, a URL or a mark: any other has only long runs as candidates, and needs no marks."""
+    low = F.lower(text)
+    return F.coalesce(F.greatest(*(low.contains(h) for h in HINTS), *(text.contains(x) for x in ("://", *_PAIRS))), F.lit(False))
+
+
 def marked(text: Column) -> Column:
     """The text with marks behind what names a value."""
     for char, pair in _PAIRS.items():
@@ -265,7 +274,7 @@ def find(docs: DataFrame, forest=None) -> DataFrame:
     candidates in one text are findings of their own. Without a forest, one is fitted on made_findings()."""
     forest = forest or train(made_findings(docs.sparkSession))
     docs = docs.select(*[c for c in docs.columns if c not in ("findings", "redacted")])
-    gaps, hits, held = fresh([*docs.columns, "findings", "redacted"], "pieces", "found", "marked")
+    gaps, hits, held, full = fresh([*docs.columns, "findings", "redacted"], "pieces", "found", "marked", "full")
     text = F.col("text")
     pieces, found = _parts(F.col(held))
 
@@ -273,12 +282,13 @@ def find(docs: DataFrame, forest=None) -> DataFrame:
         p = F.round(column(forest, lambda f: F.get(s["x"], F.lit(f))), 6)
         return F.struct(s["candidate"].alias("candidate"), p.alias("score"), (p >= SECRET_AT_LEAST).alias("is_secret"))
 
-    has = F.col(held).rlike(CANDIDATE)
+    has = F.when(F.col(full), F.col(held).rlike(CANDIDATE)).otherwise(F.col(held).rlike(RUN))
     # a one-element explode keeps the marks from being made anew wherever they are read
-    out = docs.withColumn(held, F.explode(F.array(marked(text)))).withColumn(gaps, F.when(has, pieces)).withColumn(hits, F.when(has, found))
+    once = F.explode(F.array(F.struct(F.when(_named(text), marked(text)).otherwise(text).alias("t"), _named(text).alias("n"))))
+    out = docs.withColumn(held, once).withColumn(full, F.col(f"{held}.n")).withColumn(held, F.col(f"{held}.t")).withColumn(gaps, F.when(has, pieces)).withColumn(hits, F.when(has, found))
     out = out.withColumn("findings", F.coalesce(F.transform(F.transform(hits, _described(gaps, hits)), judged), F.array().cast("array<struct<candidate:string,score:double,is_secret:boolean>>")))
     marks = F.zip_with(F.col(gaps), F.col("findings"), lambda a, f: F.concat(F.coalesce(a, F.lit("")), F.when(f["is_secret"], F.lit("[SECRET]")).otherwise(F.coalesce(f["candidate"], F.lit("")))))
-    return out.withColumn("redacted", F.when(F.exists("findings", lambda f: f["is_secret"]), F.array_join(marks, "")).otherwise(text)).drop(gaps, hits, held)
+    return out.withColumn("redacted", F.when(F.exists("findings", lambda f: f["is_secret"]), F.array_join(marks, "")).otherwise(text)).drop(gaps, hits, held, full)
 
 
 def findings(docs: DataFrame, forest=None) -> DataFrame:

@@ -45,11 +45,12 @@ def test_assigned_values_by_a_plain_finder(spark, forest):
 
 def test_marks_never_show(spark, forest):
     odd = "".join((secrets._VALUE, secrets._QUOTED, secrets._USER, secrets._ESCAPE))
-    texts = [f"a{odd} password = x{odd}7Zq! {secrets._ESCAPE}b {secrets._ESCAPE}{secrets._VALUE}", "key: a", None, "", "secret 'Tr0ub4dor&3x' bearer Tr0ub4dor"]
+    texts = [f"a{odd} password = x{odd}7Zq! {secrets._ESCAPE}b {secrets._ESCAPE}{secrets._VALUE}", "key: a", None, "", "secret 'Tr0ub4dor&3x' bearer Tr0ub4dor", f"no word {odd} ABCdef0123456789abcdefXYZ {odd}"]
     df = spark.createDataFrame([(i, t, "m") for i, t in enumerate(texts)], "doc_id long, text string, marked string")
     rows = {r.doc_id: r for r in secrets.find(df, forest).collect()}
     assert rows[0].findings[0].candidate == f"x{odd}7Zq!" and rows[0].redacted in (texts[0], texts[0].replace(f"x{odd}7Zq!", "[SECRET]"))
     assert rows[1].redacted == texts[1] and rows[2].redacted is None and rows[3].redacted == "" and {r.marked for r in rows.values()} == {"m"}
+    assert rows[5].findings[0].candidate == "ABCdef0123456789abcdefXYZ" and rows[5].redacted.replace("[SECRET]", "ABCdef0123456789abcdefXYZ") == texts[5]
     same = df.select(secrets._clean(secrets.marked(F.col("text"))).alias("t"), "text").where("not t <=> text")
     assert same.count() == 0
 
