@@ -173,6 +173,7 @@ def alerts(samples: DataFrame) -> DataFrame:
     """(host, seq, level, message): one row for each limit that a sample breaks; warnings only where nothing is critical."""
     m, c, d = F.col("memory_percent"), F.col("cpu_percent"), F.col("disk_free_mb")
     one = lambda v: F.format_string("%.1f", F.bround(v, 1))
+    # The messages.
     critical = F.array_compact(F.array(
         F.when(m > MEMORY_MOST, F.concat(F.lit("Memory usage critical: "), one(m), F.lit(f"% (limit: {MEMORY_MOST}%)"))),
         F.when(c > CPU_MOST, F.concat(F.lit("CPU usage critical: "), one(c), F.lit(f"% (limit: {CPU_MOST}%)"))),

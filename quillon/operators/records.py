@@ -167,6 +167,7 @@ def recommendations(overall: DataFrame, summary: DataFrame, patterns: DataFrame)
     n = lambda p: F.coalesce(F.max(F.when(F.col("pattern") == p, F.col("n"))), F.lit(0))
     counts = patterns.agg(n("missing_required_fields").alias("missing_n"), n("type_conversion_errors").alias("conversion_n"))
     one = overall.select("overall_quality_score", "completeness_rate").join(F.broadcast(summary.select("success_rate"))).join(F.broadcast(counts))
+    # The recommendations.
     rules = [(F.col("overall_quality_score") < 80, "Consider reviewing document quality and OCR settings"), (F.col("missing_n") > 2, "Review extraction prompts for better field detection"), (F.col("conversion_n") > 2, "Verify field type configurations match document formats"), (F.col("completeness_rate") < 85, "Consider improving document preprocessing or extraction templates"), (F.col("success_rate") < 90, "Review failed files for common patterns and adjust processing parameters")]
     return one.select(F.posexplode(F.array_compact(F.array(*(F.when(c, F.lit(t)) for c, t in rules)))).alias("pos", "recommendation"))
 

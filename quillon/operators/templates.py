@@ -7,7 +7,7 @@ import os
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Names that the data sheet uses itself.
@@ -133,28 +133,46 @@ def saved_states(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("path", F.coalesce("metadata.session_id", F.lit("unknown")).alias("session_id"), F.coalesce("saved_at", F.lit(0.0)).alias("saved_at"), F.coalesce("metadata.progress", F.lit(0.0)).alias("progress"), F.coalesce("metadata.current_file", F.lit("")).alias("current_file"), F.coalesce("metadata.remaining_files", F.lit(0)).alias("remaining_files"), "file_size").orderBy(F.desc("saved_at"), "path")
 
 
-def structural_problems(templates: DataFrame) -> DataFrame:
-    """templates(template, prompt_description, fields array<struct<name, description, ...>>): (template, problem) of those that may not be
-    saved, the first problem of each."""
+def structural_problem(name: str = "template") -> Column:
+    """Of the columns `name`, prompt_description and fields (array<struct<name, description, ...>>): what is wrong with a template's structure, the
+    first thing only; null if nothing is."""
     names = F.transform("fields", lambda f: f["name"])
     bad = lambda test: F.filter(F.transform("fields", lambda f, i: F.when(test(f), i + 1)), lambda i: i.isNotNull())
     nameless, plain = bad(lambda f: f["name"].isNull() | (F.trim(f["name"]) == "")), bad(lambda f: f["description"].isNull())
     # a field's name is looked at before its description, fields in their order
     first_name, first_text = (F.coalesce(F.get(x, F.lit(0)), F.lit(2**31 - 1)) for x in (nameless, plain))
-    said = (
-        F.when(F.coalesce(F.trim("template"), F.lit("")) == "", "Template name must be a non-empty string")
+    # The messages.
+    return (
+        F.when(F.coalesce(F.trim(name), F.lit("")) == "", "Template name must be a non-empty string")
         .when(F.col("prompt_description").isNull(), "Template prompt description must be a string")
         .when(F.coalesce(F.size("fields"), F.lit(0)) <= 0, "Template must have at least one field")
         .when(F.size(F.array_distinct(names)) < F.size(names), "Template field names must be unique")
         .when((F.size(nameless) > 0) & (first_name <= first_text), F.concat(F.lit("Field "), first_name.cast("string"), F.lit(" name must be a non-empty string")))
         .when(F.size(plain) > 0, F.concat(F.lit("Field "), first_text.cast("string"), F.lit(" description must be a string")))
     )
-    return templates.select("template", said.alias("problem")).where("problem is not null")
+
+
+def structural_problems(templates: DataFrame) -> DataFrame:
+    """templates(template, prompt_description, fields): (template, problem) of those that may not be saved."""
+    return templates.select("template", structural_problem().alias("problem")).where("problem is not null")
+
+
+def template_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every template file as a row: stem, the columns of SCHEMA, and problem: that it is no JSON, what is wrong with its structure, or a type that
+    there is none of; null for one that can be used. A field without a type is text, without a locale vi-VN, without a description empty."""
+    files = spark.read.schema(SCHEMA + ", _broken string").option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").option("pathGlobFilter", "*.json").json(folder)
+    stem = F.regexp_replace(F.regexp_replace("_metadata.file_name", r"\.json$", ""), "%20", " ")
+    filled = F.transform("fields", lambda f: F.struct(f["name"].alias("name"), F.coalesce(f["type"], F.lit("text")).alias("type"), F.coalesce(f["description"], F.lit("")).alias("description"), F.coalesce(f["optional"], F.lit(False)).alias("optional"), F.coalesce(f["number_locale"], F.lit("vi-VN")).alias("number_locale")))
+    rows = files.select(stem.alias("stem"), "name", F.coalesce("prompt_description", F.lit("")).alias("prompt_description"), filled.alias("fields"), "examples", "provider", "run_options", "_broken")
+    unknown = F.get(F.filter(F.transform("fields", lambda f: f["type"]), lambda t: ~t.isin(*KINDS)), F.lit(0))
+    problem_ = F.when(F.col("_broken").isNotNull(), "The file is no template").otherwise(F.coalesce(structural_problem("name"), F.concat(F.lit("unknown type "), unknown)))
+    return rows.withColumn("problem", problem_).drop("_broken")
 
 
 def editor_errors(fields: DataFrame) -> DataFrame:
     """fields(template, pos from 0, name, kind, description, locale): (template, pos, part, message) of what an editor rejects. Of a name the
     first rule counts; a name that was accepted earlier in the same template, whatever its case, is taken."""
+    # The messages.
     name = F.trim(F.coalesce("name", F.lit("")))
     rows = fields.withColumn("_name", name).withColumn("_key", F.lower("_name"))
     own = F.when(F.col("_name") == "", "Tên trường không được để trống").when(F.length("_name") > MOST_NAME, F.concat(F.lit("Tên trường quá dài ("), F.length("_name").cast("string"), F.lit(f"/{MOST_NAME} ký tự)"))).when(F.col("_key").isin(*RESERVED), F.concat(F.lit('Tên trường "'), "_name", F.lit('" là từ khóa dành riêng')))

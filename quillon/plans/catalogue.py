@@ -1,4 +1,5 @@
-"""Every query by name, and the SQL that must give the same rows."""
+"""Every query by name, and the SQL that must give the same rows. Fixed values in the SQL, here and in the other modules: labels, messages,
+recommendations, patterns and limits, which must be those of the operators."""
 
 from __future__ import annotations
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import classify
 from quillon.operators import monitoring, records
-from quillon.operators.templates import Field
+from quillon.operators.templates import Field, template_files
 from quillon.sources import documents, tables_as_text
 
 
@@ -73,3 +73,13 @@ def test_ranks_of_jobs(spark):
     got = monitoring.priority_order(spark.createDataFrame(jobs, "job_id int, p int, c int").repartition(4), priority="p", created="c", key="job_id").collect()
     want = sorted(jobs, key=lambda j: (j[1] is None, -(j[1] or 0), j[2], j[0]))
     assert [(r.job_id, r["rank"]) for r in got] == [(j[0], n) for n, j in enumerate(want, 1)]
+
+
+def test_template_files(spark, tmp_path):
+    good = '{"name": "T", "prompt_description": "p", "fields": [{"name": "a"}, {"name": "n", "type": "number", "number_locale": "en-US", "optional": true}]}'
+    files = {"good": good, "broken": "{", "nameless": '{"name": " ", "fields": [{"name": "a"}]}', "none": '{"name": "x", "fields": []}', "twice": '{"name": "x", "fields": [{"name": "a"}, {"name": "a"}]}', "kind": '{"name": "x", "fields": [{"name": "a", "type": "blob"}]}', "second": '{"name": "x", "fields": [{"name": "a"}, {"type": "text"}]}'}
+    for stem, text in files.items():
+        (tmp_path / f"{stem}.json").write_text(text)
+    got = {r.stem: r for r in template_files(spark, str(tmp_path)).collect()}
+    assert {k: r.problem for k, r in got.items()} == {"good": None, "broken": "The file is no template", "nameless": "Template name must be a non-empty string", "none": "Template must have at least one field", "twice": "Template field names must be unique", "kind": "unknown type blob", "second": "Field 2 name must be a non-empty string"}
+    assert [tuple(f) for f in got["good"].fields] == [("a", "text", "", False, "vi-VN"), ("n", "number", "", True, "en-US")]
