@@ -175,9 +175,10 @@ def recommendations(overall: DataFrame, summary: DataFrame, patterns: DataFrame)
 def error_table(rows: DataFrame, most: int = 3) -> DataFrame:
     """Each failing file with the number of its failing rows and the first three messages, those of the least `seq`. A file's messages are
     cut to three before they are shuffled, and only these are gathered."""
-    bad = rows.where("size(errors) > 0")
+    # written once: the values are not converted again for the second look
+    bad = written(rows.where("size(errors) > 0").select("source_file", "seq", joined_error(rows).alias("message")))
     counts = bad.groupBy("source_file").agg(F.count("*").alias("error_count"))
-    kept = order.first(bad.select("source_file", "seq", joined_error(rows).alias("message")), most, ["seq", "message"], "source_file")
+    kept = order.first(bad, most, ["seq", "message"], "source_file")
     details = kept.groupBy("source_file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]), "; ").alias("error_details"))
     return counts.join(details, "source_file")
 

@@ -168,7 +168,7 @@ def test_texts_of_progress(spark):
     assert one(text.status_line(F.lit(2), F.lit(9), F.lit(65.9), F.lit(130.0))) == "Processing 2/9 files | Elapsed: 1:05 | Est. remaining: 2 min"
     assert one(text.eta_shown(F.lit(0.0))) == "Calculating..." and one(text.eta_shown(F.lit(75.5))) == "1m 15s" and one(text.eta_shown(F.lit(9.0))) == "9s"
     assert one(text.error_text(F.lit("bad"), F.array(F.lit("a"), F.lit("b")))) == "bad\n\nSuggestions:\n• a\n• b" and one(text.error_text(F.lit("bad"), F.array().cast("array<string>"))) == "bad"
-    assert one(text.nfc(F.lit("é"))) == "é"
+    assert one(normal.nfc(F.lit("é"))) == "é"
 
 
 def made_pdf(pages, pack):
