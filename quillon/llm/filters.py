@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Rows that the filter is cut into.
 PIECES = 64
@@ -20,38 +21,33 @@ def passes(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _pieces(bits: int):
+    """Hashes dealt out by the piece that they fall into in; the bits of each piece out. A task holds the pieces that it was dealt."""
+    width = (1 << bits) // PIECES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        width = (1 << bits) // PIECES
         for batch in batches:
             at = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
             piece = at // width
             for p in np.unique(piece).tolist():
                 if p not in held:
-                    held[p] = np.zeros(width, bool)
-                held[p][at[piece == p] - p * width] = True
+                    held[p] = np.zeros(width // 8, np.uint8)
+                own = at[piece == p] - p * width
+                np.bitwise_or.at(held[p], own >> 3, np.uint8(128) >> (own & 7).astype(np.uint8))
         for p, x in held.items():
-            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], names=["piece", "bits"])
+            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["piece", "bits"])
 
     return run
 
 
-def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for piece, bits in zip(batch.column(0).to_pylist(), batch.column(1)):
-            more = np.frombuffer(bits.as_buffer(), np.uint8)
-            total[piece] = total[piece] | more if piece in total else more.copy()
-    for piece, x in total.items():
-        yield pa.record_batch([pa.array([piece], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["piece", "bits"])
-
-
 def collected_filter(hashes: DataFrame, most: int, least: int = 16) -> np.ndarray:
     """The packed bits of a filter over hashes(one long column): some 16 bits for each hash, 2**least at least and 2**most at most.
-    2**most bits are what comes to the driver at most."""
+    2**most bits are what comes to the driver at most. Hashes are shuffled by the piece that they fall into, so that no task holds the whole filter."""
     n = hashes.count()
     bits = min(most, max(least, (16 * n).bit_length()))
-    found = hashes.mapInArrow(_pieces(bits), "piece int, bits binary").repartition("piece").mapInArrow(_either, "piece int, bits binary").collect()
+    (h,) = hashes.columns
+    dealt = hashes.repartition(F.shiftrightunsigned(h, 64 - PIECES.bit_length() + 1))
+    found = dealt.mapInArrow(_pieces(bits), "piece int, bits binary").collect()
     out = np.zeros((PIECES, (1 << bits) // 8 // PIECES), np.uint8)
     for x in found:
         out[x.piece] = np.frombuffer(x.bits, np.uint8)

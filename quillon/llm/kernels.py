@@ -28,19 +28,23 @@ _STEP = int(_rng.integers(2**20, 2**62)) * 8 + 3
 _BACK = pow(_STEP, -1, 2**64)
 _MUL = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[int, np.ndarray] = {}
+#: Bytes that are hashed at once, and powers that a process keeps of each base.
+HASHED = 1 << 16
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for the largest n so far."""
+    """base**0 .. base**(n-1) modulo 2**64; HASHED of them are kept."""
     got = _POWERS.get(base)
     if got is None or len(got) < n:
-        out = np.empty(max(n, 1 << 16), dtype=np.uint64)
+        out = np.empty(max(n, HASHED), dtype=np.uint64)
         out[0], done = 1, 1
         while done < len(out):
             more = min(done, len(out) - done)
             np.multiply(out[:more], np.uint64(pow(base, done, 2**64)), out=out[done : done + more])
             done += more
-        got = _POWERS[base] = out
+        got = out
+        if n <= HASHED:
+            _POWERS[base] = out
     return got[:n]
 
 
@@ -115,10 +119,17 @@ class Words:
         return np.diff(self.offsets)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.texts.bytes)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.texts.bytes] * _powers(_STEP, n), out=total[1:])
-        out = (total[self.ends] - total[self.starts]) * _powers(_BACK, n)[self.starts] if n else total[:0]
+        """Words are hashed in stretches of HASHED bytes, so that no more powers than that are held; a longer word is a stretch of its own."""
+        out, at = np.empty(len(self), np.uint64), 0
+        while at < len(out):
+            base = int(self.starts[at])
+            to = max(at + 1, int(np.searchsorted(self.ends, base + HASHED, side="right")))
+            starts, ends = self.starts[at:to] - base, self.ends[at:to] - base
+            n = int(ends[-1])
+            total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[self.texts.bytes[base : base + n]] * _powers(_STEP, n), out=total[1:])
+            out[at:to] = (total[ends] - total[starts]) * _powers(_BACK, n)[starts]
+            at = to
         return mix(out + (self.ends - self.starts).astype(np.uint64) * _MUL[63])
 
 

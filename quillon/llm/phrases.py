@@ -46,7 +46,7 @@ def _block(texts: list[pa.Array]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         return [], np.empty(0, np.int64), np.empty(0, np.int32)
     _, first, local, counts = np.unique(found.hashes(), return_index=True, return_inverse=True, return_counts=True)
     raw = found.texts.bytes
-    ended = np.cumsum(ENDS[raw])[found.starts]
+    ended = np.cumsum(ENDS[raw], dtype=np.int32)[found.starts]
     new = np.r_[True, ended[1:] != ended[:-1]]
     heads = found.offsets[:-1]
     new[heads[heads < len(found)]] = True
