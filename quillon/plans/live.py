@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import records
 from ..operators.templates import saved_states
 from ..sources import states
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, written
 from ..streaming import progress, runs, session
 from . import fixtures
 from .fixtures import LOG, TEMPLATE, results
@@ -19,7 +19,9 @@ from .registry import query, rounded
 
 
 def in_turns(rows: DataFrame, by: str, run: Callable[[str], None], turns: int = 3) -> None:
-    """The rows in `turns` ranges of `by`, each written into one folder after the one before has been worked off."""
+    """The rows in `turns` ranges of `by`, each written into one folder after the one before has been worked off. The rows are made once, not
+    for the bounds and each turn again."""
+    rows = written(rows)
     path = new_path(rows.sparkSession, "arrivals")
     bounds = rows.approxQuantile(by, [i / turns for i in range(1, turns)], 0.01)
     for low, high in zip([None, *bounds], [*bounds, None]):
