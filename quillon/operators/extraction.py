@@ -25,15 +25,23 @@ def flattened(answers: DataFrame) -> DataFrame:
     return rows.select("source_file", "chunk", "pos", F.col("x.field").alias("field_name"), F.col("x.text").alias("value"), F.coalesce("x.confidence", F.lit(DEFAULT_CONFIDENCE)).alias("confidence"))
 
 
+def _kind(field: Column, template: Sequence) -> Column:
+    kind = F.lit(None).cast("string")
+    for f in reversed(template):  # of equal names the first counts
+        kind = F.when(field == f.name, f.kind).otherwise(kind)
+    return kind
+
+
+def _coerced(kind: Column, value: Column) -> Column:
+    number = F.when(kind == "number", convert.extracted_number(value)).when(kind == "currency", convert.extracted_currency(value))
+    return F.coalesce(number.cast("string"), value)
+
+
 def typed(rows: DataFrame, template: Sequence) -> DataFrame:
     """rows(field_name, value) with the template's kind of the field (null for one it does not have) and `coerced`: numbers and currencies
     as text of a double, everything else, and what cannot be read, as it is."""
-    kind = F.lit(None).cast("string")
-    for f in reversed(template):  # of equal names the first counts
-        kind = F.when(F.col("field_name") == f.name, f.kind).otherwise(kind)
-    rows = rows.withColumn("kind", kind)
-    number = F.when(F.col("kind") == "number", convert.extracted_number(F.col("value"))).when(F.col("kind") == "currency", convert.extracted_currency(F.col("value")))
-    return rows.withColumn("coerced", F.coalesce(number.cast("string"), F.col("value")))
+    rows = rows.withColumn("kind", _kind(F.col("field_name"), template))
+    return rows.withColumn("coerced", _coerced(F.col("kind"), F.col("value")))
 
 
 def last_wins(answers: DataFrame) -> DataFrame:
@@ -57,6 +65,26 @@ def as_results(rows: DataFrame, template: Sequence) -> DataFrame:
     return out.select("source_file", F.map_from_entries(F.transform("p", lambda x: F.struct(x["field_name"], x["coerced"]))).alias("data"), F.map_from_entries(F.transform("p", lambda x: F.struct(x["field_name"], x["confidence"]))).alias("confidence_scores"), F.array_except(needed, F.transform("p", lambda x: x["field_name"])).alias("missing_fields"))
 
 
+def _answered(answers: DataFrame, template: Sequence) -> DataFrame:
+    """answers(source_file, chunk, extractions, error) to one result for each file. The answers are gone through once, so that no provider is
+    asked again: each field's last and best extraction are both kept until the number of the file's answers tells which of them counts."""
+    needed = F.array(*(F.lit(f.name) for f in template if not f.optional)).cast("array<string>")
+    rows = answers.select("source_file", "chunk", "error", F.posexplode_outer("extractions").alias("pos", "x"))
+    has, sure = F.col("pos").isNotNull(), F.coalesce("x.confidence", F.lit(DEFAULT_CONFIDENCE))
+    last = F.struct("chunk", "pos", F.col("x.text").alias("value"), sure.alias("confidence"))
+    best = F.struct((-sure).alias("less"), "chunk", "pos", F.col("x.text").alias("value"))
+    # an answer is counted where it begins
+    fields = rows.groupBy("source_file", F.col("x.field").alias("field_name"), has.alias("has"), "error").agg(F.max(last).alias("last"), F.min(best).alias("best"), F.count_if(~has | (F.col("pos") == 0)).alias("n"))
+    files = fields.groupBy("source_file").agg(F.sum("n").alias("n"), F.array_sort(F.collect_set("error")).alias("errors"), F.collect_list(F.when(F.col("has"), F.struct("field_name", "last", "best"))).alias("found"))
+    one = lambda x, a, b: F.when(F.col("n") == 1, x["last"][a]).otherwise(b)
+    chosen = lambda x: F.struct(x["field_name"].alias("field_name"), one(x, "value", x["best"]["value"]).alias("value"), one(x, "confidence", -x["best"]["less"]).alias("confidence"))
+    coerced = lambda x: F.struct(x["field_name"].alias("field_name"), _coerced(_kind(x["field_name"], template), x["value"]).alias("coerced"), x["confidence"].alias("confidence"))
+    told = files.select("source_file", "errors", F.array_sort(F.transform(F.transform("found", chosen), coerced)).alias("p"))
+    pairs = lambda what: F.map_from_entries(F.transform("p", lambda x: F.struct(x["field_name"], x[what])))
+    missing = F.when(F.size("p") == 0, needed).otherwise(F.array_except(needed, F.transform("p", lambda x: x["field_name"])))
+    return told.select("source_file", pairs("coerced").alias("data"), pairs("confidence").alias("confidence_scores"), missing.alias("missing_fields"), F.when(F.size("errors") > 0, "failed").otherwise("completed").alias("status"), "errors")
+
+
 def extract(texts: DataFrame, template: Sequence, provider: Provider, most: int = 8000, mask: bool = True) -> DataFrame:
     """One result for each row of texts(source_file, text): source_file, data, confidence_scores, missing_fields, status, errors.
 
@@ -75,13 +103,8 @@ def extract(texts: DataFrame, template: Sequence, provider: Provider, most: int
             yield pd.DataFrame({"source_file": frame["source_file"], "chunk": frame["chunk"], "extractions": [[{"field": f, "text": t, "confidence": c} for f, t, c in x] for x in got], "error": errors})
 
     answers = chunks.mapInPandas(run, f"source_file string, chunk int, extractions {ANSWER}, error string")
-    facts = answers.groupBy("source_file").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("error")).alias("errors"))
-    single = facts.where("n = 1").select("source_file")
-    rows = last_wins(answers.join(single, "source_file", "left_semi")).unionByName(merged(answers.join(single, "source_file", "left_anti")))
-    results = facts.join(as_results(rows, template), "source_file", "left")
+    done = _answered(answers, template)
     needed = F.array(*(F.lit(f.name) for f in template if not f.optional)).cast("array<string>")
-    maps = [F.coalesce("data", F.create_map().cast("map<string,string>")).alias("data"), F.coalesce("confidence_scores", F.create_map().cast("map<string,double>")).alias("confidence_scores"), F.coalesce("missing_fields", needed).alias("missing_fields")]
-    done = results.select("source_file", *maps, F.when(F.size("errors") > 0, "failed").otherwise("completed").alias("status"), "errors")
     empty = texts.where(blank).select("source_file", F.create_map().cast("map<string,string>").alias("data"), F.create_map().cast("map<string,double>").alias("confidence_scores"), needed.alias("missing_fields"), F.lit("failed").alias("status"), F.array(F.lit("Text is empty")).alias("errors"))
     return done.unionByName(empty)
 
